@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
+from .html_extract import op2_html_extract
 from .mixing import op10_mixing
+from .quality_rules import op3_quality_rules
 from .token_pack import op7_token_pack
+from .toxicity import op4_toxicity
 from .wordbpe import op6_token_counts
 
 QUERIES = {
+    "op2_html_extract": op2_html_extract,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_token_pack": op7_token_pack,
+    "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
