@@ -8,9 +8,11 @@ from .mixing import op10_mixing
 from .quality_rules import op3_quality_rules
 from .token_pack import op7_token_pack
 from .toxicity import op4_toxicity
+from .warc import op1_warc
 from .wordbpe import op6_token_counts
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_html_extract": op2_html_extract,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
