@@ -176,19 +176,35 @@ def write_packed(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int =
     return files.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
 
-def library_encoder(path: str):
-    """Flat ids and lengths of pre-tokens from the tokenizers library."""
+def library_encoder(path: str, together: int = 64):
+    """Flat ids and lengths of pre-tokens from the tokenizers library.
+
+    Pre-tokens go in as lines of ``together`` words; the last id of a word carries the vocabulary's
+    word end, which tells the words of a line apart. A line where that does not count up is encoded
+    word by word.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    end = library.model.end_of_word_suffix
+    last = np.zeros(library.get_vocab_size(), bool)
+    last[[i for token, i in library.get_vocab().items() if end and token.endswith(end)]] = True
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum())), lengths
+        lines = [words[i : i + together] for i in range(0, len(words), together)]
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for line, got in zip(lines, library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            flat = np.array(got.ids, np.int64)
+            stops = np.flatnonzero(last[flat]) + 1
+            if len(stops) != len(line) or stops[-1] != len(flat):
+                each = [e.ids for e in library.encode_batch_fast(line, add_special_tokens=False)]
+                flat, stops = np.array([i for x in each for i in x], np.int64), np.cumsum([len(x) for x in each])
+            ids.append(flat)
+            lengths.append(np.diff(stops, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     return encode
 
