@@ -46,6 +46,7 @@ class WordBpe:
         model, vocab = spec["model"], spec["model"]["vocab"]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.find = regex.compile(pattern).findall
+        self.find_lines = regex.compile(pattern + r"|\n").findall
         # code points that this Python does not know: the library may, so it is asked
         self.later = re.compile("[\u0378-\U0010ffff]").search
         self.path, self.library = path, None
@@ -68,11 +69,15 @@ class WordBpe:
 
     def pre_tokens(self, segment: str) -> list[str]:
         """Normal form C, lower case letter by letter, then the file's pattern."""
-        if not segment.isascii() and self.later(segment) and any(unicodedata.category(c) == "Cn" for c in segment):
-            return self.asked(segment)
+        return self.asked(segment) if self.strange(segment) else self.find(self.normal(segment))
+
+    def strange(self, segment: str) -> bool:
+        return not segment.isascii() and bool(self.later(segment)) and any(unicodedata.category(c) == "Cn" for c in segment)
+
+    def normal(self, segment: str) -> str:
         if not segment.isascii():
             segment = unicodedata.normalize("NFC", segment).replace("Σ", "σ")
-        return self.find(segment.lower())
+        return segment.lower()
 
     def asked(self, segment: str) -> list[str]:
         """The library's own pre-tokens, back as text."""
@@ -195,7 +200,13 @@ class TextTokens:
             self.parts.lengths.add(np.array([1]))
             self.parts.flat.add(np.array([number]))
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all words in turn, and how many each has."""
+        lines = "\n".join(words)
+        if "<|" not in lines and lines.count("\n") == len(words) - 1 and not self.bpe.strange(lines):  # all in one go
+            found = self.bpe.find_lines(self.bpe.normal(lines))
+            ends = np.append(np.flatnonzero(np.fromiter((x == "\n" for x in found), bool, len(found))), len(found))
+            return [x for x in found if x != "\n"], np.diff(ends, prepend=-1) - 1
         pre, n = [], np.zeros(len(words), np.int64)
         for i, word in enumerate(words):
             before = len(pre)
@@ -205,6 +216,10 @@ class TextTokens:
                 elif segment:
                     pre += self.bpe.pre_tokens(segment)
             n[i] = len(pre) - before
+        return pre, n
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pre, n = self._cut(words)
         distinct = dict.fromkeys(pre)
         slot = dict(zip(distinct, self.parts.slots(list(distinct)).tolist()))
         take = np.fromiter(map(slot.__getitem__, pre), np.int64, len(pre))
