@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
+from .hnsw_dedup import op5_hnsw_dedup
 from .html_extract import op2_html_extract
 from .mixing import op10_mixing
 from .quality_rules import op3_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_html_extract": op2_html_extract,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_hnsw_dedup": op5_hnsw_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_token_pack": op7_token_pack,
     "op9_decontaminate": op9_decontaminate,
