@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op9_decontaminate
 from .hnsw_dedup import op5_hnsw_dedup
 from .html_extract import op2_html_extract
+from .jaccard_join import op8_jaccard_join
 from .mixing import op10_mixing
 from .quality_rules import op3_quality_rules
 from .token_pack import op7_token_pack
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_hnsw_dedup": op5_hnsw_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_token_pack": op7_token_pack,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
