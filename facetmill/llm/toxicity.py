@@ -21,7 +21,6 @@ none); repeated rows are scored alike; extra columns are ignored, or pass throug
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,11 +49,48 @@ def words_of(texts) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[cuts]
 
 
-def word_features(word: str) -> list[int]:
-    """The cells of the word, of its beginnings (3 to 6 letters) and of its letter groups."""
-    w, crc = f"^{word}$", zlib.crc32
-    starts = [crc(f"<{word[:n]}".encode()) % CELLS for n in (3, 4, 5, 6)]
-    return [crc(w.encode()) % CELLS, *starts, *(crc(f"{n}{w[i : i + n]}".encode()) % CELLS for n in (3, 4) for i in range(max(1, len(w) - n + 1)))]
+def _cell(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(CELLS)).astype(np.int64)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of all words in turn, and how many each has: the word, its beginnings of 3 to 6 letters,
+    then its letter groups of 3 and of 4, with marks at both ends."""
+    text = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(n) - n
+    place = np.arange(len(text)) - np.repeat(start, n)
+    lengths = 5 + (n - 2) + np.maximum(0, n - 3)
+    first = np.cumsum(lengths) - lengths
+    cells = np.zeros(int(lengths.sum()), np.int64)
+    factor = np.uint64(0x100000001B3)
+    h = np.zeros(len(words), np.uint64)
+    for k in range(int(n.max(initial=0))):  # letter by letter, of the words that are so long
+        on = np.flatnonzero(n > k)
+        h[on] = h[on] * factor + text[start[on] + k]
+        if k >= 512:  # the rest of very long words at once
+            rest = np.flatnonzero(n > k + 1)
+            if len(rest):
+                tail = text * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * factor
+                h[rest] += np.add.reduceat(tail, start)[rest]
+            break
+    cells[first] = _cell(h, 1)
+    h = np.zeros(len(words), np.uint64)
+    for k in range(1, 7):
+        on = np.flatnonzero(n - 2 >= k)
+        h[on] = h[on] * factor + text[start[on] + k]
+        if k >= 3:
+            cells[first + k - 2] = _cell(h, 2)
+    for size, skip in ((3, 5), (4, None)):
+        h = np.zeros(max(0, len(text) - size + 1), np.uint64)
+        for k in range(size):
+            h = h * factor + text[k : k + len(h)]
+        at = np.flatnonzero(place[: len(h)] + size <= np.repeat(n, n)[: len(h)])
+        own = np.repeat(np.arange(len(words)), n)[at]
+        cells[first[own] + (5 if skip else 3 + n[own]) + place[at]] = _cell(h[at], size + 10)
+    return cells, lengths
 
 
 @dataclass
@@ -67,9 +103,8 @@ class Features:
 
     @classmethod
     def of(cls, words: list[str]) -> Features:
-        each = [word_features(w) for w in words]
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        return cls(np.fromiter((c for x in each for c in x), np.int64, int(n.sum())), np.cumsum(n) - n, n)
+        cells, n = word_features(words)
+        return cls(cells, np.cumsum(n) - n, n)
 
     def taken(self, words: np.ndarray) -> Features:
         n = self.lengths[words]
@@ -161,6 +196,44 @@ def forward(p, ahead, back, slots, mask):
     return ctx @ p["out"] + p["bias"][0], (h, a, ctx, kf, kb)
 
 
+def scored_states(x: np.ndarray, slots: np.ndarray, mask: np.ndarray, whole: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The states of ``recur``, for scoring alone: nothing is kept for a way back. x: inputs of each word slot."""
+    out = np.zeros((len(slots), slots.shape[1], HIDDEN), np.float32)
+    h = np.zeros((slots.shape[1], HIDDEN), np.float32)
+    for t in range(len(slots)):
+        own = x[slots[t]]
+        gates = h @ g
+        gates += own[:, : 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = (gates[:, HIDDEN:] * h) @ c
+        new += own[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        new -= h
+        new *= gates[:, :HIDDEN]
+        if not whole[t]:
+            new *= mask[t][:, None]
+        h = np.add(h, new, out=out[t])
+    return out
+
+
+def scored(p, ahead, back, slots, mask) -> np.ndarray:
+    """Logits as ``forward`` gives them."""
+    whole = mask.all(1)
+    with np.errstate(over="ignore"):
+        f = scored_states(ahead, slots, mask, whole, p["gf"], p["cf"])
+        b = scored_states(back, slots[::-1], mask[::-1], whole[::-1], p["gb"], p["cb"])[::-1]
+    s = f @ p["att"][:HIDDEN] + b @ p["att"][HIDDEN:]
+    if not whole.all():
+        s = np.where(mask > 0, s, np.float32(-1e9))
+    a = np.exp(s - s.max(0))
+    a /= np.maximum(a.sum(0), 1e-9)
+    # the pooled state meets the output weights, so each state may meet them first
+    return (a * (f @ p["out"][:HIDDEN] + b @ p["out"][HIDDEN:])).sum(0) + p["bias"][0]
+
+
 def gradients(p, features: Features, slots, mask, y, alive, dropped):
     """Loss gradients of all parameters; those of the table come as (cells, rows), of live cells only."""
     x = features.vectors(p["table"], dropped)
@@ -230,12 +303,12 @@ class Scorer:
             self.back = np.concatenate([self.back, x @ self.p["wb"] + self.p["bb"]])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def window_logits(self, ids: np.ndarray, first: np.ndarray, n: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    def window_logits(self, ids: np.ndarray, first: np.ndarray, n: np.ndarray, at_once: int = 4096) -> np.ndarray:
         out = np.zeros(len(first), np.float32)
         steps = np.arange(SPAN)[:, None]
         for i in range(0, len(first), at_once):
             f, m = first[i : i + at_once], n[i : i + at_once]
-            out[i : i + at_once] = forward(self.p, self.ahead, self.back, ids[f + np.minimum(steps, m - 1)], (steps < m).astype(np.float32))[0]
+            out[i : i + at_once] = scored(self.p, self.ahead, self.back, ids[f + np.minimum(steps, m - 1)], (steps < m).astype(np.float32))
         return out
 
     def logits(self, texts) -> np.ndarray:
