@@ -40,6 +40,8 @@ from .decontaminate import slices
 WORDS = 5
 #: Levels of choices that a class brings along.
 LEVELS = 3
+#: Classes in a block of a large bucket, at most (about: they are dealt by a hash).
+BLOCK = 512
 
 
 def runs_for(recall: float, meet: float = 1 - math.exp(-1), levels: int = 2) -> int:
@@ -153,9 +155,9 @@ def buckets(classes: DataFrame, leaf: int) -> DataFrame:
     return stored(done.select("key", "cid", "size"), "buckets")
 
 
-def blocked(members: DataFrame, leaf: int) -> DataFrame:
+def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deal large buckets into blocks; a member goes to every pair of blocks that its own is in (x <= y)."""
-    parts = F.ceil(F.col("size") / leaf)
+    parts = F.ceil(F.col("size") / block)
     own = F.pmod(F.xxhash64("cid", "key"), parts)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     out = members.withColumns({"parts": parts, "own": own}).withColumn("other", other)
@@ -307,7 +309,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, l
     classes = stored(classes.filter("cid is not null"), "classes")
     members = buckets(classes, leaf)
     lists = stored(members.groupBy("cid").agg(F.collect_list("key").alias("all")), "lists")  # some per run
-    dealt = blocked(members, leaf).join(lists, "cid").select("key", "x", "y", "own", "cid", "all")
+    dealt = blocked(members).join(lists, "cid").select("key", "x", "y", "own", "cid", "all")
     wanted = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(needed, "key long, x long, y long, own long, cid long")
     wanted = wanted.groupBy("cid").agg(F.collect_list(F.struct("key", "x", "y", "own")).alias("wanted"))
     wanted = stored(wanted.join(lists, "cid").join(classes.drop("chosen"), "cid"), "wanted")
