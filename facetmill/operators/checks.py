@@ -35,16 +35,19 @@ class Check:
 
 
 _REGISTRY: dict[str, Callable[[], Check]] = {}
+#: Names of the findings that the registry can make.
+NAMES: dict[str, None] = {}
 
 
-def register_check(name: str, make: Callable[[], Check]) -> None:
-    """Add a check, or replace one of that name; order of registration is the order of findings."""
-    _REGISTRY[name] = make
+def register_check(key: str, make: Callable[[], Check], name: str | None = None) -> None:
+    """Add a check, or replace the one of that key; order of registration is the order of findings."""
+    _REGISTRY[key] = make
+    NAMES[name or key] = None
 
 
 def _check(name, fires, severity, measure, threshold, text, suggestion, key=None):
     sev = lambda: F.lit(severity) if isinstance(severity, str) else severity()
-    register_check(key or name, lambda: Check(name, fires(), sev(), measure().cast("double"), (threshold() if threshold else F.lit(None)).cast("double"), text, suggestion))
+    register_check(key or name, lambda: Check(name, fires(), sev(), measure().cast("double"), (threshold() if threshold else F.lit(None)).cast("double"), text, suggestion), name)
 
 
 c = F.col

@@ -49,7 +49,7 @@ def all_findings(spark, sf_dir) -> DataFrame:
     return checks.findings(checks.part_facts(binding.tables(spark, sf_dir))).select("part_id", "finding_seq", "check", "severity", _r("measure"))
 
 
-for _name in dict.fromkeys(ck().name for ck in checks._REGISTRY.values()):
+for _name in list(checks.NAMES):
 
     def _one(spark, sf_dir, name=_name):
         return all_findings(spark, sf_dir).filter(F.col("check") == name)
