@@ -35,6 +35,8 @@ from .decontaminate import slices
 
 SPAN, STRIDE = 24, 12
 CELLS, DIM, HIDDEN = 1 << 18, 8, 12
+#: Words whose features are laid out at once: bounds the memory.
+AT_ONCE = 16_384
 #: Cells of fewer texts carry nothing.
 SEEN = 4
 #: Words that a worker remembers before it starts anew: bounds its memory.
@@ -52,7 +54,7 @@ def words_of(texts) -> tuple[pa.Array, np.ndarray]:
 def _cell(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(CELLS)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(CELLS)).astype(np.int32)
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(text)) - np.repeat(start, n)
     lengths = 5 + (n - 2) + np.maximum(0, n - 3)
     first = np.cumsum(lengths) - lengths
-    cells = np.zeros(int(lengths.sum()), np.int64)
+    cells = np.zeros(int(lengths.sum()), np.int32)
     factor = np.uint64(0x100000001B3)
     h = np.zeros(len(words), np.uint64)
     for k in range(int(n.max(initial=0))):  # letter by letter, of the words that are so long
@@ -103,8 +105,9 @@ class Features:
 
     @classmethod
     def of(cls, words: list[str]) -> Features:
-        cells, n = word_features(words)
-        return cls(cells, np.cumsum(n) - n, n)
+        parts = [word_features(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)] or [word_features([])]
+        n = np.concatenate([n for _, n in parts])
+        return cls(np.concatenate([c for c, _ in parts]), np.cumsum(n) - n, n)
 
     def taken(self, words: np.ndarray) -> Features:
         n = self.lengths[words]
@@ -120,6 +123,8 @@ class Features:
     def vectors(self, table: np.ndarray, dropped: np.ndarray | None = None) -> np.ndarray:
         if not len(self.starts):
             return np.zeros((0, table.shape[1]), np.float32)
+        if dropped is None and len(self.starts) > AT_ONCE:
+            return np.concatenate([self.taken(np.arange(i, min(i + AT_ONCE, len(self.starts)))).vectors(table) for i in range(0, len(self.starts), AT_ONCE)])
         w = self.weights() if dropped is None else self.weights() * dropped
         return np.add.reduceat(table[self.cells] * w[:, None], self.starts, axis=0)
 
@@ -343,19 +348,20 @@ def fitted(texts: list[str], y: np.ndarray, seed: int = 11, rounds=(3, 2), batch
     owner = np.repeat(np.arange(len(y)), np.diff(cuts))
     pairs = distinct(owner * len(vocabulary) + ids)
     counts = [np.zeros(CELLS), np.zeros(CELLS)]
-    for lo in range(0, len(y), 200):  # some texts at a time
-        part = pairs[np.searchsorted(pairs, lo * len(vocabulary)) : np.searchsorted(pairs, (lo + 200) * len(vocabulary))]
+    for lo in range(0, len(y), 50):  # some texts at a time
+        part = pairs[np.searchsorted(pairs, lo * len(vocabulary)) : np.searchsorted(pairs, (lo + 50) * len(vocabulary))]
         w = part % len(vocabulary)
         own = features.taken(w)
         cells, k = own.cells, own.lengths
         once = distinct(np.repeat(part // len(vocabulary), k) * CELLS + cells)
+        del own, cells
         for c in (0, 1):
             counts[c] += np.bincount(once[y[once // CELLS] == c] % CELLS, minlength=CELLS)
     share = y.mean()
     odds = np.log((counts[1] + 4 * share) / (counts[0] + 4 * (1 - share)) * (1 - share) / share)
     alive = counts[0] + counts[1] >= SEEN
     odds[~alive] = 0
-    word_odds = np.maximum.reduceat(odds[features.cells], features.starts)
+    word_odds = np.maximum.reduceat(odds.astype(np.float32)[features.cells], features.starts)
     steps = np.arange(SPAN)[:, None]
     score = np.concatenate([word_odds[ids[first[i : i + 65536] + np.minimum(steps, n[i : i + 65536] - 1)]].max(0) for i in range(0, len(first), 65536)])
     p = initial(rng)
@@ -398,7 +404,7 @@ def fitted(texts: list[str], y: np.ndarray, seed: int = 11, rounds=(3, 2), batch
     return {"p": p, "scale": (max(a, 0.05), b)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, sample_chars: int = 40_000) -> tuple[dict | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4_000, sample_chars: int = 40_000) -> tuple[dict | None, float]:
     """The network and the share of label 1 among the rows that it learned from."""
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("_label"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "_label").limit(sample)
