@@ -149,7 +149,7 @@ def l2_normalize(vector) -> Column:
     """Unit length; a zero vector stays as it is."""
     v = _c(vector)
     n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    return F.zip_with(v, F.array_repeat(F.when(n == 0, 1.0).otherwise(n), F.size(v)), lambda x, y: x / y)  # the norm once, not per place
 
 
 def severity_string(counts: dict[str, Column]) -> Column:

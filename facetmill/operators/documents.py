@@ -76,7 +76,8 @@ def hash_embedding(text: str, dim: int):
     """One-hot at the sum of code points modulo dim: an embedder for tests, without Python."""
     codes = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     at = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x) % dim
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (i == at).cast("double"))
+    at = at.cast("int")
+    return F.concat(F.array_repeat(F.lit(0.0), at), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dim - 1 - at))
 
 
 def embedder(embed: Callable[[list[str]], np.ndarray]):
