@@ -54,7 +54,9 @@ def chunk_documents(pages: DataFrame, least: int = 200, most: int = 1500, paragr
         for batch in batches:
             chunks = [pack_paragraphs(t, least, most, paragraph) for t in batch["text"]]
             n = [len(c) for c in chunks]
-            yield pd.DataFrame({"source": batch["source"].repeat(n), "page": batch["page"].repeat(n), "pos": [i for k in n for i in range(k)], "text": [c for x in chunks for c in x]})
+            if not sum(n):
+                continue
+            yield pd.DataFrame({"source": np.repeat(batch["source"].to_numpy(object), n), "page": np.repeat(batch["page"].to_numpy(), n), "pos": [i for k in n for i in range(k)], "text": np.array([c for x in chunks for c in x], object)}, dtype=object)
 
     rows = pages.select("source", F.col("page").cast("long").alias("page"), "text").mapInPandas(run, "source string, page long, pos long, text string")
     return number_chunks(rows)

@@ -97,7 +97,7 @@ def test_chunks(spark):
     assert documents.pack_paragraphs("a" * 199 + "\n\n" + "b" * 50) == ["a" * 199 + "\n\n" + "b" * 50]
     assert documents.pack_paragraphs("a" * 200 + "\n\n" + "b" * 50) == ["a" * 200, "b" * 50]
     assert [len(c) for c in documents.pack_paragraphs("x" * 3100)] == [1500, 1500, 100]
-    pages = spark.createDataFrame([("s", 1, "one"), ("s", 2, "two\n\n" + "y" * 300), ("t", 1, None)], "source string, page int, text string")
+    pages = spark.createDataFrame([("s", 1, "one"), ("s", 2, "two\n\n" + "y" * 300), ("t", 1, None)], "source string, page long, text string")
     rows = documents.chunk_documents(pages).orderBy("source", "chunk_id").collect()
     assert [(r.page, r.chunk_id) for r in rows] == [(1, 0), (2, 1)]
 
