@@ -3,7 +3,8 @@
 A seed mask fixes which words of a short window count and which are ignored, so a window still
 matches when an ignored word was replaced. Seeds of the benchmark items are joined with those of
 every position of every text; around each hit the item is laid over the text along that diagonal,
-and the stretch that scores best (a match counts 1, a mismatch -4) must hold enough equal words.
+and a stretch of it must hold at least ``min_words`` equal words and ``min_share`` of its words; of
+such stretches the one with the most equal words is given. The masks hit every such stretch.
 
 Words are runs of letters and digits after lower-casing and dropping other signs. An item of fewer
 than ``min_words`` words must occur as a whole.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: 1: the word counts; 0: it is ignored.
-MASKS = ("111111", "11011011", "1110010011", "110100111", "10101010101", "1100110011")
+MASKS = ("111111", "11011011", "1110010011", "110100111", "10101010101", "1100110011", "11101011")
 OVERLAPS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()), T.StructField("matched", T.LongType())]))
 #: Characters of benchmark text in one index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 1 << 26
@@ -104,17 +105,19 @@ class SeedIndex:
     def verified(self, ids: np.ndarray, start: int, end: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """(first word in the text, words, equal words) of the best stretch, if it is an overlap."""
         x = self.items[item]
-        lo, hi = max(start, diagonal), min(end, diagonal + len(x))
-        same = ids[lo:hi] == x[lo - diagonal : hi - diagonal]
-        score = np.append(0, np.cumsum(np.where(same, 1, -4)))
-        drop = score - np.minimum.accumulate(score)
-        last = int(np.argmax(drop))
-        first = int(np.argmin(score[: last + 1]))
-        equal = int(same[first:last].sum())
         need = min(self.min_words, len(x))
-        if equal < need or equal < self.min_share * (last - first) or len(x) < self.min_words and equal < len(x):
+        lo, hi = max(start, diagonal), min(end, diagonal + len(x))
+        equal = np.append(0, np.cumsum(ids[lo:hi] == x[lo - diagonal : hi - diagonal]))
+        if equal[-1] < need:
             return None
-        return lo - start + first, last - first, equal
+        spare = equal - self.min_share * np.arange(len(equal))
+        # from each start, the furthest end up to which the share holds; then both ends shrink to equal words
+        reach = np.maximum.accumulate(spare[::-1])
+        last = np.searchsorted(equal, equal[len(equal) - 1 - np.searchsorted(reach, spare - 1e-9)])
+        first = np.searchsorted(equal, equal, "right") - 1
+        best = int(np.argmax((equal[last] - equal) * len(equal) - (last - first)))  # most equal words, then shortest
+        first, last, equal = int(first[best]), int(last[best]), int(equal[last[best]] - equal[best])
+        return (lo + first - start, last - first, equal) if equal >= need else None
 
     def overlaps(self, texts) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]

@@ -218,6 +218,20 @@ def test_masks_tolerate_substitutions():
             assert any(not any(p + o in hit for o in decontaminate.offsets_of(m)) for m in decontaminate.MASKS for p in range(n - len(m) + 1))
 
 
+def test_short_items_with_replaced_words():
+    for n, k in ((11, 1), (12, 2), *((n, k) for n in range(15, 26) for k in (2, 3)), (20, 4), (21, 4)):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        hits = list(itertools.combinations(range(n), k))
+        found = index.overlaps(pa.array(["before it " + " ".join("x" if i in hit else w for i, w in enumerate(item)) + " after it" for hit in hits]))
+        for hit, rows in zip(hits, found):
+            equal = np.append(0, np.cumsum([i not in hit for i in range(n)])).tolist()
+            best = max(equal[b] - equal[a] for a, b in itertools.combinations(range(n + 1), 2) if equal[b] - equal[a] >= 0.8 * (b - a))
+            assert [r["matched"] for r in rows] == [best] and best >= max(10, 0.8 * rows[0]["words"]), (n, hit)
+    index = decontaminate.SeedIndex([(1, " ".join(f"w{i}" for i in range(15)))])
+    assert index.overlaps(pa.array([" ".join("x" if i in (2, 5, 8, 11) else f"w{i}" for i in range(15))])) == [[]]
+
+
 def test_mixing(spark, odd, none, sf_dir):
     out = mixing.mix_sources(table(spark, sf_dir, "documents")).toPandas()
     per = out.groupby("source").agg(size=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
