@@ -44,7 +44,7 @@ LEVELS = 3
 BLOCK = 512
 
 
-def runs_for(recall: float, meet: float = 1 - math.exp(-1), levels: int = 2) -> int:
+def runs_for(recall: float, meet: float = 1 - math.exp(-1), levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold, split ``levels`` times, was together with this chance."""
     return math.ceil(math.log(1 - recall) / math.log(1 - meet**levels))
 

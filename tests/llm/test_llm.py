@@ -200,6 +200,26 @@ def test_near_copies(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in jaccard_join.without_near_copies(odd).collect()) == [0, 1, 2, 3, 5, 6]
 
 
+def test_near_copies_on_the_last_level(spark):
+    # every text is 10 of 25 passages, so buckets stay large but no half stays together; each has a copy at the threshold
+    rng = np.random.default_rng(3)
+    passages = [[f"p{p}w{i}" for i in range(20)] for p in range(25)]
+    docs = []
+    for i in range(300):
+        w = sum((passages[p] for p in rng.permutation(25)[:10]), [])
+        docs += [list(w), list(w)]
+        for k in (10, 60, 110, 160):
+            docs[-1][k] = f"x{i}"
+        docs[-1][0] = f"x{i}"
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in docs]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 600, 2)]
+    assert all(0.8 <= s < 0.81 for s in near)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in jaccard_join.near_copies(rows, leaf=8).collect()}
+    assert 1 - (1 - (1 - np.exp(-1)) ** jaccard_join.LEVELS) ** jaccard_join.runs_for(0.99) >= 0.99
+    assert np.mean([got[i] == got[i + 1] for i in range(0, 600, 2)]) >= 0.99
+
+
 def test_decontamination(spark, odd, none):
     item = "the quick brown fox jumps over a lazy dog near the old river bank today"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny item here")], "item_id long, text string")
