@@ -41,36 +41,53 @@ PLAIN_WORDS = frozenset(
 )
 #: Of those, the words that count even on an article or main element itself.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo promoted related recommended reply sponsored teaser".split())
+#: A class or id with one of these speaks of the layout of what it wraps ("has-sidebar").
+LAYOUT_WORDS = frozenset("has no with without layout".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD_WORDS = frozenset("header head heading masthead".split())
 CONTENT_WORDS = frozenset("article content entry main post story text".split())
 # Weights of the classifier, in log odds of boilerplate; integers are thousandths.
-W_PLAIN, W_HEADER, W_HEADING_IN_HEADER, W_HIDDEN = 9000, 7000, -500, 12000
+W_PLAIN, W_PLAIN_WORD, W_HEADER, W_HEADING_IN_HEADER, W_HIDDEN = 9000, 6000, 7000, -500, 12000
 W_ARTICLE, W_CONTENT_WORD, W_BASE, W_PROSE_TAG, W_HEADING, W_LIST = -2500, -1000, -600, -900, -500, 300
 W_LINKS, W_PER_WORD, W_MOST_WORDS, W_SIGN = 3500, -60, -1800, 2500
 W_SMOOTH_NEXT, W_SMOOTH_PARENT = 500, 900
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "plain", "header", "content", "article", "hidden")
+    __slots__ = ("tag", "parent", "depth", "plain", "header", "content", "article", "hidden", "loose", "half", "articles", "prose", "linked")
 
     def __init__(self, tag: str, parent: Element | None, attrs: list[tuple[str, str | None]]):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.plain, self.header = (parent.plain, parent.header) if parent else (False, False)
+        self.header = parent.header if parent else False
+        self.articles = self.prose = self.linked = 0
         self.content, self.article, self.hidden = (parent.content, parent.article, parent.hidden) if parent else (False, False, False)
-        words, role = set(), ""
+        words, marks, role = set(), set(), ""
         for k, v in attrs:
             if k in ("class", "id") and v and tag not in ("html", "body"):
-                words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+                for name in v.split():
+                    new = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+                    words |= new
+                    # the id of a heading or of an article's section is an anchor made from its title
+                    anchor = k == "id" and (tag in HEADINGS or tag == "section" and self.article and not new <= ARTICLE_WORDS)
+                    if not anchor and not new & LAYOUT_WORDS:
+                        marks |= new
             elif k == "role":
                 role = (v or "").strip().lower()
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v.lower()):
                 self.hidden = True
         own = tag in ("article", "main") or role in ("main", "article")
-        plain = tag in PLAIN_TAGS or role in PLAIN_ROLES and not (role == "banner" and tag == "header") or bool(words & (ARTICLE_WORDS if own else PLAIN_WORDS))
-        self.plain = self.plain or plain
-        self.header = self.header or tag == "header" or role == "banner" or bool(words & HEAD_WORDS) and not own and tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
-        self.article = self.article or own and not plain
+        strict = tag in PLAIN_TAGS and tag != "form" or role in PLAIN_ROLES and role != "form" and not (role == "banner" and tag == "header")
+        strong = bool(marks & ARTICLE_WORDS)
+        weak = tag == "form" or role == "form" or not own and bool(marks & PLAIN_WORDS)
+        self.plain = W_PLAIN if strict or strong else W_PLAIN_WORD if weak else 0
+        self.loose, self.half = not strict, not strong
+        self.header = self.header or tag == "header" or role == "banner" or bool(marks & HEAD_WORDS) and not own and tag not in HEADINGS
+        if own and not self.plain:
+            self.article, at = True, self
+            while at:
+                at.articles += 1
+                at = at.parent
         self.content = self.content or bool(words & CONTENT_WORDS)
 
 
@@ -93,6 +110,11 @@ class Blocks(HTMLParser):
                 while at.parent and at.tag not in BLOCK_TAGS:
                     at = at.parent
                 self.blocks.append((text, at, min(1.0, self.n_link / len(text))))
+                linked = min(len(text), self.n_link)
+                while at:
+                    at.linked += linked
+                    at.prose += len(text) - linked
+                    at = at.parent
             self.parts, self.n_link = [], 0
 
     def _pop(self) -> None:
@@ -155,13 +177,27 @@ class Blocks(HTMLParser):
         return self.blocks
 
 
+def plain_weight(at: Element) -> int:
+    """The heaviest mark of boilerplate on an element and its ancestors.
+
+    A keyword or form marks nothing if it wraps the page: all its articles, or, where there are none, most of its prose.
+    """
+    marked = []
+    while at.parent:
+        if at.plain:
+            marked.append(at)
+        at = at.parent
+    wraps = lambda e: e.loose and e.prose > e.linked and (e.articles == at.articles if at.articles else e.half and 2 * e.prose > at.prose)
+    return max((e.plain for e in marked if not wraps(e)), default=0)
+
+
 def block_cost(text: str, at: Element, links: float) -> int:
     """Log odds of boilerplate, in thousandths."""
-    heading = at.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+    heading, plain = at.tag in HEADINGS, plain_weight(at)
     cost = W_BASE + int(W_LINKS * links) + max(W_MOST_WORDS, W_PER_WORD * (text.count(" ") + 1))
-    cost += W_PLAIN * at.plain + W_HIDDEN * at.hidden + W_ARTICLE * at.article + W_CONTENT_WORD * at.content
+    cost += plain + W_HIDDEN * at.hidden + W_ARTICLE * at.article + W_CONTENT_WORD * at.content
     if at.header:
-        cost += W_HEADING_IN_HEADER if heading and (at.article or at.content) and not at.plain else W_HEADER
+        cost += W_HEADING_IN_HEADER if heading and (at.article or at.content) and not plain else W_HEADER
     if at.tag in ("p", "pre", "blockquote"):
         cost += W_PROSE_TAG
     elif heading:

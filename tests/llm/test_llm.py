@@ -55,6 +55,15 @@ def test_html():
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div id='sidebar-right-layout'", "div class=widget", "form action=/"])
+def test_html_wrappers_keep_the_article(wrapper):
+    text, tag = " ".join(["word"] * 40), wrapper.split()[0]
+    aside = "<nav><a href=/>Home</a></nav><div class=sidebar><a href=/a>Other page</a></div><section id=comments><p>I think so too.</p></section>"
+    article = f"<h1>Title</h1><p>{text}</p><section id=related-work><p>Work.</p></section><section id=legal-form><h2 id=how-to-search>How</h2><p>{text}</p></section>"
+    assert html_extract.main_text(f"<body><{wrapper}><article>{article}</article>{aside}</{tag}></body>") == f"Title\n\n{text}\n\nWork.\n\nHow\n\n{text}"
+    assert html_extract.main_text(f"<body><{wrapper}><h1>Title</h1><p>{text}</p>{aside}</{tag}></body>") == f"Title\n\n{text}"
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(40):
