@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, lean, stored, table
 
 #: 1: the word counts; 0: it is ignored.
 MASKS = ("111111", "11011011", "1110010011", "110100111", "10101010101", "1100110011", "11101011")
 OVERLAPS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()), T.StructField("matched", T.LongType())]))
 #: Characters of benchmark text in one index; a larger benchmark is searched in several passes.
-INDEX_CHARS = 1 << 26
+INDEX_CHARS = 1 << 22
 
 
 def word_lists(texts) -> pa.ListArray:
@@ -153,9 +153,13 @@ def slices(batch: pa.RecordBatch, column: str, at_once: int = 8_000_000) -> Iter
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "overlaps", **options) -> DataFrame:
     """The documents with a column of their overlaps with benchmark items, at most one an item.
 
-    The benchmark is read to the driver and sent out in parts of at most ``INDEX_CHARS``
-    characters, each searched against all documents; usually there is one part.
+    A column that the documents have under that name is an error.
+
+    The benchmark is read to the driver and sent out in parts of about ``INDEX_CHARS`` characters,
+    each searched against all documents in a pass of its own; usually there is one part.
     """
+    if column != free_name(docs, column):
+        raise ValueError(f"the documents have a column {column} already")
     spark, items = docs.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = chars // INDEX_CHARS + 1
@@ -173,13 +177,16 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "overlaps
                     new = pa.array([a + b for a, b in zip(old, index.overlaps(batch.column("text")))], kind)
                     yield batch.set_column(batch.schema.get_field_index(column), pa.field(column, kind), new)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
+        if part < parts - 1:
+            out = stored(out, "overlaps")  # one index in memory at a time
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without overlaps, each row judged by its own text."""
-    return with_overlaps(docs, benchmark, "_overlaps", **options).filter(F.size("_overlaps") == 0).drop("_overlaps")
+    column = free_name(docs, "overlaps")
+    return with_overlaps(docs, benchmark, column, **options).filter(F.size(column) == 0).drop(column)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import lean, small, stored, table
 from .components import components
 from .decontaminate import slices
 
@@ -124,7 +124,7 @@ def text_facts(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                 chosen = chosen_paths(flat, ends, threshold, runs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), pa.array(chosen, kind.field("chosen").type)], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FACTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), FACTS)
 
 
 def buckets(classes: DataFrame, leaf: int) -> DataFrame:
@@ -310,14 +310,14 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, l
     members = buckets(classes, leaf)
     lists = stored(members.groupBy("cid").agg(F.collect_list("key").alias("all")), "lists")  # some per run
     dealt = blocked(members).join(lists, "cid").select("key", "x", "y", "own", "cid", "all")
-    wanted = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(needed, "key long, x long, y long, own long, cid long")
+    wanted = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(needed), "key long, x long, y long, own long, cid long")
     wanted = wanted.groupBy("cid").agg(F.collect_list(F.struct("key", "x", "y", "own")).alias("wanted"))
     wanted = stored(wanted.join(lists, "cid").join(classes.drop("chosen"), "cid"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(wanted, "cid")
     texts = texts.select("cid", "text", "copies", "wanted", "all", "k1", "k2")
-    sets = texts.mapInArrow(with_sets, f"cid long, copies long, wanted {WANTED}, all array<bigint>, shingles binary")
+    sets = texts.mapInArrow(lean(with_sets), f"cid long, copies long, wanted {WANTED}, all array<bigint>, shingles binary")
     spread = sets.select("cid", "copies", "all", "shingles", F.explode("wanted").alias("w")).select("w.*", "cid", "copies", "all", "shingles")
-    links = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compared(threshold), "cid long, links long, root long")
+    links = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(compared(threshold)), "cid long, links long, root long")
     links = stored(links, "links")
     reach = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     reach = reach.join(links.groupBy("cid").agg(F.sum("links").alias("links")).withColumnRenamed("cid", "node"), "node", "left")

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attempt_name, open_input, open_output, scratch, stored, table
+from .common import arrow_rows, attempt_name, give_back, lean, open_input, open_output, scratch, stored, table
 
 BLOCK = 8192
+#: Lines of words that go to the library in one call: bounds what it returns at once.
+LINES = 512
 MAGIC = b"FMPACK01"
 
 
@@ -166,12 +168,14 @@ def write_packed(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int =
                 if writer.n_ids >= ids_per_file:
                     close()
                     writer = None
+                give_back()
         if writer:
             close()
         yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("partition", pa.int64()), ("part", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    files = stored(rows.mapInArrow(run, "path string, partition long, part long, n_ids long, n_docs long"), "packed-files")
+    with arrow_rows(docs.sparkSession, 1000):
+        files = stored(rows.mapInArrow(lean(run), "path string, partition long, part long, n_ids long, n_docs long"), "packed-files")
     order = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
@@ -196,7 +200,9 @@ def library_encoder(path: str, together: int = 64):
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [words[i : i + together] for i in range(0, len(words), together)]
         ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for line, got in zip(lines, library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        # some lines a call: the library's results take many times the room of the ids
+        encoded = (e for i in range(0, len(lines), LINES) for e in library.encode_batch_fast([" ".join(x) for x in lines[i : i + LINES]], add_special_tokens=False))
+        for line, got in zip(lines, encoded):
             flat = np.array(got.ids, np.int64)
             stops = np.flatnonzero(last[flat]) + 1
             if len(stops) != len(line) or stops[-1] != len(flat):
@@ -220,7 +226,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                 first = 0
                 while first < len(ends):  # some documents at a time
                     at = int(ends[first] - file.counts[first])
-                    stop = max(first + 1, int(np.searchsorted(ends, at + (1 << 21), "right")))
+                    stop = max(first + 1, int(np.searchsorted(ends, at + (1 << 20), "right")))
                     data = memoryview(file.ids(at, int(ends[stop - 1])).astype("<u4").tobytes())
                     cuts = [0, *((ends[first:stop] - at) * 4).tolist()]
                     crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(cuts, cuts[1:])), np.int64, stop - first)
@@ -231,7 +237,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     first = stop
 
     n = manifest.count()
-    return manifest.select("path", "before").repartition(max(1, n), "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "before").repartition(max(1, n), "path").mapInPandas(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_pack(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import free_name, held_out, lean, table
 from .decontaminate import slices
 
 SPAN, STRIDE = 24, 12
@@ -40,7 +40,7 @@ AT_ONCE = 16_384
 #: Cells of fewer texts carry nothing.
 SEEN = 4
 #: Words that a worker remembers before it starts anew: bounds its memory.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 def words_of(texts) -> tuple[pa.Array, np.ndarray]:
@@ -428,7 +428,7 @@ def with_score(docs: DataFrame, model: dict | None, share: float, column: str =
                 yield batch.set_column(batch.schema.get_field_index(column), pa.field(column, pa.float64()), new)
 
     out = docs.withColumn(column, F.lit(0.0))
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
@@ -441,7 +441,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
     """The documents that score below the threshold, each row judged by its own text."""
     model, share = fit(docs, labels, **bounds)
-    return with_score(docs, model, share, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    column = free_name(docs, "toxicity")
+    return with_score(docs, model, share, column).filter(F.col(column) < threshold).drop(column)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

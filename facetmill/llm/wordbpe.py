@@ -24,8 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker remembers before it starts anew: bounds its memory.
-REMEMBERED = 600_000
+from .common import lean, table
+
+#: Words that a worker remembers before it forgets the rare ones: bounds its memory.
+REMEMBERED = 150_000
+#: Bytes of text that are looked up at once.
+SLICE = 4_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -157,8 +161,26 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = Grown(self.kind), Grown(np.int64), Grown(np.int64)
+        self.slot: dict[str, int] = {}  # slots count up in the dict's own order
+        self.flat, self.starts, self.lengths, self.met = Grown(self.kind), Grown(np.int64), Grown(np.int64), Grown(np.int32)
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = self.starts.n
+        self.slot.update(zip(words, range(first, first + len(words))))
+        self.starts.add(self.flat.n + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.flat.add(ids)
+        self.met.add(np.zeros(len(words), np.int32))
+
+    def forget(self, most: int) -> None:
+        """Keep what was met more than once since the last time, and at most so many: those met most."""
+        met = self.met.data[: self.met.n]
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > most:
+            keep = np.sort(np.argsort(-met, kind="stable")[:most])
+        names, ids, lengths = list(self.slot), self.ids(keep), self.lengths.data[keep]
+        self.clear()
+        self.add([names[i] for i in keep.tolist()], ids, lengths)
 
     def slots(self, words: list[str]) -> np.ndarray:
         """Slots of distinct words."""
@@ -168,12 +190,9 @@ class Remembered:
         if len(new):
             fresh = [words[i] for i in new.tolist()]
             ids, lengths = self.learn(fresh)
-            first = self.starts.n
-            found[new] = np.arange(first, first + len(fresh))
-            self.slot.update(zip(fresh, range(first, first + len(fresh))))
-            self.starts.add(self.flat.n + np.cumsum(lengths) - lengths)
-            self.lengths.add(lengths)
-            self.flat.add(ids)
+            found[new] = np.arange(self.starts.n, self.starts.n + len(fresh))
+            self.add(fresh, ids, lengths)
+        self.met.data[found] += 1
         return found
 
     def ids(self, take: np.ndarray) -> np.ndarray:
@@ -191,14 +210,11 @@ class TextTokens:
         self.words = Remembered(self._learn)
         self.split = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").split
 
-    def _clear(self) -> None:
-        self.words.clear()
-        self.parts.clear()
-        for text, number in self.bpe.added.items():  # no pre-token looks like these
-            self.parts.slot[text] = self.parts.starts.n
-            self.parts.starts.add(np.array([self.parts.flat.n]))
-            self.parts.lengths.add(np.array([1]))
-            self.parts.flat.add(np.array([number]))
+    def _make_room(self) -> None:
+        for known in (self.words, self.parts):
+            known.forget(REMEMBERED // 2)
+        added = {text: number for text, number in self.bpe.added.items() if text not in self.parts.slot}  # no pre-token looks like these
+        self.parts.add(list(added), np.array(list(added.values()), np.int64), np.ones(len(added), np.int64))
 
     def _cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The pre-tokens of all words in turn, and how many each has."""
@@ -227,14 +243,14 @@ class TextTokens:
         per = np.bincount(np.repeat(np.arange(len(words)), n), lengths, len(words)).astype(np.int64)
         return self.parts.ids(take), per
 
-    def chunks(self, texts: pa.Array, at_once: int = 8_000_000):
+    def chunks(self, texts: pa.Array, at_once: int | None = None):
         """Slices of the texts of about so many bytes: (offsets of each text's words, slots of the words)."""
-        texts = pc.fill_null(texts, "")
+        texts, at_once = pc.fill_null(texts, ""), at_once or SLICE
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < len(texts):
             if not self.parts.slot or len(self.words.slot) > REMEMBERED:
-                self._clear()
+                self._make_room()
             stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + at_once)))
             part = texts.slice(first, stop - first)
             if pc.any(pc.match_substring_regex(part, "[\x1c-\x1f]")).as_py():  # Arrow takes these for white space
@@ -277,13 +293,11 @@ def count_batches(path: str):
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count_batches(path), "doc_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lean(count_batches(path)), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
