@@ -39,7 +39,9 @@ def with_surface_type(df: DataFrame) -> DataFrame:
 
 
 def abs_sum(vector) -> Column:
-    return F.aggregate(_c(vector), F.lit(0.0), lambda a, x: a + F.abs(x))
+    """Of a vector in space."""
+    v = _c(vector)
+    return F.abs(v[0]) + F.abs(v[1]) + F.abs(v[2])
 
 
 def face_feature_vector(df: DataFrame, column: str = "features") -> DataFrame:
@@ -64,7 +66,19 @@ def cosine(a, b) -> Column:
 
 
 def angle_deg(a, b) -> Column:
-    return F.degrees(F.acos(cosine(a, b)))
+    """Between two vectors in space; null if a norm is 0."""
+    return F.degrees(F.acos(cosine3(a, b)))
+
+
+def dot3(a, b) -> Column:
+    """Dot product in space, place by place: stays in generated code, unlike ``dot``."""
+    x, y = _c(a), _c(b)
+    return x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+
+
+def cosine3(a, b) -> Column:
+    c = F.try_divide(dot3(a, b), F.sqrt(dot3(a, a)) * F.sqrt(dot3(b, b)))
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
 
 
 def convexity(cos) -> Column:
@@ -81,6 +95,7 @@ def ramp(x, threshold, floor: float = 0.1) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(floor), 1 - F.try_divide(_c(x), _c(threshold))))
 
 
+# Limits of labels, tiers and colours below.
 def score_label(score) -> Column:
     s = _c(score)
     return F.when(s >= 90, "SimulationReady").when(s >= 70, "ReviewRecommended").when(s >= 40, "NeedsAttention").otherwise("NotReady")

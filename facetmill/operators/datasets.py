@@ -22,30 +22,63 @@ def build_labels(faces: DataFrame, rule: DataFrame, proxy: DataFrame, threshold:
     return rows.select("part_id", "face_index", (score > threshold).alias("refinement"), F.coalesce("proxy", F.lit(0.0)).alias("complexity_proxy"), score.alias("rule_score"))
 
 
+def face_labels(faces: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The same from measured faces, which carry both scores."""
+    score = F.coalesce("rule_score", F.lit(0.0))
+    return faces.select("part_id", "face_index", (score > threshold).alias("refinement"), F.coalesce("proxy", F.lit(0.0)).alias("complexity_proxy"), score.alias("rule_score"))
+
+
 def graph_labels(parts: DataFrame, tags: DataFrame) -> DataFrame:
     """(stem, graph_label, graph_label_name) from (stem, defect_tags); no tags mean clean."""
     label = defect_class("defect_tags")
     return parts.select("stem").join(tags.select("stem", "defect_tags"), "stem", "left").select("stem", label.alias("graph_label"), defect_name(label).alias("graph_label_name"))
 
 
-def hash_order(key, seed: int):
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+def smallest(df: DataFrame, text, n: int, bits: int = 16, together: int = 100_000) -> DataFrame:
+    """The n rows with the smallest md5 of ``text`` (equal ones by the text), without ordering the table.
+
+    Rows are counted by the first bits of the hash; whole buckets below the border are in, and only
+    the border bucket is put in order, by finer bits while it holds more than ``together`` rows.
+    """
+    rows = df.withColumn("_text", text).withColumn("_hash", F.md5("_text"))
+    prefix, digits = "", bits // 4
+    while True:
+        depth = len(prefix) + digits
+        inside = rows.filter(F.col("_hash").startswith(prefix)) if prefix else rows
+        counts = sorted((r[0], r[1]) for r in inside.groupBy(F.substring("_hash", 1, depth)).count().collect())  # 2 ** bits rows at most
+        left = n if not prefix else left
+        border, size = "g", 0
+        for value, k in counts:
+            if k > left:
+                border, size = value, k
+                break
+            left -= k
+        if border == "g" or size <= together or depth >= 32:
+            break
+        prefix = border
+    below = rows.filter(F.substring("_hash", 1, len(border)) < border)
+    if border != "g" and left:
+        below = below.unionByName(rows.filter(F.col("_hash").startswith(border)).orderBy("_hash", "_text").limit(left))
+    return below.drop("_text", "_hash")
+
+
+def _marked(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Add split: the n rows of the smallest hashes of the key are val."""
+    val = smallest(df.select(key), F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), n).withColumn("split", F.lit("val"))
+    return df.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def split_train_val(df: DataFrame, key: str, frac: float, seed: int = 0) -> DataFrame:
-    """Add split: exactly max(1, int(n * frac)) rows are val, those of the smallest hashes."""
-    n = max(1, int(df.count() * frac))
-    val = df.select(key).orderBy(hash_order(key, seed), key).limit(n).withColumn("split", F.lit("val"))
-    return df.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """Add split: exactly max(1, int(n * frac)) rows are val, those of the smallest hashes; keys are distinct."""
+    return _marked(df, key, max(1, int(df.count() * frac)), seed)
 
 
 def split_by_source(samples: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Add source and split; all samples of a source fall on one side; max(1, round(sources * ratio)) sources are val."""
     rows = samples.withColumn("source", source_part("stem"))
     sources = rows.select("source").distinct()
-    n = max(1, round(sources.count() * ratio))
-    val = sources.orderBy(hash_order("source", seed), "source").limit(n).withColumn("split", F.lit("val"))
-    return rows.join(val, "source", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    marked = _marked(sources, "source", max(1, round(sources.count() * ratio)), seed)
+    return rows.join(marked, "source")
 
 
 def discover_samples(manifest: DataFrame, graphs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,14 +167,15 @@ def inject_defect(t: Tables, defect: str) -> tuple[Tables, DataFrame]:
         raise ValueError(f"unknown defect {defect}")
     faces = t.faces.groupBy("part_id").agg(F.count("*").alias("n_faces"), F.max("face_index").alias("last_face"))
     edges = t.edges.groupBy("part_id").agg(F.max("edge_index").alias("last_edge"))
-    fit = t.parts.select("part_id", "stem").join(faces, "part_id", "left").join(edges, "part_id", "left").join(_diagonal(t.parts), "part_id").na.fill(0, ["n_faces"])
+    uses = t.coedges.groupBy("part_id").agg(F.max("coedge_index").alias("last_use"))
+    fit = t.parts.select("part_id", "stem").join(faces, "part_id", "left").join(edges, "part_id", "left").join(uses, "part_id", "left").join(_diagonal(t.parts), "part_id").na.fill(0, ["n_faces"])
     least = 2 if defect == "open_shell" else 1
     fit = fit.withColumn("ok", F.col("n_faces") >= least)
     manifest = fit.select(
         F.col("stem").alias("source_stem"), F.concat("stem", F.lit(f"__{defect}")).alias("stem"), F.array(F.lit(defect)).alias("defect_tags"),
         F.when(F.col("ok"), "ok").otherwise("error").alias("status"), F.when(~F.col("ok"), f"needs {least} faces").alias("reason"),
     )
-    good = fit.filter("ok").select("part_id", "last_face", "last_edge", "diag")
+    good = fit.filter("ok").select("part_id", "last_face", "last_edge", "last_use", "diag")
     t = Tables(*[getattr(t, n).join(good.select("part_id"), "part_id", "left_semi") for n in ("parts", "solids", "faces", "edges", "coedges")])
     if defect == "open_shell":
         t = t.with_(faces=t.faces.filter("face_index <> 0").withColumn("solid_id", F.lit(None).cast("int")), coedges=t.coedges.filter("face_index <> 0"), solids=t.solids.limit(0))
@@ -153,15 +187,15 @@ def inject_defect(t: Tables, defect: str) -> tuple[Tables, DataFrame]:
     elif defect == "self_intersection":
         move = lambda df: df.join(good.select("part_id", F.col("diag").alias("d")), "part_id").withColumns({"xmin": F.col("xmin") + 0.25 * F.col("d"), "xmax": F.col("xmax") + 0.25 * F.col("d")}).drop("d")
         last = t.solids.groupBy("part_id").agg((F.max("solid_id") + 1).alias("ls"))
-        number = good.select("part_id", (F.col("last_face") + 1).alias("lf"), (F.coalesce("last_edge", F.lit(-1)) + 1).alias("le"))
+        number = good.select("part_id", (F.col("last_face") + 1).alias("lf"), (F.coalesce("last_edge", F.lit(-1)) + 1).alias("le"), (F.coalesce("last_use", F.lit(-1)) + 1).alias("lu"))
         solids = move(t.solids).join(last, "part_id").withColumn("solid_id", (F.col("solid_id") + F.col("ls")).cast("int")).drop("ls")
-        copy = move(t.faces).join(number, "part_id").join(last, "part_id", "left").withColumns({"face_index": F.col("face_index") + F.col("lf"), "solid_id": (F.col("solid_id") + F.col("ls")).cast("int")}).drop("lf", "le", "ls")
-        es = t.edges.join(number, "part_id").withColumn("edge_index", F.col("edge_index") + F.col("le")).drop("lf", "le")
-        cs = t.coedges.join(number, "part_id").withColumns({"face_index": F.col("face_index") + F.col("lf"), "edge_index": F.col("edge_index") + F.col("le"), "coedge_index": F.col("coedge_index") + F.col("lf")}).drop("lf", "le")
+        copy = move(t.faces).join(number, "part_id").join(last, "part_id", "left").withColumns({"face_index": F.col("face_index") + F.col("lf"), "solid_id": (F.col("solid_id") + F.col("ls")).cast("int")}).drop("lf", "le", "lu", "ls")
+        es = t.edges.join(number, "part_id").withColumn("edge_index", F.col("edge_index") + F.col("le")).drop("lf", "le", "lu")
+        cs = t.coedges.join(number, "part_id").withColumns({"face_index": F.col("face_index") + F.col("lf"), "edge_index": F.col("edge_index") + F.col("le"), "coedge_index": F.col("coedge_index") + F.col("lu")}).drop("lf", "le", "lu")
         t = t.with_(solids=t.solids.unionByName(solids), faces=t.faces.unionByName(copy.select(t.faces.columns)), edges=t.edges.unionByName(es), coedges=t.coedges.unionByName(cs))
     else:
         extra = good.select("part_id", (F.coalesce("last_edge", F.lit(-1)) + 1).cast("int").alias("edge_index"), F.lit(1e-9).alias("length"), F.lit(False).alias("is_degenerated"))
-        use = extra.select("part_id", (F.col("edge_index") + 1_000_000).alias("coedge_index"), F.lit(0).alias("face_index"), "edge_index", F.lit(1).alias("orientation"), F.lit(0).alias("loop_position"))
+        use = extra.join(good.select("part_id", (F.coalesce("last_use", F.lit(-1)) + 1).cast("int").alias("coedge_index")), "part_id").select("part_id", "coedge_index", F.lit(0).alias("face_index"), "edge_index", F.lit(1).alias("orientation"), F.lit(0).alias("loop_position"))
         t = t.with_(edges=t.edges.unionByName(extra), coedges=t.coedges.unionByName(use))
     return _renamed(t, defect), manifest
 

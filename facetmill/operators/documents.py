@@ -12,42 +12,36 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import l2_normalize
 
+# Where sentences end, and the sizes of chunks.
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
+LEAST, MOST = 200, 1500
 
 
-def pack_paragraphs(text: str, least: int = 200, most: int = 1500, paragraph: str = r"\n\s*\n") -> list[str]:
-    """Chunks of a page: short paragraphs gather until ``least`` characters, long ones are cut at sentence ends to ``most``."""
-    done: list[str] = []
-    held = ""
+def split_sentences(text: str, most: int = MOST) -> list[str]:
+    """A text of at most ``most`` characters as it is; a longer one as runs of sentences, cut hard where a sentence is longer."""
+    if len(text) <= most:
+        return [text] if text else []
+    done = [""]
+    for s in SENTENCE_END.split(text):
+        if done[-1] and len(done[-1]) + 1 + len(s) <= most:
+            done[-1] += " " + s
+        else:
+            done += [s[i : i + most] for i in range(0, len(s), most)]
+    return [x for x in done if x]
 
-    def flush() -> None:
-        nonlocal held
-        if held:
-            done.append(held)
-        held = ""
 
+def pack_paragraphs(text: str, least: int = LEAST, most: int = MOST, paragraph: str = r"\n\s*\n") -> list[str]:
+    """Chunks of a page: paragraphs gather until there are ``least`` characters; what has gathered is cut at sentence ends to ``most``."""
+    groups: list[str] = []
     for piece in (p.strip() for p in re.split(paragraph, text or "")):
-        if not piece:
-            continue
-        if held and len(held) < least:
-            held += "\n\n" + piece
-        else:
-            flush()
-            held = piece
-        if len(held) > most:
-            sentences, held = SENTENCE_END.split(held), ""
-            for s in sentences:
-                if held and len(held) + 1 + len(s) > most:
-                    flush()
-                held = f"{held} {s}" if held else s
-                while len(held) > most:
-                    done.append(held[:most])
-                    held = held[most:]
-    flush()
-    return done
-
-
-def chunk_documents(pages: DataFrame, least: int = 200, most: int = 1500, paragraph: str = r"\n\s*\n") -> DataFrame:
+        if piece and groups and len(groups[-1]) < least:
+            groups[-1] += "\n\n" + piece
+        elif piece:
+            groups.append(piece)
+    return [chunk for group in groups for chunk in split_sentences(group, most)]
+
+
+def chunk_documents(pages: DataFrame, least: int = LEAST, most: int = MOST, paragraph: str = r"\n\s*\n") -> DataFrame:
     """(source, page, chunk_id, text): chunks of every page, numbered from 0 over the pages of a source."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,14 +114,15 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 3, at_once: int = 409
                 if not len(batch) or not len(ids):
                     continue
                 score = q @ np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]).T
-                keys = batch["key"].to_numpy()
+                keys, found = batch["key"].to_numpy(), []
                 for i, row in enumerate(score):
                     top = np.lexsort((keys, -row))[:k] if len(row) <= 4 * k else None
                     if top is None:
                         edge = np.partition(row, -k)[-k]
                         near = np.flatnonzero(row >= edge)
                         top = near[np.lexsort((keys[near], -row[near]))[:k]]
-                    yield pd.DataFrame({"query_id": ids[i], "key": keys[top], "score": row[top]})
+                    found.append((np.full(len(top), ids[i]), keys[top], row[top]))
+                yield pd.DataFrame(dict(zip(("query_id", "key", "score"), map(np.concatenate, zip(*found)))))
 
         one = chunks.select(F.col("key").cast("long").alias("key"), "embedding").mapInPandas(run, "query_id long, key long, score double")
         found = one if found is None else found.unionByName(one)

@@ -31,12 +31,11 @@ class Params:
     defect: tuple[np.ndarray, np.ndarray]
 
 
-def neighbour_mean(x: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part_id, face_index, x, mean): position by position, so the means are plain aggregates."""
-    long = edges.join(x.select("part_id", F.col("face_index").alias("src"), F.posexplode("x").alias("pos", "v")), ["part_id", "src"])
-    means = long.groupBy("part_id", F.col("dst").alias("face_index"), "pos").agg(F.avg("v").alias("v"))
-    packed = means.groupBy("part_id", "face_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("mean"))
-    return x.join(packed, ["part_id", "face_index"], "left")
+def neighbour_mean(x: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    """(part_id, face_index, x, mean): the mean of each position is an aggregate of its own, so nothing is exploded."""
+    near = edges.join(x.select("part_id", F.col("face_index").alias("src"), "x"), ["part_id", "src"])
+    means = near.groupBy("part_id", F.col("dst").alias("face_index")).agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean"))
+    return x.join(means, ["part_id", "face_index"], "left")
 
 
 def _apply(rows: DataFrame, function, schema: str) -> DataFrame:
@@ -52,35 +51,41 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.stack([np.zeros(width) if v is None else np.asarray(v, np.float64) for v in column])
 
 
-def sage_forward(features: DataFrame, adjacency: DataFrame, params: Params) -> DataFrame:
-    """(part_id, face_index, x): embeddings of faces from (part_id, face_index, features)."""
+EMBEDDED = "part_id long, face_index int, x array<double>"
+HEADS = "refinement_prob double, complexity_score double"
+
+
+def _heads(e: np.ndarray, params: Params) -> dict[str, np.ndarray]:
+    sig = lambda w: 1 / (1 + np.exp(-(e @ w[0] + w[1])))
+    return {"refinement_prob": sig(params.refine), "complexity_score": sig(params.complexity)}
+
+
+def sage_forward(features: DataFrame, adjacency: DataFrame, params: Params, heads: bool = False) -> DataFrame:
+    """(part_id, face_index, x): embeddings of faces from (part_id, face_index, features); with ``heads``
+    the probabilities of ``face_heads`` come along, from the same pass."""
     edges = edge_index(adjacency)
     x = features.select("part_id", "face_index", F.col("features").alias("x"))
     for i, (neigh, bias, own) in enumerate(params.layers):
+        last = i == len(params.layers) - 1
 
-        def layer(batch, neigh=neigh, bias=bias, own=own, last=i == len(params.layers) - 1):
+        def layer(batch, neigh=neigh, bias=bias, own=own, last=last):
             out = _matrix(batch["mean"], len(neigh)) @ neigh + bias + _matrix(batch["x"], len(own)) @ own
-            return pd.DataFrame({"part_id": batch["part_id"], "face_index": batch["face_index"], "x": list(out if last else np.maximum(out, 0))})
+            got = {"part_id": batch["part_id"], "face_index": batch["face_index"], "x": list(out if last else np.maximum(out, 0))}
+            return pd.DataFrame(got | (_heads(out, params) if last and heads else {}))
 
-        x = _apply(neighbour_mean(x, edges), layer, "part_id long, face_index int, x array<double>")
+        x = _apply(neighbour_mean(x, edges, len(neigh)), layer, f"{EMBEDDED}, {HEADS}" if last and heads else EMBEDDED)
     return x
 
 
 def face_heads(x: DataFrame, params: Params) -> DataFrame:
     """(part_id, face_index, refinement_prob, complexity_score)."""
-
-    def heads(batch):
-        e = _matrix(batch["x"], len(params.refine[0]))
-        sig = lambda w: 1 / (1 + np.exp(-(e @ w[0] + w[1])))
-        return pd.DataFrame({"part_id": batch["part_id"], "face_index": batch["face_index"], "refinement_prob": sig(params.refine), "complexity_score": sig(params.complexity)})
-
-    return _apply(x, heads, "part_id long, face_index int, refinement_prob double, complexity_score double")
+    heads = lambda batch: pd.DataFrame({"part_id": batch["part_id"], "face_index": batch["face_index"]} | _heads(_matrix(batch["x"], len(params.refine[0])), params))
+    return _apply(x, heads, f"part_id long, face_index int, {HEADS}")
 
 
 def graph_head(x: DataFrame, params: Params) -> DataFrame:
     """(part_id, defect, confidence, probs) from the mean embedding of a part's faces."""
-    means = x.select("part_id", F.posexplode("x").alias("pos", "v")).groupBy("part_id", "pos").agg(F.avg("v").alias("v"))
-    pooled = means.groupBy("part_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("x"))
+    pooled = x.groupBy("part_id").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(params.defect[0]))]).alias("x"))
 
     def head(batch):
         z = _matrix(batch["x"], len(params.defect[0])) @ params.defect[0] + params.defect[1]
@@ -94,12 +99,11 @@ def graph_head(x: DataFrame, params: Params) -> DataFrame:
     return out.select("part_id", F.element_at(names, best).alias("defect"), F.array_max("p").alias("confidence"), F.map_from_arrays(names, "p").alias("probs"))
 
 
-def learned_scores(x: DataFrame, heads: DataFrame, dim: int = 128) -> DataFrame:
-    """(part_id, face_index, score, embedding): the mean of both heads; embeddings padded or cut."""
+def learned_scores(x: DataFrame, dim: int = 128) -> DataFrame:
+    """(part_id, face_index, score, embedding): the mean of both heads, which ``x`` has along; embeddings padded or cut."""
     padded = F.slice(F.concat("x", F.array_repeat(F.lit(0.0), dim)), 1, dim)
-    rows = x.join(heads, ["part_id", "face_index"])
     score = clamp01(0.5 * F.col("refinement_prob") + 0.5 * F.col("complexity_score"))
-    return rows.select("part_id", "face_index", score.alias("score"), padded.alias("embedding"), F.lit("learned").alias("score_source"), F.lit(True).alias("weights_loaded"))
+    return x.select("part_id", "face_index", score.alias("score"), padded.alias("embedding"), F.lit("learned").alias("score_source"), F.lit(True).alias("weights_loaded"))
 
 
 def score_faces(t, params: Params | None = None) -> DataFrame:
@@ -107,5 +111,5 @@ def score_faces(t, params: Params | None = None) -> DataFrame:
     adjacency = face_adjacency(t.coedges)
     if params is None:
         return heuristic_scores(t.faces, adjacency)
-    x = sage_forward(face_feature_vector(t.faces).select("part_id", "face_index", "features"), adjacency, params)
-    return learned_scores(x, face_heads(x, params)).drop("embedding")
+    x = sage_forward(face_feature_vector(t.faces).select("part_id", "face_index", "features"), adjacency, params, heads=True)
+    return learned_scores(x).drop("embedding")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import abs_sum, clamp01, complexity_tier, ml_color, score_color, score_label, severity_rank, surface_one_hot_strict
+from ..functions.scalars import abs_sum, clamp01, complexity_tier, ml_color, score_color, score_label, severity_rank
+from ..schemas import SURFACE_TYPES
 from .topology import face_degree
 
 # Weights of the heuristic and of the penalties.
@@ -14,13 +15,18 @@ MAJOR_POINTS, MINOR_POINTS, ML_POINTS, HIGH_SHARE, LOW_SHARE = 15.0, 5.0, 20.0,
 SEVERITIES = ["Critical", "Major", "Minor", "Info"]
 
 
-def heuristic_scores(faces: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(part_id, face_index, score) from area, surface type, degree and normal, with where it comes from."""
-    rows = faces.join(face_degree(adjacency), ["part_id", "face_index"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+def heuristic_score(degree: Column) -> Column:
+    """A face's score from area, surface type, degree and normal."""
     area = F.when(F.col("area") <= TINY_AREA, AREA_SHARE).otherwise(F.least(F.lit(AREA_SHARE), 1 / (1 + F.col("area"))))
     odd = F.when(F.col("surface_type").isin("plane", "cylinder"), 0.0).otherwise(ODD_SURFACE)
-    score = BASE + area + odd + F.least(F.lit(DEGREE_MOST), DEGREE_STEP * F.col("degree")) + F.least(F.lit(NORMAL_MOST), NORMAL_STEP * abs_sum("normal"))
-    return rows.select("part_id", "face_index", clamp01(score).alias("score"), F.lit("heuristic").alias("score_source"), F.lit(False).alias("weights_loaded"))
+    return clamp01(BASE + area + odd + F.least(F.lit(DEGREE_MOST), DEGREE_STEP * degree) + F.least(F.lit(NORMAL_MOST), NORMAL_STEP * abs_sum("normal")))
+
+
+def heuristic_scores(faces: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(part_id, face_index, score) of ``heuristic_score``, with where it comes from."""
+    rows = faces.join(face_degree(adjacency), ["part_id", "face_index"], "left")
+    score = heuristic_score(F.coalesce("degree", F.lit(0)))
+    return rows.select("part_id", "face_index", score.alias("score"), F.lit("heuristic").alias("score_source"), F.lit(False).alias("weights_loaded"))
 
 
 def aggregate_ml(parts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -29,32 +35,38 @@ def aggregate_ml(parts: DataFrame, scores: DataFrame) -> DataFrame:
     return parts.select("part_id").join(mean, "part_id", "left").select("part_id", F.coalesce("mean", F.lit(0.5)).alias("aggregate_score"))
 
 
+def proxy_score(degree: Column, most: Column) -> Column:
+    """A face's complexity from its smallness beside the part's largest face, surface type and degree."""
+    log_share = F.when(F.col("area") > 0, F.try_divide(F.log1p("area"), F.log1p(most))).otherwise(0.0)
+    odd = F.when(F.col("surface_type").isin("plane", "cylinder"), 0.0).otherwise(0.4)
+    proxy = 0.1 + 0.4 * (1 - log_share) + odd + F.least(F.lit(0.5), 0.05 * degree)
+    return F.when(most <= 0, 1.0).otherwise(F.least(F.lit(1.0), proxy))
+
+
 def complexity_proxy(faces: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(part_id, face_index, proxy): relative smallness, surface type and degree."""
-    rows = faces.join(face_degree(adjacency), ["part_id", "face_index"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    most = F.max("area").over(Window.partitionBy("part_id"))
-    log_share = F.when(F.col("area") > 0, F.try_divide(F.log1p("area"), F.log1p("most"))).otherwise(0.0)
-    odd = F.when(F.col("surface_type").isin("plane", "cylinder"), 0.0).otherwise(0.4)
-    proxy = 0.1 + 0.4 * (1 - log_share) + odd + F.least(F.lit(0.5), 0.05 * F.col("degree"))
-    rows = rows.withColumn("most", most)
-    return rows.select("part_id", "face_index", F.when(F.col("most") <= 0, 1.0).otherwise(F.least(F.lit(1.0), proxy)).alias("proxy"))
+    rows = faces.join(face_degree(adjacency), ["part_id", "face_index"], "left").withColumn("most", F.max("area").over(Window.partitionBy("part_id")))
+    return rows.select("part_id", "face_index", proxy_score(F.coalesce("degree", F.lit(0)), F.col("most")).alias("proxy"))
 
 
 def fallback_embedding(faces: DataFrame, scores: DataFrame, dim: int = 128) -> DataFrame:
-    """(part_id, face_index, embedding): tanh pattern over score, area, normal sum and one-hot length."""
+    """(part_id, face_index, embedding): tanh pattern over score, area, normal sum and one-hot length, repeated every four places."""
     rows = faces.join(scores.select("part_id", "face_index", "score"), ["part_id", "face_index"])
-    hot = F.aggregate(surface_one_hot_strict("surface_type"), F.lit(0.0), lambda a, x: a + x)
-    base = F.array("score", "area", abs_sum("normal"), hot)
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.tanh(F.element_at("base", (i % 4 + 1).cast("int")) + 0.1 * (i % 4)))
-    return rows.withColumn("base", base).select("part_id", "face_index", value.alias("embedding"))
+    hot = F.when(F.col("surface_type").isin(*SURFACE_TYPES), 1.0).otherwise(0.0)
+    four = F.array(*[F.tanh(v + 0.1 * i) for i, v in enumerate((F.col("score"), F.col("area"), abs_sum("normal"), hot))])
+    return rows.select("part_id", "face_index", F.slice(F.flatten(F.array_repeat(four, -(-dim // 4))), 1, dim).alias("embedding"))
+
+
+def fused(rule: Column, ml: Column) -> Column:
+    """0.6 of the higher and 0.4 of the lower score; a missing rule score is 0, a missing ML score 0.5."""
+    r, m = clamp01(F.coalesce(rule, F.lit(0.0))), clamp01(F.coalesce(ml, F.lit(0.5)))
+    return HIGH_SHARE * F.greatest(r, m) + LOW_SHARE * F.least(r, m)
 
 
 def fuse_scores(rule: DataFrame, ml: DataFrame) -> DataFrame:
     """(part_id, face_index, score): 0.6 of the higher and 0.4 of the lower; missing rule 0, missing ML 0.5."""
-    r = rule.select("part_id", "face_index", clamp01("score").alias("r"))
-    m = ml.select("part_id", "face_index", clamp01("score").alias("m"))
-    both = r.join(m, ["part_id", "face_index"], "full").withColumns({"r": F.coalesce("r", F.lit(0.0)), "m": F.coalesce("m", F.lit(0.5))})
-    return both.select("part_id", "face_index", (HIGH_SHARE * F.greatest("r", "m") + LOW_SHARE * F.least("r", "m")).alias("score"))
+    both = rule.select("part_id", "face_index", F.col("score").alias("r")).join(ml.select("part_id", "face_index", F.col("score").alias("m")), ["part_id", "face_index"], "full")
+    return both.select("part_id", "face_index", fused(F.col("r"), F.col("m")).alias("score"))
 
 
 def face_overlay(combined: DataFrame, ml: DataFrame) -> DataFrame:
@@ -95,7 +107,11 @@ def score_parts(parts: DataFrame, found: DataFrame, rule: DataFrame, ml: DataFra
         rows = rows.join(mean_face_score(parts, ml, "ml_mean").select("part_id", "ml_mean"), "part_id")
     else:
         rows = rows.withColumn("ml_mean", F.lit(0.0))
-    rows = rows.na.fill(0)
+    return with_scores(rows.na.fill(0))
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """Add ml_penalty, overall (0 to 100) and label to rows of n_critical, n_major, n_minor, ml_mean."""
     penalty = F.col("ml_mean") * ML_POINTS
     left = 100.0 - MAJOR_POINTS * F.col("n_major") - MINOR_POINTS * F.col("n_minor") - penalty
     overall = F.when(F.col("n_critical") > 0, 0.0).otherwise(F.greatest(F.lit(0.0), left))
@@ -140,8 +156,8 @@ def order_parts(rows: DataFrame) -> DataFrame:
 
 
 def guard_parts(rows: DataFrame, max_faces: int = 800) -> DataFrame:
-    """Add status: ok, or skipped as too large."""
-    return rows.withColumn("status", F.when(F.col("face_count") > max_faces, "too_large").otherwise("ok"))
+    """Add status: error (label InvalidInput), skipped as too large, or ok."""
+    return rows.withColumn("status", F.when(F.col("label") == "InvalidInput", "error").when(F.col("face_count") > max_faces, "too_large").otherwise("ok"))
 
 
 def catalog_summary(rows: DataFrame) -> DataFrame:

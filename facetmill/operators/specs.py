@@ -15,7 +15,8 @@ def validate_specs(specs: DataFrame) -> DataFrame:
     """(spec_id, valid, error) of (spec_id, spec_json); the error is the first one in order of steps."""
     parsed = F.from_json("spec_json", f"struct<steps:array<{STEP}>>")["steps"]
     raw = F.from_json("spec_json", "struct<steps:array<string>>")["steps"]
-    rows = specs.select("spec_id", parsed.alias("steps"), raw.alias("raw"))
+    extra = F.size(F.array_except(F.json_object_keys("spec_json"), F.array(F.lit("steps")))) > 0
+    rows = specs.select("spec_id", parsed.alias("steps"), raw.alias("raw"), extra.alias("extra"))
     n = F.size("steps")
 
     def within(x, most):
@@ -42,5 +43,5 @@ def validate_specs(specs: DataFrame) -> DataFrame:
     first = F.try_element_at(F.filter(F.transform("steps", error), lambda e: e.isNotNull()), F.lit(1))
     used = F.flatten(F.transform("steps", lambda s: F.array(s["a"], s["b"])))
     orphans = F.array_except(F.sequence(F.lit(0), n - 1), F.concat(used, F.array(n - 1)))
-    message = F.when(F.col("steps").isNull() | (n < 1), "no steps").when(n > MOST_STEPS, "too many steps").otherwise(F.coalesce(first, F.when(F.size(orphans) > 0, F.concat(F.lit("step "), orphans[0].cast("string"), F.lit(": never used")))))
+    message = F.when(F.col("extra"), "unknown field").when(F.col("steps").isNull() | (n < 1), "no steps").when(n > MOST_STEPS, "too many steps").otherwise(F.coalesce(first, F.when(F.size(orphans) > 0, F.concat(F.lit("step "), orphans[0].cast("string"), F.lit(": never used")))))
     return rows.select("spec_id", message.isNull().alias("valid"), message.alias("error"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import angle_deg, convexity, cosine
 from ..schemas import BOX, Tables
 
-PART = ["part_id"]
+PART = ("part_id",)
 
 
 def edge_faces(coedges: DataFrame, keys=PART) -> DataFrame:

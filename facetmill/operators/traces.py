@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token_estimate
+from .datasets import smallest
 
 
 def _call(c: Column) -> Column:
@@ -64,27 +65,32 @@ def prep_report(df: DataFrame, max_tokens: int = 0) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("drop_reason") == r).alias(r) for r in ("incomplete", "empty", "over_cap")], F.count_if(F.col("drop_reason").isNull()).alias("kept"))
 
 
-def nearest_rank(df: DataFrame, column: str, percents=(25, 50, 75, 95)) -> DataFrame:
-    """(percent, value): the value at place int(n * p / 100) from 0, the last at most.
+def nearest_rank(df: DataFrame, column: str, percents=(25, 50, 75, 95), by: tuple[str, ...] = (), step: int = 4096) -> DataFrame:
+    """(by, percent, value): of a whole-number column, the value at place int(n * p / 100) from 0, the last at most.
 
-    Values are counted first, so the running total passes over distinct values: partial sums per
-    range of values, then inside a range, and no task sees all rows.
+    Values are counted first, then gathered in ranges of ``step`` values: the running total passes
+    over the ranges, and inside only those ranges that hold a wanted place. Ranges and totals are
+    plain aggregates, so no task sees all rows, nor all distinct values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    ranged = ranged.withColumn("upto", inside)
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("m"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.sum("n").alias("total"))
-    wanted = total.select("total", F.explode(F.array(*map(F.lit, percents))).alias("percent")).withColumn("place", F.least(F.floor(F.col("total") * F.col("percent") / 100), F.col("total") - 1))
-    upto = ranged.join(parts, "part").select("value", (F.col("before") + F.col("upto")).alias("upto"))
-    hit = upto.join(F.broadcast(wanted), F.col("upto") > F.col("place"))  # a row a percent
-    return hit.groupBy("percent").agg(F.min("value").alias("value"))
+    by = list(by)
+    part = F.floor(F.col("value") / step)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("part", part)
+    ranges = counts.groupBy(*by, "part").agg(F.sum("n").alias("m"))
+    ordered = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = ranges.withColumns({"before": F.coalesce(F.sum("m").over(ordered), F.lit(0)), "total": F.sum("m").over(Window.partitionBy(*by))})
+    place = F.least(F.floor(F.col("total") * F.col("percent") / 100), F.col("total") - 1)
+    wanted = ranges.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("place", place)
+    wanted = wanted.filter((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("m")))
+    inside = Window.partitionBy(*by, "percent", "part").orderBy("value")
+    hit = counts.join(wanted.select(*by, "part", "percent", "place", "before"), [*by, "part"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    return hit.filter(F.col("upto") > F.col("place")).groupBy(*by, "percent").agg(F.min("value").alias("value"))
 
 
 def split_stats(df: DataFrame, split: str = "split", category: str = "category") -> DataFrame:
-    return df.groupBy(split, category).agg(F.count("*").alias("n"), F.max("token_estimate").alias("max_tokens"), F.count_if(F.col("token_estimate") > 2048).alias("over_2048"))
+    """Per split and category: n, most tokens, how many are over 2048; and p25 to p95 of the tokens of the whole split."""
+    ranks = nearest_rank(df, "token_estimate", by=(split,)).groupBy(split).agg(*[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(f"p{p}") for p in (25, 50, 75, 95)])
+    counts = df.groupBy(split, category).agg(F.count("*").alias("n"), F.max("token_estimate").alias("max_tokens"), F.count_if(F.col("token_estimate") > 2048).alias("over_2048"))
+    return counts.join(F.broadcast(ranks), split, "left")  # a row a split
 
 
 def score_traces(df: DataFrame) -> DataFrame:
@@ -93,23 +99,24 @@ def score_traces(df: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("final_text", F.lit("")))
     themes = F.coalesce("expected_answer_themes", F.array().cast("array<string>"))
     hits = F.size(F.filter(themes, lambda t: F.contains(text, F.lower(t))))
-    in_order = F.filter(got, lambda g: F.array_contains(want, g))
+    made = F.filter(got, lambda g: F.array_contains(want, g))
+    due = F.filter(want, lambda w: F.array_contains(got, w))
     return df.select(
         "*",
         (F.array_sort(F.array_distinct(want)) == F.array_sort(F.array_distinct(got))).alias("exact"),
         (F.size(F.array_except(want, got)) == 0).alias("partial"),
-        (F.array_distinct(in_order) == F.array_distinct(want)).alias("order_ok"),
+        (made == due).alias("order_ok"),  # expected calls that were made, in the expected order and as often
         F.contains(text, F.lit("verdict:")).alias("format_ok"),
         (F.contains(text, F.lit("issues:")) & F.contains(text, F.lit("fixes:"))).alias("sections_ok"),
-        F.when(F.size(themes) == 0, 1.0).otherwise(hits / F.greatest(F.size(themes), F.lit(1))).alias("theme_rate"),
+        F.try_divide(hits.cast("double"), F.size(themes).cast("double")).alias("theme_rate"),  # null without themes
     )
 
 
 def aggregate_eval(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Means over rows without error; n and n_error."""
+    """n, the rows without error, and means over them; n_error; theme_rate over those with themes."""
     ok = F.col("error").isNull()
     means = [F.avg(F.when(ok, F.col(c).cast("double"))).alias(c) for c in ("exact", "partial", "order_ok", "format_ok", "sections_ok", "theme_rate")]
-    return scored.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_error"), *means)
+    return scored.groupBy(*(by or [])).agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("n_error"), *means)
 
 
 def sum_usage(events: DataFrame) -> DataFrame:
@@ -126,18 +133,32 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def build_seed_pool(files: DataFrame, templates: DataFrame, n: int, standards_share: float = 0.12, seed: int = 0) -> DataFrame:
     """n seeds (seed_id, path, template, category): every file with every template, repeated as needed,
-    the rest standards questions (templates of category standards) without a file."""
+    the rest standards questions (templates of category standards) without a file.
+
+    Templates are a short list, held as one array; the last, incomplete turn takes the seeds of the
+    smallest hashes.
+    """
     n_standards = int(n * standards_share)
-    plain = templates.filter("category <> 'standards'")
-    grid = files.select("path").crossJoin(F.broadcast(plain.select("template", "category")))  # templates are a short fixed list
-    size = max(1, grid.count())
-    order = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in c]))
-    some = grid.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-(n - n_standards) // size) - 1))))).orderBy("turn", order("path", "template", "turn")).limit(n - n_standards)
-    std = templates.filter("category = 'standards'")
-    m = max(1, std.count())
-    rest = std.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_standards // m) - 1))))).orderBy("turn", order("template", "turn")).limit(n_standards)
-    rest = rest.select(F.lit(None).cast("string").alias("path"), "template", "category", "turn")
-    out = some.select("path", "template", "category", "turn").unionByName(rest)
+    kinds = F.struct("template", "category")
+    lists = templates.groupBy().agg(F.collect_list(F.when(F.col("category") != "standards", kinds)).alias("plain"), F.collect_list(F.when(F.col("category") == "standards", kinds)).alias("standards")).first()
+    each = lambda rows: F.explode(F.array(*[F.struct(F.lit(r["template"]).alias("template"), F.lit(r["category"]).alias("category")) for r in rows]))
+
+    def turns(rows: DataFrame, key: list[str], wanted: int) -> DataFrame:
+        size = rows.count()
+        if not size or wanted <= 0:
+            return rows.withColumn("turn", F.lit(0)).filter(F.lit(False))
+        whole, rest = divmod(wanted, size)
+        out = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else None
+        if rest:
+            some = smallest(rows.withColumn("turn", F.lit(whole)), F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key]), rest)
+            out = some if out is None else out.unionByName(some)
+        return out
+
+    spark = files.sparkSession
+    empty = spark.range(0).select(F.lit("").alias("path"), F.lit("").alias("template"), F.lit("").alias("category"))
+    plain = files.select("path", each(lists["plain"]).alias("t")).select("path", "t.*") if lists["plain"] else empty
+    std = spark.range(1).select(each(lists["standards"]).alias("t")).select(F.lit(None).cast("string").alias("path"), "t.*") if lists["standards"] else empty
+    out = turns(plain, ["path", "template"], n - n_standards).unionByName(turns(std, ["path", "template"], n_standards))
     return out.withColumn("seed_id", F.md5(F.concat_ws("|", F.coalesce("path", F.lit("-")), "template", F.col("turn").cast("string"))))
 
 

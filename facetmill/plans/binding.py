@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
+from ..common import table as read
 from ..schemas import Tables
 
 # Expressions that both engines read alike.
@@ -12,6 +16,7 @@ _PART = {
     "part_id": "p_partkey",
     "stem": "p_brand || '_' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS VARCHAR(20)) || '__' || CASE p_partkey % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'open_shell' WHEN 2 THEN 'sliver_face' ELSE 'self_intersection' END",
     "is_valid": "p_partkey % 97 <> 0",
+    "load_check": "CASE p_partkey % 97 * 10 + p_partkey % 7 WHEN 0 THEN 'FileNotFound' WHEN 1 THEN 'LoadError' WHEN 2 THEN 'NullShape' WHEN 3 THEN 'AnalysisTimeout' WHEN 4 THEN 'AnalysisError' END",
     "n_solids": "CAST(p_partkey % 4 AS INT)",
     "xmin": "CAST(0 AS DOUBLE)", "ymin": "CAST(0 AS DOUBLE)", "zmin": "CAST(0 AS DOUBLE)",
     "xmax": "CAST(p_size AS DOUBLE)", "ymax": "p_retailprice / 10", "zmax": "CAST(p_partkey % 7 * 5 + 1 AS DOUBLE)",
@@ -38,15 +43,23 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedpr
 _LENGTH = "CASE WHEN edge_index = 0 THEN CAST(0 AS DOUBLE) WHEN edge_index < 3 THEN max_dim * 0.001 * (edge_index + 1) WHEN edge_index < 8 THEN max_dim * 0.02 * edge_index ELSE max_dim * 0.1 * edge_index END"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*[f"{e.replace('VARCHAR(20)', 'STRING')} AS {c}" for c, e in _PART.items()])
 
 
+_STORED: dict[tuple[str, str], Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived catalog, written to the shared folder once an application: jobs read a catalog, they don't derive it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        t = derived(spark, sf_dir)
+        _STORED[key] = Tables(*[stored(getattr(t, n), n) for n in ("parts", "solids", "faces", "edges", "coedges")])
+    return _STORED[key]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Tables:
     p = parts(spark, sf_dir)
     index = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*_ORDER)) - 1
     base = read(spark, sf_dir, "lineitem").select("*", index.alias("face_index")).selectExpr("face_index", *[f"{e} AS {c}" for c, e in _FACE.items()])
@@ -89,9 +102,10 @@ degree AS (SELECT part_id, face_index, count(*) AS degree FROM (SELECT part_id,
 """
 #: DuckDB: findings and rule scores.
 CHECKS = """
-use_rows AS (SELECT c.part_id, c.face_index, c.edge_index, e.length, e.is_degenerated, u.uses, u.turn, p.max_dim FROM coedges c JOIN edges e USING (part_id, edge_index) JOIN edge_uses u USING (part_id, edge_index) JOIN parts p USING (part_id)),
-face_rows AS (SELECT f.*, p.max_dim, count(*) OVER (PARTITION BY f.part_id, f.xmin, f.ymin, f.zmin, f.xmax, f.ymax, f.zmax) AS alike FROM faces f JOIN parts p USING (part_id)),
-use_facts AS (SELECT part_id, count(*) AS edge_count, count(*) FILTER (abs(length) <= 1e-7) AS zero_edges, count(*) FILTER (is_degenerated) AS degenerate_uses,
+good AS (SELECT * FROM parts WHERE is_valid AND load_check IS NULL),
+use_rows AS (SELECT c.part_id, c.face_index, c.edge_index, e.length, e.is_degenerated, u.uses, u.turn, p.max_dim FROM coedges c JOIN edges e USING (part_id, edge_index) JOIN edge_uses u USING (part_id, edge_index) JOIN good p USING (part_id)),
+face_rows AS (SELECT f.*, p.max_dim, count(*) OVER (PARTITION BY f.part_id, f.xmin, f.ymin, f.zmin, f.xmax, f.ymax, f.zmax) AS alike FROM faces f JOIN good p USING (part_id)),
+use_facts AS (SELECT part_id, count(*) AS edge_count, count(*) FILTER (abs(length) <= 1e-7) AS zero_edges, count(DISTINCT edge_index) FILTER (is_degenerated) AS degenerate_edges,
   count(*) FILTER (length > 1e-7 AND length < max_dim * 0.005) AS short_edges, count(*) FILTER (length > 1e-7 AND length < max_dim * 0.2) AS small_edges FROM use_rows GROUP BY ALL),
 edge_facts AS (SELECT part_id, count(*) FILTER (uses > 2) AS crowded_edges, count(*) FILTER (uses = 1) AS open_edges, count(*) FILTER (uses = 2 AND abs(turn) = 2) AS same_way_edges FROM edge_uses GROUP BY ALL),
 face_facts AS (SELECT part_id, count(*) AS face_count, count(*) FILTER (area > 0 AND area < max_dim * max_dim * 0.02) AS small_faces, count(*) FILTER (surface_type = 'cylinder' AND radius <= max_dim * 0.03) AS small_cylinders,
@@ -104,17 +118,17 @@ sharp_rows AS (SELECT * FROM (SELECT i.part_id, i.edge_index, fs[1] AS fa, fs[2]
   FROM incident i JOIN faces a ON a.part_id = i.part_id AND a.face_index = fs[1] JOIN faces b ON b.part_id = i.part_id AND b.face_index = fs[2] WHERE len(fs) = 2) WHERE angle < 15),
 sharp_facts AS (SELECT part_id, count(*) AS sharp_edges FROM sharp_rows GROUP BY ALL),
 facts AS (SELECT p.part_id, p.stem, p.max_dim, least(xmax, ymax, zmax) AS min_dim, coalesce(face_count, 0) AS face_count, coalesce(edge_count, 0) AS edge_count, coalesce(zero_edges, 0) AS zero_edges,
-  coalesce(degenerate_uses, 0) AS degenerate_uses, coalesce(short_edges, 0) AS short_edges, coalesce(small_edges, 0) AS small_edges, coalesce(crowded_edges, 0) AS crowded_edges, coalesce(open_edges, 0) AS open_edges,
+  coalesce(degenerate_edges, 0) AS degenerate_edges, coalesce(short_edges, 0) AS short_edges, coalesce(small_edges, 0) AS small_edges, coalesce(crowded_edges, 0) AS crowded_edges, coalesce(open_edges, 0) AS open_edges,
   coalesce(same_way_edges, 0) AS same_way_edges, coalesce(small_faces, 0) AS small_faces, coalesce(small_cylinders, 0) AS small_cylinders, coalesce(freeform_faces, 0) AS freeform_faces, coalesce(duplicate_faces, 0) AS duplicate_faces,
   coalesce(solid_count, 0) AS solid_count, coalesce(duplicate_solids, 0) AS duplicate_solids, coalesce(thin_solids, 0) AS thin_solids, worst_aspect, coalesce(sharp_edges, 0) AS sharp_edges
-  FROM parts p LEFT JOIN face_facts USING (part_id) LEFT JOIN use_facts USING (part_id) LEFT JOIN edge_facts USING (part_id) LEFT JOIN face_twins USING (part_id) LEFT JOIN solid_facts USING (part_id) LEFT JOIN sharp_facts USING (part_id)),
+  FROM good p LEFT JOIN face_facts USING (part_id) LEFT JOIN use_facts USING (part_id) LEFT JOIN edge_facts USING (part_id) LEFT JOIN face_twins USING (part_id) LEFT JOIN solid_facts USING (part_id) LEFT JOIN sharp_facts USING (part_id)),
 findings AS (
   SELECT part_id, 0 AS finding_seq, 'DegenerateGeometry' AS "check", 'Major' AS severity, face_count::DOUBLE AS measure FROM facts WHERE face_count = 0 OR edge_count = 0
   UNION ALL SELECT part_id, 1, 'DegenerateEdges', 'Major', zero_edges FROM facts WHERE zero_edges > 0
   UNION ALL SELECT part_id, 2, 'NonManifoldEdges', 'Major', crowded_edges FROM facts WHERE crowded_edges > 0
   UNION ALL SELECT part_id, 3, 'OpenBoundaries', 'Major', face_count FROM facts WHERE face_count > 0 AND solid_count = 0
   UNION ALL SELECT part_id, 4, 'OpenBoundaries', 'Major', open_edges FROM facts WHERE open_edges > 0
-  UNION ALL SELECT part_id, 5, 'DegenerateTopology', 'Major', degenerate_uses FROM facts WHERE degenerate_uses > 0
+  UNION ALL SELECT part_id, 5, 'DegenerateTopology', 'Major', degenerate_edges FROM facts WHERE degenerate_edges > 0
   UNION ALL SELECT part_id, 6, 'PotentialGaps', 'Major', same_way_edges FROM facts WHERE open_edges = 0 AND same_way_edges > 0
   UNION ALL SELECT part_id, 7, 'ShortEdges', CASE WHEN short_edges >= 8 THEN 'Major' ELSE 'Minor' END, short_edges FROM facts WHERE max_dim > 0 AND short_edges > 0
   UNION ALL SELECT part_id, 8, 'ThinWalls', 'Major', min_dim / max_dim FROM facts WHERE min_dim / max_dim < 0.03
@@ -138,20 +152,31 @@ rule_rows AS (
   UNION ALL SELECT part_id, face_index, least(1, greatest(0.1, 1 - min_dim / facts.max_dim / 0.03)) FROM faces JOIN facts USING (part_id) WHERE min_dim / facts.max_dim < 0.03
   UNION ALL SELECT part_id, face_index, 0.8 FROM faces JOIN facts USING (part_id) WHERE solid_count = 0
   UNION ALL SELECT part_id, face_index, 0.7 FROM faces JOIN facts USING (part_id) WHERE open_edges = 0 AND same_way_edges > 0
-  UNION ALL SELECT part_id, unnest([fa, fb]), least(1, greatest(0.3, 1 - angle / 15)) FROM sharp_rows),
+  UNION ALL SELECT part_id, unnest([fa, fb]), least(1, greatest(0.3, 1 - angle / 15)) FROM sharp_rows JOIN good USING (part_id)),
 rule_scores AS (SELECT part_id, face_index, max(score) AS score FROM rule_rows GROUP BY ALL),
 ml_scores AS (SELECT part_id, face_index, least(1.0, 0.32 + CASE WHEN area <= 1e-6 THEN 0.18 ELSE least(0.18, 1 / (1 + area)) END + CASE WHEN surface_type IN ('plane', 'cylinder') THEN 0 ELSE 0.08 END
   + least(0.22, 0.03 * coalesce(degree, 0)) + least(0.1, 0.02 * (abs(nx) + abs(ny) + abs(nz)))) AS score FROM faces LEFT JOIN degree USING (part_id, face_index)),
-fused AS (SELECT part_id, face_index, 0.6 * greatest(r, m) + 0.4 * least(r, m) AS score, m FROM (SELECT part_id, face_index, coalesce(r.score, 0) AS r, coalesce(m.score, 0.5) AS m FROM rule_scores r FULL JOIN ml_scores m USING (part_id, face_index))),
+fused AS (SELECT part_id, face_index, 0.6 * greatest(r, m) + 0.4 * least(r, m) AS score, m FROM (SELECT part_id, face_index, coalesce(r.score, 0) AS r, coalesce(m.score, 0.5) AS m FROM rule_scores r FULL JOIN (SELECT m.* FROM ml_scores m JOIN good USING (part_id)) m USING (part_id, face_index))),
 digest AS (SELECT part_id, count(*) AS total, count(*) FILTER (severity = 'Critical') AS n_critical, count(*) FILTER (severity = 'Major') AS n_major, count(*) FILTER (severity = 'Minor') AS n_minor, count(*) FILTER (severity = 'Info') AS n_info FROM findings GROUP BY ALL),
 scored AS (SELECT part_id, f.face_count, coalesce(total, 0) AS total, coalesce(n_critical, 0) AS n_critical, coalesce(n_major, 0) AS n_major, coalesce(n_minor, 0) AS n_minor, coalesce(n_info, 0) AS n_info, coalesce(rule_mean, 0) AS rule_face_mean, coalesce(ml_mean, 0) AS ml_mean,
   greatest(0.0, 100 - 15 * coalesce(n_major, 0) - 5 * coalesce(n_minor, 0) - 20 * coalesce(ml_mean, 0)) AS overall FROM facts f LEFT JOIN digest USING (part_id)
   LEFT JOIN (SELECT part_id, avg(score) AS rule_mean FROM rule_scores GROUP BY ALL) USING (part_id) LEFT JOIN (SELECT part_id, avg(score) AS ml_mean FROM ml_scores GROUP BY ALL) USING (part_id)),
 labelled AS (SELECT *, CASE WHEN overall >= 90 THEN 'SimulationReady' WHEN overall >= 70 THEN 'ReviewRecommended' WHEN overall >= 40 THEN 'NeedsAttention' ELSE 'NotReady' END AS label,
-  CASE WHEN face_count <= 50 THEN 'simple' WHEN face_count <= 200 THEN 'moderate' WHEN face_count <= 1000 THEN 'complex' ELSE 'very_complex' END AS tier FROM scored)
+  CASE WHEN face_count <= 50 THEN 'simple' WHEN face_count <= 200 THEN 'moderate' WHEN face_count <= 1000 THEN 'complex' ELSE 'very_complex' END AS tier FROM scored),
+everything AS (SELECT * FROM labelled UNION ALL BY NAME SELECT part_id, 0::BIGINT AS total, 0::BIGINT AS n_critical, 0::BIGINT AS n_major, 0::BIGINT AS n_minor, 0::BIGINT AS n_info, 'InvalidInput' AS label FROM parts WHERE NOT (is_valid AND load_check IS NULL))
+"""
+#: DuckDB: the tables of the bodies of parts with several, under keys of their own: part_id * 1000 + solid_id + 1.
+_RAW = re.sub(r"\b(parts|faces|coedges|edges|solids)\b(?! VARCHAR)", r"all_\1", VIEWS)
+BODIES = f"""{_RAW},
+many AS (SELECT part_id FROM all_solids GROUP BY part_id HAVING count(*) > 1),
+parts AS (SELECT s.part_id * 1000 + s.solid_id + 1 AS part_id, p.stem, p.is_valid, p.load_check, s.xmin, s.ymin, s.zmin, s.xmax, s.ymax, s.zmax, greatest(s.xmax, s.ymax, s.zmax) AS max_dim FROM all_solids s JOIN all_parts p USING (part_id) JOIN many USING (part_id)),
+faces AS (SELECT f.* REPLACE (part_id * 1000 + solid_id + 1 AS part_id) FROM all_faces f JOIN many USING (part_id) WHERE solid_id IS NOT NULL),
+coedges AS (SELECT c.part_id * 1000 + f.solid_id + 1 AS part_id, c.coedge_index, c.face_index, c.edge_index, c.orientation, c.loop_position FROM all_coedges c JOIN all_faces f USING (part_id, face_index) JOIN many USING (part_id) WHERE f.solid_id IS NOT NULL),
+edges AS (SELECT c.part_id, e.edge_index, e.length, e.is_degenerated FROM all_edges e JOIN (SELECT DISTINCT part_id, edge_index FROM coedges) c ON c.part_id // 1000 = e.part_id AND c.edge_index = e.edge_index),
+solids AS (SELECT s.* REPLACE (part_id * 1000 + solid_id + 1 AS part_id) FROM all_solids s JOIN many USING (part_id))
 """
 
 
-def sql(select: str, checks: bool = True) -> str:
+def sql(select: str, checks: bool = True, views: str = VIEWS) -> str:
     """A DuckDB query over the derived tables."""
-    return f"WITH {VIEWS}, {TOPOLOGY}{', ' + CHECKS if checks else ''} {select}"
+    return f"WITH {views}, {TOPOLOGY}{', ' + CHECKS if checks else ''} {select}"

@@ -37,11 +37,16 @@ def _analysed(spark, sf_dir):
 
 @query(
     "catalog_scores",
-    sql("SELECT part_id, face_count, total, n_critical, n_major, n_minor, n_info, round(rule_face_mean, 6) AS rule_face_mean, round(overall, 6) AS overall, label, tier FROM labelled"),
+    sql("SELECT part_id, face_count, total, n_critical, n_major, n_minor, n_info, round(rule_face_mean, 9) AS rule_face_mean, round(overall, 9) AS overall, label, tier FROM everything"),
 )
 def catalog_scores(spark, sf_dir) -> DataFrame:
-    parts = _analysed(spark, sf_dir)[1]["parts"]
-    return parts.select("part_id", "face_count", "total", "n_critical", "n_major", "n_minor", "n_info", _r("rule_face_mean"), _r("overall"), "label", F.col("complexity.tier").alias("tier"))
+    parts = catalog.all_parts(_analysed(spark, sf_dir)[1])
+    return parts.select("part_id", "face_count", "total", "n_critical", "n_major", "n_minor", "n_info", _r("rule_face_mean", 9), _r("overall", 9), "label", F.col("complexity.tier").alias("tier"))
+
+
+@query("split_valid", sql("SELECT part_id, stem, coalesce(load_check, 'BRepCheckFailure') AS \"check\" FROM parts WHERE load_check IS NOT NULL OR NOT is_valid", False))
+def split_valid(spark, sf_dir) -> DataFrame:
+    return checks.split_valid(binding.tables(spark, sf_dir).parts)[1].select("part_id", "stem", "check")
 
 
 @query("findings", sql("SELECT part_id, finding_seq, \"check\", severity, round(measure, 6) AS measure FROM findings"))
@@ -95,9 +100,12 @@ def suggest_fixes(spark, sf_dir) -> DataFrame:
     return scores.suggest_fixes(_found(spark, sf_dir)).select("part_id", "rank", "check", "severity", "total_findings", "returned")
 
 
-@query("finding_status", sql("SELECT part_id, CASE WHEN n_critical > 0 THEN 'InvalidInput' WHEN n_major > 0 THEN 'NeedsAttention' WHEN total > 0 THEN 'ReviewRecommended' ELSE 'SimulationReady' END AS finding_status FROM scored"))
+@query("finding_status", sql("SELECT part_id, CASE WHEN label = 'InvalidInput' OR n_critical > 0 THEN 'InvalidInput' WHEN n_major > 0 THEN 'NeedsAttention' WHEN total > 0 THEN 'ReviewRecommended' ELSE 'SimulationReady' END AS finding_status FROM everything"))
 def finding_status(spark, sf_dir) -> DataFrame:
-    return scores.finding_status(binding.parts(spark, sf_dir), _found(spark, sf_dir))
+    """Parts that failed to load count as one critical finding."""
+    t = binding.tables(spark, sf_dir)
+    failed = checks.split_valid(t.parts)[1].select("part_id", F.lit(0).alias("finding_seq"), "check", F.lit("Critical").alias("severity"))
+    return scores.finding_status(t.parts, _found(spark, sf_dir).select("part_id", "finding_seq", "check", "severity").unionByName(failed))
 
 
 @query("edge_faces", sql("SELECT part_id, edge_index, uses, fs AS faces FROM incident JOIN edge_uses USING (part_id, edge_index)", False))
@@ -199,10 +207,10 @@ def heuristic_scores(spark, sf_dir) -> DataFrame:
     return scores.heuristic_scores(t.faces, topology.face_adjacency(t.coedges)).select("part_id", "face_index", _r("score"))
 
 
-@query("aggregate_ml", sql("SELECT p.part_id, round(coalesce(m, 0.5), 6) AS aggregate_score FROM parts p LEFT JOIN (SELECT part_id, avg(score) AS m FROM ml_scores GROUP BY ALL) USING (part_id)"))
+@query("aggregate_ml", sql("SELECT p.part_id, round(coalesce(m, 0.5), 9) AS aggregate_score FROM parts p LEFT JOIN (SELECT part_id, avg(score) AS m FROM ml_scores GROUP BY ALL) USING (part_id)"))
 def aggregate_ml(spark, sf_dir) -> DataFrame:
     t = binding.tables(spark, sf_dir)
-    return scores.aggregate_ml(t.parts, scores.heuristic_scores(t.faces, topology.face_adjacency(t.coedges))).select("part_id", _r("aggregate_score"))
+    return scores.aggregate_ml(t.parts, scores.heuristic_scores(t.faces, topology.face_adjacency(t.coedges))).select("part_id", _r("aggregate_score", 9))
 
 
 @query(
@@ -232,59 +240,116 @@ def face_overlay(spark, sf_dir) -> DataFrame:
     return scores.face_overlay(r["combined"], r["ml"]).select("part_id", "face_index", _r("score"), _r("ml_score"), "color", "ml_color")
 
 
-@query("fallback_embedding", sql("SELECT part_id, face_index, round(tanh(m.score), 6) AS e0, round(tanh(area + 0.1), 6) AS e1, round(tanh(abs(nx) + abs(ny) + abs(nz) + 0.2), 6) AS e2, round(tanh(1.3), 6) AS e127, 128 AS dim FROM faces JOIN ml_scores m USING (part_id, face_index)"))
+@query(
+    "fallback_embedding",
+    sql(
+        """SELECT part_id, face_index, list_transform(range(128), lambda i: round(tanh(list_extract([score, area, abs(nx) + abs(ny) + abs(nz), 1.0], i % 4 + 1) + 0.1 * (i % 4)), 6)) AS embedding
+        FROM (SELECT *, least(1.0, 0.32 + CASE WHEN area <= 1e-6 THEN 0.18 ELSE least(0.18, 1 / (1 + area)) END + CASE WHEN surface_type IN ('plane', 'cylinder') THEN 0 ELSE 0.08 END + least(0.22, 0.03 * coalesce(degree, 0)) + least(0.1, 0.02 * (abs(nx) + abs(ny) + abs(nz)))) AS score
+        FROM faces LEFT JOIN degree USING (part_id, face_index))""",
+        False,
+    ),
+)
 def fallback_embedding(spark, sf_dir) -> DataFrame:
     t = binding.tables(spark, sf_dir)
     ml = scores.heuristic_scores(t.faces, topology.face_adjacency(t.coedges))
-    e = F.col("embedding")
-    return scores.fallback_embedding(t.faces, ml).select("part_id", "face_index", *[F.round(e[i], 6).alias(f"e{i}") for i in (0, 1, 2, 127)], F.size(e).alias("dim"))
+    return scores.fallback_embedding(t.faces, ml).select("part_id", "face_index", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("catalog_rollup", sql("SELECT label AS status, tier, count(*) AS parts, round(avg(overall), 6) AS mean_score, grouping_id(label, tier) AS level FROM labelled GROUP BY ROLLUP (label, tier)"))
+@query("catalog_rollup", sql("SELECT label AS status, tier, count(*) AS parts, round(avg(overall), 8) AS mean_score, grouping_id(label, tier) AS level FROM everything GROUP BY ROLLUP (label, tier)"))
 def catalog_rollup(spark, sf_dir) -> DataFrame:
-    return scores.catalog_rollup(_analysed(spark, sf_dir)[1]["parts"]).select("status", "tier", "parts", _r("mean_score"), "level")
+    return scores.catalog_rollup(catalog.all_parts(_analysed(spark, sf_dir)[1])).select("status", "tier", "parts", _r("mean_score", 8), "level")
 
 
 @query(
     "catalog_summary",
     sql(
-        """SELECT count(*) FILTER (ok) AS analysed, count(*) FILTER (NOT ok) AS skipped, 0 AS errored, count(*) FILTER (ok AND predicted <> 'clean') AS flagged, min(face_count) FILTER (ok) AS min_faces, max(face_count) FILTER (ok) AS max_faces,
+        """SELECT count(*) FILTER (ok) AS analysed, count(*) FILTER (status = 'too_large') AS skipped, count(*) FILTER (status = 'error') AS errored, count(*) FILTER (ok AND predicted <> 'clean') AS flagged, min(face_count) FILTER (ok) AS min_faces, max(face_count) FILTER (ok) AS max_faces,
         count(*) FILTER (ok AND face_count > 200) AS large_parts, sum(CASE WHEN ok THEN n_critical ELSE 0 END)::BIGINT AS sum_critical, sum(CASE WHEN ok THEN n_major ELSE 0 END)::BIGINT AS sum_major, sum(CASE WHEN ok THEN n_minor ELSE 0 END)::BIGINT AS sum_minor,
         sum(CASE WHEN ok THEN n_info ELSE 0 END)::BIGINT AS sum_info, round(count(*) FILTER (ok AND predicted <> 'clean') / count(*) FILTER (ok), 6) AS false_positive_rate
-        FROM (SELECT l.*, face_count <= 40 AS ok, split_part(stem, '__', 2) AS predicted FROM labelled l JOIN parts USING (part_id))"""
+        FROM (SELECT *, status = 'ok' AS ok FROM (SELECT l.*, CASE WHEN label = 'InvalidInput' THEN 'error' WHEN face_count > 40 THEN 'too_large' ELSE 'ok' END AS status, split_part(stem, '__', 2) AS predicted FROM everything l JOIN parts USING (part_id)))"""
     ),
 )
 def catalog_summary(spark, sf_dir) -> DataFrame:
-    t, r = _analysed(spark, sf_dir)
-    rows = scores.guard_parts(r["parts"], 40).join(t.parts.select("part_id", F.split_part("stem", F.lit("__"), F.lit(2)).alias("predicted")), "part_id")
+    rows = scores.guard_parts(catalog.all_parts(_analysed(spark, sf_dir)[1]), 40).withColumn("predicted", F.split_part("stem", F.lit("__"), F.lit(2)))
     return scores.catalog_summary(rows).withColumn("false_positive_rate", F.round("false_positive_rate", 6))
 
 
-@query("slim_reports", sql("SELECT l.part_id, label AS status, round(overall, 6) AS overall, l.face_count, total, greatest(1, solid_count) AS body_count FROM labelled l JOIN facts USING (part_id)"))
+@query(
+    "slim_reports",
+    sql(
+        f"""SELECT l.part_id, label AS status, round(overall, 9) AS overall, l.face_count, total, n_major, coalesce(t.top_checks, []) AS top_checks, CASE WHEN label <> 'InvalidInput' THEN 'heuristic' END AS score_source,
+        CASE WHEN label = 'InvalidInput' THEN 1 ELSE 0 END AS validation_errors, greatest(1, coalesce(solid_count, 0)) AS body_count FROM everything l LEFT JOIN facts USING (part_id)
+        LEFT JOIN (SELECT part_id, list("check" ORDER BY rank) AS top_checks FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY {_RANK}, finding_seq) AS rank FROM findings) WHERE rank <= 12 GROUP BY ALL) t USING (part_id)"""
+    ),
+)
 def slim_reports(spark, sf_dir) -> DataFrame:
     t, r = _analysed(spark, sf_dir)
-    return catalog.slim_reports(t, r).select("part_id", "status", _r("overall"), "face_count", "total", "body_count")
+    rows = catalog.slim_reports(t, r)
+    return rows.select("part_id", "status", _r("overall", 9), "face_count", "total", "n_major", F.col("top_findings.check").alias("top_checks"), "score_source", "validation_errors", "body_count")
 
 
-@query("reports", sql("SELECT l.part_id, stem AS input_file, label AS status, l.total, l.total AS n_findings, coalesce(c.n, 0) AS edge_count FROM labelled l JOIN parts USING (part_id) LEFT JOIN (SELECT part_id, count(*) AS n FROM coedges GROUP BY ALL) c USING (part_id)"))
+_REPORT = """SELECT l.part_id, stem AS input_file, label AS status, label <> 'InvalidInput' AS is_valid, CASE WHEN label = 'InvalidInput' THEN coalesce(load_check, 'BRepCheckFailure') END AS error, l.total, l.total AS n_findings,
+CASE WHEN label <> 'InvalidInput' THEN coalesce(c.n, 0) END AS edge_count, CASE WHEN label <> 'InvalidInput' THEN coalesce(c.u, 0) END AS unique_edges, CASE WHEN label <> 'InvalidInput' THEN coalesce(a.n, 0) END AS adjacency_count,
+CASE WHEN label <> 'InvalidInput' THEN coalesce(r.f, []) END AS rule_faces, CASE WHEN label <> 'InvalidInput' THEN coalesce(r.s, []) END AS rule_scores, CASE WHEN label <> 'InvalidInput' THEN coalesce(m.s, []) END AS combined_scores,
+CASE WHEN label <> 'InvalidInput' THEN coalesce(m.m, []) END AS ml_scores, round(CASE WHEN label <> 'InvalidInput' THEN coalesce(m.ml, 0.5) END, 9) AS ml_aggregate, BODIES FROM everything l JOIN parts USING (part_id)
+LEFT JOIN (SELECT part_id, count(*) AS n, count(DISTINCT edge_index) AS u FROM coedges GROUP BY ALL) c USING (part_id) LEFT JOIN (SELECT part_id, count(*) AS n FROM adjacency GROUP BY ALL) a USING (part_id)
+LEFT JOIN (SELECT part_id, list(face_index ORDER BY face_index) AS f, list(round(score, 6) ORDER BY face_index) AS s FROM rule_scores GROUP BY ALL) r USING (part_id)
+LEFT JOIN (SELECT part_id, list(round(score, 6) ORDER BY face_index) AS s, list(round(m, 6) ORDER BY face_index) AS m, avg(m) AS ml FROM fused GROUP BY ALL) m USING (part_id)"""
+
+
+@query("reports", sql(_REPORT.replace("BODIES", "CASE WHEN label <> 'InvalidInput' AND n_solids > 1 THEN n_solids ELSE 0 END AS n_bodies")))
 def reports(spark, sf_dir) -> DataFrame:
     t, r = _analysed(spark, sf_dir)
-    rows = catalog.reports(t, r)
-    return rows.select("part_id", "input_file", "status", F.col("summary.total").alias("total"), F.size("findings").cast("long").alias("n_findings"), F.col("geometry.edge_count").alias("edge_count"))
+    rows = catalog.reports(t, r, catalog.analyse(catalog.as_bodies(t), keys=catalog.BODY))
+    listed = lambda c: F.transform(F.array_sort(F.map_entries(c)), lambda x: F.round(x["value"], 6))
+    return rows.select(
+        "part_id", "input_file", "status", F.col("validation.is_valid").alias("is_valid"), F.try_element_at("validation.errors", F.lit(1))["check"].alias("error"), F.col("summary.total").alias("total"), F.size("findings").cast("long").alias("n_findings"),
+        F.col("geometry.edge_count").alias("edge_count"), F.col("graph.edge_count").alias("unique_edges"), F.col("graph.adjacency_count").alias("adjacency_count"), F.transform(F.array_sort(F.map_entries("per_face_scores")), lambda x: x["key"]).alias("rule_faces"),
+        listed("per_face_scores").alias("rule_scores"), listed("combined_per_face_scores").alias("combined_scores"), listed("ml.per_face_scores").alias("ml_scores"), F.round("ml.aggregate_score", 9).alias("ml_aggregate"), F.size("bodies").alias("n_bodies"),
+    )
+
+
+@query(
+    "trim_reports",
+    sql("SELECT part_id, total, CASE WHEN label = 'InvalidInput' THEN 0 ELSE 3 END AS n_omitted FROM everything"),
+)
+def trim_reports(spark, sf_dir) -> DataFrame:
+    """Reports cut to a budget that none with scores by face meets; those without are below it."""
+    t, r = _analysed(spark, sf_dir)
+    rows = catalog.trim_report(catalog.reports(t, r), 400)
+    return rows.select("part_id", F.col("summary.total").alias("total"), F.size("omitted").alias("n_omitted"))
 
 
 @query(
     "box_overlaps",
-    sql("SELECT s.part_id, s.solid_id AS a, r.solid_id AS b FROM solids s JOIN solids r ON s.part_id = r.part_id AND s.solid_id < r.solid_id AND s.xmin < r.xmax AND r.xmin < s.xmax AND s.ymin < r.ymax AND r.ymin < s.ymax AND s.zmin < r.zmax AND r.zmin < s.zmax", False),
+    sql(
+        """SELECT s.part_id, s.solid_id AS a, r.solid_id AS b FROM solids s JOIN solids r ON s.part_id = r.part_id AND s.solid_id < r.solid_id AND s.xmin < r.xmax AND r.xmin < s.xmax AND s.ymin < r.ymax AND r.ymin < s.ymax AND s.zmin < r.zmax AND r.zmin < s.zmax
+        WHERE s.part_id IN (SELECT part_id FROM parts WHERE is_valid AND load_check IS NULL) AND s.part_id NOT IN (SELECT part_id FROM faces GROUP BY ALL HAVING count(*) > 150 OR count(*) FILTER (surface_type IN ('bspline', 'bezier')) > 0)""",
+        False,
+    ),
 )
 def box_overlaps(spark, sf_dir) -> DataFrame:
-    return checks.overlapping_boxes(binding.tables(spark, sf_dir).solids, "solid_id")
+    return checks.interference(binding.tables(spark, sf_dir))
 
 
-@query("body_scores")
-def body_scores(spark, sf_dir) -> DataFrame:
-    """The catalog analysis at the grain of bodies, for parts with several."""
-    parts = catalog.analyse(catalog.as_bodies(binding.tables(spark, sf_dir)))["parts"]
-    return parts.select("part_id", "face_count", "total", "n_major", _r("rule_face_mean"), _r("overall"), "label")
+@query(
+    "face_overlaps",
+    sql(
+        """SELECT s.part_id, s.face_index AS a, r.face_index AS b FROM faces s JOIN faces r ON s.part_id = r.part_id AND s.face_index < r.face_index AND s.xmin < r.xmax AND r.xmin < s.xmax AND s.ymin < r.ymax AND r.ymin < s.ymax AND s.zmin < r.zmax AND r.zmin < s.zmax
+        WHERE s.part_id IN (SELECT part_id FROM parts WHERE is_valid AND load_check IS NULL) AND s.part_id NOT IN (SELECT part_id FROM faces GROUP BY ALL HAVING count(*) > 150 OR count(*) FILTER (surface_type IN ('bspline', 'bezier')) > 0)
+        AND NOT EXISTS (SELECT 1 FROM coedges x JOIN coedges y ON x.part_id = y.part_id AND x.edge_index = y.edge_index WHERE x.part_id = s.part_id AND x.face_index = s.face_index AND y.face_index = r.face_index)""",
+        False,
+    ),
+)
+def face_overlaps(spark, sf_dir) -> DataFrame:
+    return checks.interference(binding.tables(spark, sf_dir), "face_index")
 
 
+@query(
+    "body_scores",
+    sql("SELECT (part_id - 1) // 1000 AS part_id, (part_id - 1) % 1000 AS solid_id, face_count, total, n_major, round(rule_face_mean, 9) AS rule_face_mean, round(overall, 9) AS overall, label FROM labelled", views=binding.BODIES),
+)
+def body_scores(spark, sf_dir) -> DataFrame:
+    """The catalog analysis at the grain of bodies, for parts with several."""
+    parts = catalog.analyse(catalog.as_bodies(binding.tables(spark, sf_dir)), keys=catalog.BODY)["parts"]
+    return parts.select("part_id", "solid_id", "face_count", "total", "n_major", _r("rule_face_mean", 9), _r("overall", 9), "label")

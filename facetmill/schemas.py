@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 BOX = ["xmin", "ymin", "zmin", "xmax", "ymax", "zmax"]
 _BOX = ", ".join(f"{c} double" for c in BOX)
 
-PARTS = f"part_id long, stem string, is_valid boolean, {_BOX}"
+PARTS = f"part_id long, stem string, is_valid boolean, load_check string, {_BOX}"
 SOLIDS = f"part_id long, solid_id int, {_BOX}"
 FACES = f"part_id long, solid_id int, face_index int, surface_type string, area double, normal array<double>, mean_curvature double, uv_bounds array<double>, radius double, {_BOX}"
 EDGES = "part_id long, edge_index int, length double, is_degenerated boolean"
@@ -19,6 +19,7 @@ FACE_SCORES = "part_id long, face_index int, score double"
 TOOL_CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
 MESSAGES = f"array<struct<role:string,content:string,tool_call_id:string,tool_calls:{TOOL_CALLS}>>"
 TRACES = f"id string, step_path string, question string, category string, messages {MESSAGES}, final_text string, model string, usage map<string,long>, iterations int, stop_reason string, generated_at string"
+MANIFEST = "source_stem string, stem string, defect_tags array<string>, status string, reason string"
 GOLD = "id string, step_path string, question string, category string, expected_tool_calls array<string>, expected_answer_themes array<string>"
 PROMPTS = "id string, prompt string, expect struct<faces:array<int>>"
 GRAPH_FILE = (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import url_file_name
-from ..schemas import GOLD, GRAPH_FILE, LABEL_FILE, PROMPTS, TAG_FILE, TRACES
+from ..schemas import GOLD, GRAPH_FILE, LABEL_FILE, MANIFEST, PROMPTS, TAG_FILE, TRACES
 
 CORRUPT = "_corrupt"
 
@@ -14,7 +15,7 @@ CORRUPT = "_corrupt"
 def list_part_files(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """(path, stem, length): STEP files under the folders, one per path whatever its case, sorted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sS][tT]*[pP]").load(dirs).select("path", "length")
-    files = files.filter(F.lower("path").rlike(r"\.(step|stp)$")).withColumn("low", F.lower("path")).dropDuplicates(["low"]).drop("low")
+    files = files.filter(F.lower("path").rlike(r"\.(step|stp)$")).groupBy(F.lower("path")).agg(F.min(F.struct("path", "length")).alias("f")).select("f.*")  # the first spelling in order
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return files.select("path", stem.alias("stem"), "length").orderBy("path")
 
@@ -73,12 +74,31 @@ def write_reports(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").partitionBy("status").format(fmt).save(path)
 
 
+def _whole_keys(column) -> Column:
+    return F.transform_keys(column, lambda k, _: k.cast("int"))
+
+
 def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Reports back from JSON; maps by face come back with whole-number keys."""
+    """Reports back from JSON; maps by face have whole-number keys again, in the report, its ``ml`` and each of its ``bodies``.
+
+    ``schema`` states those maps with string keys, as JSON has them.
+    """
     rows = spark.read.schema(schema).json(path)
-    for c in ("per_face_scores", "combined_per_face_scores"):
+    maps = ("per_face_scores", "combined_per_face_scores")
+    for c in maps:
         if c in rows.columns:
-            rows = rows.withColumn(c, F.transform_keys(c, lambda k, _: k.cast("int")))
+            rows = rows.withColumn(c, _whole_keys(F.col(c)))
+    if "ml" in rows.columns and "per_face_scores" in rows.schema["ml"].dataType.names:
+        rows = rows.withColumn("ml", F.when(F.col("ml").isNotNull(), F.col("ml").withField("per_face_scores", _whole_keys(F.col("ml.per_face_scores")))))
+    if "bodies" in rows.columns and hasattr(rows.schema["bodies"].dataType.elementType, "names"):
+        kept = [c for c in maps if c in rows.schema["bodies"].dataType.elementType.names]
+
+        def restored(body: Column) -> Column:
+            for c in kept:
+                body = body.withField(c, _whole_keys(body[c]))
+            return body
+
+        rows = rows.withColumn("bodies", F.transform("bodies", restored))
     return rows
 
 
@@ -102,6 +122,15 @@ def import_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(checked).alias("x")).select("x.entries.*", F.col("x.embeddings").alias("embedding"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (source_stem, stem, defect_tags, status, reason) of a manifest of JSON lines."""
+    return spark.read.schema(MANIFEST).json(path)
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    df.select(*T.StructType.fromDDL(MANIFEST).names).write.mode("overwrite").json(path)
+
+
 def read_source_list(spark: SparkSession, path: str) -> DataFrame:
     """(url, file_name) of a list with # comments and blank lines."""
     return source_list(spark.read.text(path), "value")

@@ -30,9 +30,34 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "id")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold_runs(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running totals per run of (run_id, ts, type, value); ``ts`` is the time of arrival, which bounds the state."""
-    rows = events.withWatermark("ts", delay)
-    return rows.groupBy(F.window("ts", "1 day"), "run_id").agg(
-        F.count_if(F.col("type") == "iteration_start").alias("iterations"), F.count_if(F.col("type") == "tool_call").alias("tool_calls"), F.max(F.when(F.col("type") == "final_text", "stop")).alias("stop_reason")
-    )
+def fold_runs(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Runs folded as their events (run_id, seq, type, name, tokens_in, tokens_out, model) arrive.
+
+    Every batch leaves its own partial fold in a folder of ``target``, with event numbers beside the
+    calls so that late ones fall in place; ``folded`` merges them. No state is held, so a run may
+    take any time; a batch that is repeated overwrites its own folder.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        new = df.groupBy("run_id").agg(*partial_fold())
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def partial_fold() -> list:
+    """Aggregates of events that can be merged: sums, and calls and models with their event numbers."""
+    call = F.when(F.col("type") == "tool_call", F.struct("seq", "name"))
+    named = F.when(F.col("model").isNotNull(), F.struct("seq", "model"))
+    return [
+        F.count_if(F.col("type") == "iteration_start").alias("iterations"), F.collect_list(call).alias("calls"), F.bool_or(F.col("type") == "max_iterations").alias("ran_out"), F.bool_or(F.col("type") == "final_text").alias("ended"),
+        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.min(named).alias("first_model"),
+    ]
+
+
+def folded(spark: SparkSession, target: str) -> DataFrame:
+    """(run_id, iterations, tool_calls, stop_reason, tokens_in, tokens_out, model) of all runs so far."""
+    rows = spark.read.parquet(target)
+    stop = F.when(F.bool_or("ran_out"), "max_iterations").when(F.bool_or("ended"), "stop")
+    calls = F.transform(F.array_sort(F.flatten(F.collect_list("calls"))), lambda c: c["name"])
+    return rows.groupBy("run_id").agg(F.sum("iterations").alias("iterations"), calls.alias("tool_calls"), stop.alias("stop_reason"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.min("first_model")["model"].alias("model"))

@@ -100,6 +100,102 @@ def test_chunks(spark):
     pages = spark.createDataFrame([("s", 1, "one"), ("s", 2, "two\n\n" + "y" * 300), ("t", 1, None)], "source string, page long, text string")
     rows = documents.chunk_documents(pages).orderBy("source", "chunk_id").collect()
     assert [(r.page, r.chunk_id) for r in rows] == [(1, 0), (2, 1)]
+    # what a long paragraph leaves over does not swallow the next one
+    text = "A" * 1400 + ". " + "B" * 150 + ".\n\n" + "c" * 20
+    assert [len(c) for c in documents.pack_paragraphs(text)] == [1401, 151, 20]
+
+
+def test_chunks_of_documents(spark, sf_dir):
+    import re
+
+    def reference(text):  # sentence by sentence, group by group
+        out, group = [], ""
+        for p in [*[p.strip() for p in text.split("\n") if p.strip()], None]:
+            if p is not None and (not group or len(group) < 200):
+                group = f"{group}\n\n{p}" if group else p
+                continue
+            line = ""
+            for s in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", group) if len(group) > 1500 else [group]:
+                if line and len(line) + 1 + len(s) > 1500:
+                    out.append(line)
+                    line = ""
+                line = f"{line} {s}" if line else s
+                while len(line) > 1500:
+                    out.append(line[:1500])
+                    line = line[1500:]
+            out += [line] if line else []
+            group = p or ""
+        return out
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.col("doc_id").alias("page"), "text")
+    want, n = [], {}
+    for r in sorted(docs.collect(), key=lambda r: (r.source or "", r.page)):
+        for chunk in reference(r.text or ""):
+            want.append((r.source, n.get(r.source, 0), chunk))
+            n[r.source] = n.get(r.source, 0) + 1
+    got = [(r.source, r.chunk_id, r.text) for r in documents.chunk_documents(docs, paragraph=r"\n").collect()]
+    assert sorted(got, key=lambda r: (r[0] or "", r[1])) == want
+
+
+def test_degenerate_edges_count_once(box):
+    """Two uses of one flagged edge are one degenerated edge."""
+    flagged = box.with_(edges=box.edges.withColumn("is_degenerated", F.col("edge_index") == 3))
+    row = checks.run_checks(flagged)[0].filter("check = 'DegenerateTopology' and part_id = 1").first()
+    assert row.measure == 1.0
+
+
+def test_registered_checks_score_faces(box):
+    checks.register_check("Third", lambda: checks.Check("Third", F.col("face_count") > 0, F.lit("Info"), F.lit(1.0), F.lit(None).cast("double"), F.lit("x"), "y", face_score=F.when(F.col("face_index") == 3, 0.25)))
+    try:
+        found, rule = checks.run_checks(box)
+        assert found.filter("check = 'Third'").count() == 3
+        assert [(r.face_index, r.score) for r in rule.filter("part_id = 0").collect()] == [(3, 0.25)]
+    finally:
+        del checks._REGISTRY["Third"], checks.NAMES["Third"]
+
+
+def test_invalid_parts_and_trimmed_reports(box):
+    t = box.with_(parts=box.parts.withColumn("is_valid", F.col("part_id") != 1).withColumn("load_check", F.when(F.col("part_id") == 2, "NullShape")))
+    rows = {r.part_id: r for r in catalog.reports(t, catalog.analyse(t)).collect()}
+    assert [rows[k].status == "InvalidInput" for k in range(3)] == [False, True, True]
+    assert rows[1].validation.errors[0].check == "BRepCheckFailure" and rows[2].validation.errors[0].check == "NullShape"
+    assert rows[1].geometry is None and rows[1].findings == [] and rows[1].per_face_scores is None
+    assert rows[0].graph.adjacency_count == 12 and rows[0].graph.edge_count == 12 and len(rows[0].combined_per_face_scores) == 6
+    full = catalog.reports(box, catalog.analyse(box))
+    more = full.withColumn("findings", F.array_repeat(F.struct(*[F.lit("x" if k == "string" else 1).cast(k).alias(n) for n, k in (f.split(":") for f in full.schema["findings"].dataType.elementType.simpleString()[7:-1].split(","))]), 30))
+    cut = catalog.trim_report(more, 2000).first()
+    assert cut.per_face_scores is None and cut.ml.per_face_scores is None and len(cut.findings) == 21
+    assert cut.findings[20].check == "TRUNCATED" and cut.findings[20].detail == "10 more findings omitted."
+    assert catalog.trim_report(full, 100_000).first().omitted == []
+
+
+def test_copies_have_keys_of_their_own(box):
+    for defect in ("self_intersection", "zero_length_edge"):
+        t, _ = datasets.inject_defect(box, defect)
+        for name, key in (("faces", "face_index"), ("edges", "edge_index"), ("coedges", "coedge_index"), ("solids", "solid_id")):
+            df = getattr(t, name)
+            assert df.count() == df.select("part_id", key).distinct().count(), (defect, name)
+
+
+def test_trace_scores(spark):
+    """Order: expected calls that were made, as often and in the expected order; rows with errors and rows without themes stay out."""
+    kind = "expected_tool_calls array<string>, expected_answer_themes array<string>, tool_calls array<string>, final_text string, error string"
+    rows = spark.createDataFrame([
+        (["analyze", "suggest"], ["thin"], ["analyze"], "Verdict: thin", None), (["analyze"], None, ["analyze", "analyze"], "x", None),
+        (["a", "b"], None, ["b", "a"], "x", None), (["a"], ["q"], [], "", "timeout"),
+    ], kind)
+    scored = traces.score_traces(rows)
+    assert [r.order_ok for r in scored.filter("error is null").collect()] == [True, False, False]
+    total = traces.aggregate_eval(scored).first()
+    assert (total.n, total.n_error, total.theme_rate) == (3, 1, 1.0)
+
+
+def test_exact_splits(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    for n in (0, 1, 137, 1000):
+        got = datasets.smallest(rows, F.col("k").cast("string"), n, bits=4, together=20)
+        want = rows.orderBy(F.md5(F.col("k").cast("string"))).limit(n)
+        assert sorted(r.k for r in got.collect()) == sorted(r.k for r in want.collect())
 
 
 def test_search(spark):
@@ -117,6 +213,7 @@ def test_specs(spark):
         '{"steps":[{"op":"box","dx":1,"dy":1,"dz":1},{"op":"fuse","a":0,"b":1}]}': False,
         '{"steps":[{"op":"box","dx":1,"dy":1,"dz":1},{"op":"box","dx":1,"dy":1,"dz":1},{"op":"cut","a":0,"b":1}]}': True,
         '{"steps":[{"op":"box","dx":-1,"dy":1,"dz":1}]}': False,
+        '{"steps":[{"op":"box","dx":1,"dy":1,"dz":1}],"rotation":45}': False,
     }
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "spec_id long, spec_json string")
     assert [r.valid for r in specs.validate_specs(rows).orderBy("spec_id").collect()] == list(cases.values())
@@ -152,6 +249,59 @@ def test_traces_land_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
+def test_runs_fold_as_events_arrive(spark, tmp_path):
+    import json
+
+    from facetmill.streaming.streams import fold_runs, folded
+
+    kind = "run_id string, seq long, type string, name string, tokens_in long, tokens_out long, model string"
+    events = [("a", 1, "iteration_start", None, 5, 1, None), ("a", 2, "tool_call", "x", None, None, "m1"), ("a", 3, "tool_call", "y", 2, 2, "m2"), ("a", 4, "final_text", None, 1, 1, None), ("b", 1, "iteration_start", None, 1, 1, "m"), ("b", 2, "max_iterations", None, None, None, None)]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((events[2:5], events[:2], events[5:])):  # out of order, over several batches
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps(dict(zip(("run_id", "seq", "type", "name", "tokens_in", "tokens_out", "model"), e))) + "\n" for e in part))
+        fold_runs(spark.readStream.schema(kind).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.run_id: r.asDict() for r in folded(spark, str(tmp_path / "out")).collect()}
+    table = spark.createDataFrame(events, kind)
+    for r in traces.fold_events(table).join(traces.sum_usage(table), "run_id").collect():
+        assert got[r.run_id] == r.asDict()
+    assert got["a"]["tool_calls"] == ["x", "y"] and got["b"]["stop_reason"] == "max_iterations"
+
+
+def test_readers(spark, tmp_path, box):
+    import json
+
+    from facetmill.sources import readers as R
+
+    (tmp_path / "parts" / "deep").mkdir(parents=True)
+    for name in ("b.STEP", "a.stp", "deep/c.step", "notes.txt"):
+        (tmp_path / "parts" / name).write_text("x")
+    assert [r.stem for r in R.list_part_files(spark, [str(tmp_path / "parts")]).collect()] == ["a", "b", "c"]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "p.graph.json").write_text(json.dumps({"faces": [{"face_index": 0, "surface_type": "plane", "area": 2.0}], "edges": [{"edge_index": 0, "length": 1.0}], "coedges": [{"coedge_index": 0, "face_index": 0, "edge_index": 0, "orientation": 1}], "adjacency": [[0, 1]]}))
+    g = R.read_graphs(spark, str(tmp_path / "g"))
+    assert (g["faces"].first().stem, g["adjacency"].first().face_b) == ("p", 1)
+    (tmp_path / "g" / "p.labels.json").write_text(json.dumps({"refinement": {"0": True}, "rule_per_face": {"1": 0.5}, "graph_label": 2}))
+    faces, graphs = R.read_labels(spark, str(tmp_path / "g"))
+    assert sorted((r.face_index, r.refinement, r.rule_score) for r in faces.collect()) == [(0, True, 0.0), (1, False, 0.5)] and graphs.first().graph_label == 2
+    manifest = spark.createDataFrame([("s", "s__x", ["x"], "ok", None)], "source_stem string, stem string, defect_tags array<string>, status string, reason string")
+    R.write_manifest(manifest, str(tmp_path / "m"))
+    assert R.read_manifest(spark, str(tmp_path / "m")).first() == manifest.first()
+    (tmp_path / "t.jsonl").write_text('{"id": "a"}\n\nnot json\n[1]\n')
+    rows, skipped = R.read_traces(spark, str(tmp_path / "t.jsonl"))
+    assert rows.filter("id is not null").count() == 1 and skipped.first().skipped == 2
+    reports = catalog.reports(box, catalog.analyse(box))
+    R.write_reports(reports, str(tmp_path / "r"))
+    schema = "part_id long, per_face_scores map<string,double>, combined_per_face_scores map<string,double>, ml struct<per_face_scores:map<string,double>>, bodies array<struct<per_face_scores:map<string,double>>>"
+    back = R.read_reports(spark, str(tmp_path / "r"), schema).filter("part_id = 1").first()
+    assert set(back.combined_per_face_scores) == set(back.ml.per_face_scores) == set(range(6))
+    chunks, meta = documents.build_index(spark.createDataFrame([("s", 1, 0, "a text"), ("s", 1, 1, " ")], "source string, page long, chunk_id long, text string"))
+    R.save_index(chunks, meta, str(tmp_path / "i"))
+    assert R.load_index(spark, str(tmp_path / "i"))[0].count() == 1
+    R.save_index(chunks.unionByName(chunks), meta, str(tmp_path / "j"))
+    with pytest.raises(ValueError):
+        R.load_index(spark, str(tmp_path / "j"))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
