@@ -4,48 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small side is broadcast only after its rows were counted and found to be no more than this.
-BROADCAST_ROWS = 100_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a single machine may do with its warehouse folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/facetmill-scratch"
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a side for broadcast if its counted rows fit; else leave the join to shuffle it."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
+from ..common import BROADCAST_ROWS, scratch, shared_dir, small, stored, table  # noqa: F401
 
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0; a null id counts as the empty text, so is held out."""

@@ -34,4 +34,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if after == seen:
             break
         seen = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

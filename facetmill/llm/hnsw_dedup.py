@@ -28,6 +28,8 @@ from .components import components
 
 #: Distinct vectors in a graph, and in a block of queries, at most (about: shards are dealt by a hash).
 SHARD, BLOCK = 8192, 1024
+#: Tasks of one stage, at most; beyond that a task takes several graphs one after another.
+MOST_TASKS = 20_000
 
 
 class Graph:
@@ -233,24 +235,30 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD,
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
     rows = rows.withColumns({"a": F.xxhash64("embedding"), "b": F.xxhash64(F.lit(1), "embedding"), "dim": F.size("embedding").cast("long")})
     group = ["label", "dim", "a", "b"]
-    nodes = stored(rows.filter("usable").groupBy(*group).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")), "vectors")
-    # a row that repeats an id with another vector would make two nodes of one number; they stay apart by their vectors
+    nodes = rows.filter("usable").groupBy(*group).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+    # numbers of their own: an id may come again with another vector or label
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy("label", "dim").count()
     sizes = sizes.select("label", "dim", F.ceil(F.col("count") / shard).alias("shards"), F.ceil(F.col("count") / block).alias("blocks"))
+    # a task for each graph and each meeting of a graph with a block, so that no few tasks hold the work
+    n = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1)).alias("graphs"), F.coalesce(F.sum(F.col("shards") * F.col("blocks")), F.lit(1)).alias("meetings")).first()
+    tasks = lambda k: max(1, min(2 * int(k), MOST_TASKS))
     dealt = nodes.join(small(sizes), ["label", "dim"]).select("label", "dim", "node", "n", "embedding", "shards", "blocks")
     home = F.pmod(F.xxhash64("node", F.lit("shard")), "shards").alias("shard")
-    graphs = stored(dealt.withColumn("shard", home).groupBy("label", "dim", "shard").applyInPandas(build_graph, GRAPH), "graphs")
+    graphs = stored(dealt.withColumn("shard", home).repartition(tasks(n["graphs"]), "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(build_graph, GRAPH), "graphs")
     each = dealt.select("label", "dim", "node", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("long").alias("block"))
     sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["label", "dim", "shard", "block"]
+    each, sent = (x.repartition(tasks(n["meetings"]), *keys) for x in (each, sent))
     found = each.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(search_block(least), "node long, links long, root long")
     found = stored(found, "links")
     joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = links.join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("component"))
-    facts = stored(nodes.select(*group, "node", "n").join(facts, "node", "left"), "vector-facts")
+    facts = stored(nodes.select(*group, "node", "first", "n").join(links, "node", "left").join(joined, "node", "left"), "vector-facts")
+    firsts = facts.filter("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
+    facts = facts.join(small(stored(firsts, "smallest")), "component", "left")
     slim = rows.select("vec_id", "label", "dim", "a", "b", "usable")
-    known = facts.select("label", "dim", "a", "b", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    known = facts.select(*group, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component"))
     linked = slim.filter("usable").join(known, group).select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = slim.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -16,6 +16,7 @@ repeated rows and extra columns are no special cases.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,11 +55,15 @@ W_SMOOTH_NEXT, W_SMOOTH_PARENT = 500, 900
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "plain", "header", "content", "article", "hidden", "loose", "half", "articles", "prose", "linked")
+    __slots__ = ("tag", "parent", "depth", "plain", "header", "content", "article", "hidden", "loose", "half", "articles", "prose", "linked", "root", "block", "scope", "marked")
 
     def __init__(self, tag: str, parent: Element | None, attrs: list[tuple[str, str | None]]):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        # nearest of its kind, itself included; a page may nest its elements without end
+        self.root = parent.root if parent else self
+        self.block = self if tag in BLOCK_TAGS or not parent else parent.block
+        self.scope = self if tag in CLOSED_BY or tag in SCOPES or not parent else parent.scope
         self.header = parent.header if parent else False
         self.articles = self.prose = self.linked = 0
         self.content, self.article, self.hidden = (parent.content, parent.article, parent.hidden) if parent else (False, False, False)
@@ -84,10 +89,8 @@ class Element:
         self.loose, self.half = not strict, not strong
         self.header = self.header or tag == "header" or role == "banner" or bool(marks & HEAD_WORDS) and not own and tag not in HEADINGS
         if own and not self.plain:
-            self.article, at = True, self
-            while at:
-                at.articles += 1
-                at = at.parent
+            self.article, self.articles = True, 1
+        self.marked = self if self.plain else parent.marked if parent else None
         self.content = self.content or bool(words & CONTENT_WORDS)
 
 
@@ -97,6 +100,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.top = Element("", None, [])
+        self.elements, self.open = [self.top], Counter()
         self.silent = self.links = 0
         self.parts: list[str] = []
         self.n_link = 0
@@ -106,15 +110,11 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                at = self.top
-                while at.parent and at.tag not in BLOCK_TAGS:
-                    at = at.parent
+                at = self.top.block
                 self.blocks.append((text, at, min(1.0, self.n_link / len(text))))
                 linked = min(len(text), self.n_link)
-                while at:
-                    at.linked += linked
-                    at.prose += len(text) - linked
-                    at = at.parent
+                at.linked += linked
+                at.prose += len(text) - linked
             self.parts, self.n_link = [], 0
 
     def _pop(self) -> None:
@@ -125,6 +125,7 @@ class Blocks(HTMLParser):
             self.links -= 1
         if tag in BLOCK_TAGS:
             self._flush()
+        self.open[tag] -= 1
         self.top = self.top.parent
 
     def handle_starttag(self, tag, attrs):
@@ -133,9 +134,7 @@ class Blocks(HTMLParser):
             if tag == "body" and self.silent:  # a head that was not closed
                 while self.top.parent and self.silent:
                     self._pop()
-            at = self.top
-            while at.parent and at.tag not in CLOSED_BY and at.tag not in SCOPES:
-                at = at.parent
+            at = self.top.scope
             if tag in CLOSED_BY.get(at.tag, ()):
                 while self.top is not at:
                     self._pop()
@@ -144,6 +143,8 @@ class Blocks(HTMLParser):
             self.parts.append(" ")
         if tag not in VOID_TAGS:
             self.top = Element(tag, self.top, attrs)
+            self.elements.append(self.top)
+            self.open[tag] += 1
             self.silent += tag in SILENT_TAGS
             self.links += tag == "a"
 
@@ -155,6 +156,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self._flush()
+        if not self.open[tag]:
+            return
         at = self.top
         while at.parent and at.tag != tag:
             if at.tag in BLOCK_TAGS and tag not in BLOCK_TAGS:  # an inline end tag closes nothing beyond its block
@@ -174,6 +177,10 @@ class Blocks(HTMLParser):
     def close(self):
         super().close()
         self._flush()
+        for at in reversed(self.elements[1:]):  # what lies inside counts for all around it
+            at.parent.articles += at.articles
+            at.parent.prose += at.prose
+            at.parent.linked += at.linked
         return self.blocks
 
 
@@ -182,11 +189,10 @@ def plain_weight(at: Element) -> int:
 
     A keyword or form marks nothing if it wraps the page: all its articles, or, where there are none, most of its prose.
     """
-    marked = []
-    while at.parent:
-        if at.plain:
-            marked.append(at)
-        at = at.parent
+    marked, at, own = [], at.root, at.marked
+    while own:
+        marked.append(own)
+        own = own.parent.marked if own.parent else None
     wraps = lambda e: e.loose and e.prose > e.linked and (e.articles == at.articles if at.articles else e.half and 2 * e.prose > at.prose)
     return max((e.plain for e in marked if not wraps(e)), default=0)
 

@@ -16,8 +16,8 @@ shingle sets of the classes that have a pair to compare, to the buckets where th
 return counts of links and spanning links, and the components of these give a text its class id.
 
 Defined cases: null texts and texts without words link with nothing; rows with a null id link with
-nothing but count as copies; repeated rows are copies of each other; ids that repeat with other
-texts share one class id; an empty table gives an empty result; extra columns are ignored, or pass
+nothing but count as copies; repeated rows are copies of each other; texts that share an id
+share one class id; an empty table gives an empty result; extra columns are ignored, or pass
 through the filter.
 """
 
@@ -110,11 +110,11 @@ def chosen_paths(flat: np.ndarray, ends: np.ndarray, threshold: float, runs: int
     return out
 
 
-FACTS = "doc_id long, n long, k1 long, k2 long, chosen array<array<long>>"
+FACTS = "doc_id long, mark long, n long, k1 long, k2 long, chosen array<array<long>>"
 
 
 def text_facts(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("chosen", pa.list_(pa.list_(pa.int64())))])
+    kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("chosen", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,9 +122,9 @@ def text_facts(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                 flat, ends = shingle_sets(batch.column("text"))
                 k1, k2 = set_keys(flat, ends)
                 chosen = chosen_paths(flat, ends, threshold, runs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), pa.array(chosen, kind.field("chosen").type)], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), pa.array(chosen, kind.field("chosen").type)], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), FACTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(lean(run), FACTS)
 
 
 def buckets(classes: DataFrame, leaf: int) -> DataFrame:
@@ -302,6 +302,11 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, l
     ``n_links`` counts the other rows with similarity ``threshold`` or more, exact copies included;
     ``kept`` marks the rows whose id is their class id.
     """
+    return _classed(docs, threshold, recall, leaf).drop("mark")
+
+
+def _classed(docs: DataFrame, threshold: float, recall: float, leaf: int) -> DataFrame:
+    """The same, with a hash of the text beside the id."""
     runs = runs_for(recall)
     facts = stored(text_facts(docs, threshold, runs), "facts")
     some = facts.filter("n > 0")
@@ -322,17 +327,22 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, l
     reach = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     reach = reach.join(links.groupBy("cid").agg(F.sum("links").alias("links")).withColumnRenamed("cid", "node"), "node", "left")
     known = stored(classes.select("k1", "k2", "cid", "copies").join(reach, F.col("cid") == F.col("node"), "left").select("k1", "k2", "copies", F.coalesce("component", "cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "reach")
-    slim = facts.select("doc_id", "n", "k1", "k2")
-    linked = slim.filter("n > 0 and doc_id is not null").join(known, ["k1", "k2"]).select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    alone = slim.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    slim = facts.select("doc_id", "mark", "n", "k1", "k2")
+    linked = slim.filter("n > 0 and doc_id is not null").join(known, ["k1", "k2"]).select("doc_id", "mark", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = slim.filter("n = 0 or doc_id is null").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class: the one with the smallest id; rows with a null id stay, and so does one row of each id."""
-    kept = near_copies(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+def without_near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, leaf: int = 128) -> DataFrame:
+    """One document of each class: the one with the smallest id. Rows with a null id stay.
+
+    Of rows that repeat an id and a text one stays, the first by a hash of all its columns; a text
+    that an id has besides is a document of its own.
+    """
+    kept = _classed(docs, threshold, recall, leaf).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id"), "mark").distinct()
+    row = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
+    one = row.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

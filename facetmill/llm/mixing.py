@@ -129,13 +129,17 @@ def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, re
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mix as documents, each as often as its source's passes take at least half of it."""
-    keyed = docs.withColumn("_mixed", F.xxhash64("doc_id", "text", F.lit(seed)))
-    copies = mix_sources(docs, seed=seed, **options).groupBy("doc_id", "mixed").agg(F.sum("copies").alias("_copies"))
-    copies = copies.filter("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("mixed").alias("_key"), "_copies")
-    once = keyed.dropDuplicates(["doc_id", "_mixed"])
-    joined = once.join(copies, (once["_mixed"] == copies["_key"]) & once["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[joined[c] for c in docs.columns])
+    """The mix as documents, each as often as its source's passes take at least half of it.
+
+    Rows that repeat both id and text are played together: one row stands for them, the first by
+    a hash of all its columns.
+    """
+    row = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("mixed"), F.struct(*docs.columns).alias("row"))
+    once = row.groupBy("id", "mixed").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    copies = mix_sources(docs, seed=seed, **options).groupBy("doc_id", "mixed").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    copies = copies.withColumnsRenamed({"doc_id": "other_id", "mixed": "other"})
+    joined = once.join(copies, (once["mixed"] == copies["other"]) & once["id"].eqNullSafe(copies["other_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

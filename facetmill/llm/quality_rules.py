@@ -172,13 +172,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     cells = 1 << 20  # only a share of the labels, about twice as many as wanted, is put in order
     chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < max(1, 2 * sample * cells // max(1, chosen.count())))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "_label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    return rows.groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id one text
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    learned = with_statistics(labelled_sample(docs, labels, "quality", sample)).select("_label", *STATISTICS).orderBy(*STATISTICS, "_label").limit(2 * sample)
-    rows = learned.toPandas()
+    learned = with_statistics(labelled_sample(docs, labels, "quality", sample)).select("_label", *STATISTICS)
+    rows = learned.toPandas().sort_values([*STATISTICS, "_label"])
     rules, intercept = fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["_label"].to_numpy(int))
     scored = with_statistics(docs.select("doc_id", "text"))
     out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), rule_column(rules, intercept).alias("score"))

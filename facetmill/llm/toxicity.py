@@ -409,7 +409,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4_000, sample_chars: i
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("_label"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "_label").limit(sample)
     rows = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    rows = rows.select("doc_id", "text", "_label").limit(2 * sample).toPandas().sort_values(["doc_id", "text", "_label"])
+    rows = rows.groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id one text
+    rows = rows.toPandas().sort_values(["doc_id", "text", "_label"])
     y = rows["_label"].to_numpy(np.int64)
     return fitted(rows["text"].tolist(), y), float(y.mean()) if len(y) else 0.0
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt_name, open_input, open_output, scratch, stored, table
+from .common import attempt_name, lean, open_input, open_output, scratch, small, stored, table
 
 #: The skippable frame of a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -165,8 +165,8 @@ def record_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("mark", F.sha2("html", 256))
     groups = rows.filter(F.octet_length("html") >= least_bytes).groupBy("mark").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("mark", "first")
-    joined = rows.join(groups, "mark", "left")
+    groups = stored(groups.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("mark", "first"), "repeated-payloads")
+    joined = rows.join(small(groups), "mark", "left")  # few repeated payloads: no page is shuffled
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -189,7 +189,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 256
             done.append(writer.close())
         yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
-    return stored(record_plan(pages, least_bytes).mapInArrow(run, "path string, bytes long, records long"), "warc-files")
+    return stored(record_plan(pages, least_bytes).mapInArrow(lean(run), "path string, bytes long, records long"), "warc-files")
 
 
 def read_archives(manifest: DataFrame, at_once: int = 4096) -> DataFrame:
