@@ -81,6 +81,11 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, those aside that Spark cannot hash (maps, variants): puts rows that repeat a key in order."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or one like it that no column of the table has (capital letters do not tell names apart)."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small, stored, table
+from .common import lean, row_hash, small, stored, table
 from .components import components
 from .decontaminate import slices
 
@@ -340,8 +340,8 @@ def without_near_copies(docs: DataFrame, threshold: float = 0.8, recall: float =
     that an id has besides is a document of its own.
     """
     kept = _classed(docs, threshold, recall, leaf).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id"), "mark").distinct()
-    row = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
-    one = row.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    row = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), row_hash(docs).alias("order"), F.struct(*docs.columns).alias("row"))
+    one = row.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", "order").alias("row"))
     return one.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import row_hash, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -134,8 +134,8 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     Rows that repeat both id and text are played together: one row stands for them, the first by
     a hash of all its columns.
     """
-    row = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("mixed"), F.struct(*docs.columns).alias("row"))
-    once = row.groupBy("id", "mixed").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    row = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("mixed"), row_hash(docs).alias("order"), F.struct(*docs.columns).alias("row"))
+    once = row.groupBy("id", "mixed").agg(F.min_by("row", "order").alias("row"))
     copies = mix_sources(docs, seed=seed, **options).groupBy("doc_id", "mixed").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     copies = copies.withColumnsRenamed({"doc_id": "other_id", "mixed": "other"})
     joined = once.join(copies, (once["mixed"] == copies["other"]) & once["id"].eqNullSafe(copies["other_id"]))
@@ -144,7 +144,5 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of the mix of all documents."""
-    from .common import table
-
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "copies")

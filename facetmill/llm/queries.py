@@ -25,4 +25,13 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+
+#: DuckDB: all pairs of one label, and the components that they reach.
+_VECTORS = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach AS (SELECT r, r AS o FROM u UNION SELECT reach.r, b FROM reach JOIN pairs ON o = a),
+least AS (SELECT reach.r AS r, min(v.vec_id) AS component FROM reach JOIN v ON v.r = reach.o GROUP BY ALL),
+degrees AS (SELECT a AS r, count(*) AS n_links FROM pairs GROUP BY ALL)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component, vec_id) AS kept FROM v LEFT JOIN degrees USING (r) LEFT JOIN least USING (r)"""
+ORACLES: dict[str, str] = {"op5_hnsw_dedup": _VECTORS}
