@@ -302,6 +302,38 @@ def test_readers(spark, tmp_path, box):
         R.load_index(spark, str(tmp_path / "j"))
 
 
+def test_small_functions(spark):
+    rows = spark.createDataFrame([("what?", "a.step"), ("see a.step", "a.step"), ("what?", None)], "q string, p string")
+    assert [r.x for r in rows.select(traces.build_question("q", "p").alias("x")).collect()] == ["what?\n\nFile: a.step", "see a.step", "what?"]
+    assert spark.range(1).select(S.preview(F.lit("x" * 201)).alias("x")).first().x == "x" * 200 + "... [cut]"
+    text = lambda **n: spark.range(1).select(S.severity_string({k: F.lit(v) for k, v in n.items()}).alias("x")).first().x
+    assert (text(Critical=1, Major=0, Minor=4, Info=0), text(Critical=0, Major=0)) == ("C1 M4", "-")
+    parts = spark.createDataFrame([(1, 9), (2, None), (3, 4), (4, 4)], "part_id long, face_count int")
+    assert [r.part_id for r in scores.order_parts(parts).collect()] == [2, 3, 4, 1]
+    q = spark.createDataFrame([(1, "x"), (2, " "), (3, None)], "query_id long, query string")
+    for chunks, status in ((spark.range(1), "ok"), (spark.range(0), "no_index")):
+        assert {r.query_id: r.status for r in documents.search_status(q, chunks).collect()} == {1: status, 2: "empty_query", 3: "empty_query"}
+    one = spark.createDataFrame([("ab",)], "text string").select(documents.hash_embedding("text", 8).alias("e")).first().e
+    assert one == [float(i == (97 + 98) % 8) for i in range(8)]
+    chunks, meta = documents.build_index(spark.createDataFrame([("ab",), (" ",), (None,)], "text string"), lambda texts: np.array([[3.0, 4.0]] * len(texts)), model="mine")
+    assert [r.embedding for r in chunks.collect()] == [[0.6, 0.8]] and (meta.first().model, meta.first().dim, meta.first().n_chunks) == ("mine", 2, 1)
+    probs = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.75, 0.25])], "y int, p array<double>")
+    assert math.isclose(datasets.cross_entropy(probs, "y", "p").first().cross_entropy, (math.log(2) + math.log(4)) / 2)
+
+
+def test_boxes_overlap_in_parts_of_any_size(spark):
+    """The grid follows the part, so a large part makes no more rows than a small one."""
+    rng = np.random.default_rng(2)
+    for scale in (1.0, 1e6):
+        lo = rng.uniform(0, 10, (60, 3))
+        hi = lo + rng.uniform(0, 4, (60, 3))
+        rows = [(1, i, *(lo[i] * scale).tolist(), *(hi[i] * scale).tolist()) for i in range(60)]
+        df = spark.createDataFrame(rows, "part_id long, solid_id int, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double")
+        want = {(a, b) for a in range(60) for b in range(a + 1, 60) if ((lo[a] < hi[b]) & (lo[b] < hi[a])).all()}
+        got = [(r.a, r.b) for r in checks.overlapping_boxes(df, "solid_id").collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
