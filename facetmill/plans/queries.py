@@ -243,9 +243,9 @@ def face_overlay(spark, sf_dir) -> DataFrame:
 @query(
     "fallback_embedding",
     sql(
-        """SELECT part_id, face_index, list_transform(range(128), lambda i: round(tanh(list_extract([score, area, abs(nx) + abs(ny) + abs(nz), 1.0], i % 4 + 1) + 0.1 * (i % 4)), 6)) AS embedding
-        FROM (SELECT *, least(1.0, 0.32 + CASE WHEN area <= 1e-6 THEN 0.18 ELSE least(0.18, 1 / (1 + area)) END + CASE WHEN surface_type IN ('plane', 'cylinder') THEN 0 ELSE 0.08 END + least(0.22, 0.03 * coalesce(degree, 0)) + least(0.1, 0.02 * (abs(nx) + abs(ny) + abs(nz)))) AS score
-        FROM faces LEFT JOIN degree USING (part_id, face_index))""",
+        """SELECT part_id, face_index, list_transform(range(128), lambda i: four[i % 4 + 1]) AS embedding
+        FROM (SELECT *, [round(tanh(score), 6), round(tanh(area + 0.1), 6), round(tanh(abs(nx) + abs(ny) + abs(nz) + 0.2), 6), round(tanh(1.0 + 0.3::DOUBLE), 6)] AS four FROM (SELECT *, least(1.0, 0.32 + CASE WHEN area <= 1e-6 THEN 0.18 ELSE least(0.18, 1 / (1 + area)) END + CASE WHEN surface_type IN ('plane', 'cylinder') THEN 0 ELSE 0.08 END + least(0.22, 0.03 * coalesce(degree, 0)) + least(0.1, 0.02 * (abs(nx) + abs(ny) + abs(nz)))) AS score
+        FROM faces LEFT JOIN degree USING (part_id, face_index)))""",
         False,
     ),
 )
