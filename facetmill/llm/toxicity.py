@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, lean, table
+from .common import free_name, give_back, held_out, lean, table
 from .decontaminate import slices
 
 SPAN, STRIDE = 24, 12
@@ -410,9 +410,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4_000, sample_chars: i
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "_label").limit(sample)
     rows = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
     rows = rows.groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id one text
-    rows = rows.toPandas().sort_values(["doc_id", "text", "_label"])
-    y = rows["_label"].to_numpy(np.int64)
-    return fitted(rows["text"].tolist(), y), float(y.mean()) if len(y) else 0.0
+    rows = rows.toArrow().to_pandas().sort_values(["doc_id", "text", "_label"])  # Arrow: no second copy as row objects
+    y, texts = rows["_label"].to_numpy(np.int64), rows["text"].tolist()
+    del rows
+    give_back()
+    model = fitted(texts, y)
+    del texts
+    give_back()
+    return model, float(y.mean()) if len(y) else 0.0
 
 
 def with_score(docs: DataFrame, model: dict | None, share: float, column: str = "score") -> DataFrame:
