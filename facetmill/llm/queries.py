@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .convo_repair import op11_convo_repair
 from .decontaminate import op9_decontaminate
+from .fertility_rules import op13_fertility_rules
 from .hnsw_dedup import op5_hnsw_dedup
 from .html_extract import op2_html_extract
 from .jaccard_join import op8_jaccard_join
 from .mixing import op10_mixing
+from .periodic_runs import op12_periodic_runs
 from .quality_rules import op3_quality_rules
 from .token_pack import op7_token_pack
 from .toxicity import op4_toxicity
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_convo_repair": op11_convo_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fertility_rules": op13_fertility_rules,
 }
 
 #: DuckDB: all pairs of one label, and the components that they reach.
