@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +43,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write a table to the shared folder in buckets of ``keys``, as many as shuffle partitions, and read it back.
+
+    Groups and joins by these keys, and inside ``co_located`` by more columns than these, then need no
+    shuffle. All rows of a key are read by one task, so keys must be of bounded size.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "facetmill_" + re.sub(r"\W", "_", path.rpartition("/")[2])
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """For actions inside: sides in equal buckets of some of the join's columns are not shuffled by all of them."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a side for broadcast if its counted rows fit; else leave the join to shuffle it."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)

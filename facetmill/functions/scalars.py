@@ -39,15 +39,15 @@ def with_surface_type(df: DataFrame) -> DataFrame:
 
 
 def abs_sum(vector) -> Column:
-    """Of a vector in space."""
+    """Of a vector in space; null if it is too short."""
     v = _c(vector)
-    return F.abs(v[0]) + F.abs(v[1]) + F.abs(v[2])
+    return F.abs(F.get(v, 0)) + F.abs(F.get(v, 1)) + F.abs(F.get(v, 2))
 
 
 def face_feature_vector(df: DataFrame, column: str = "features") -> DataFrame:
     """The 12 numbers of a face: surface type, log area, normal sum, curvature, extents in u and v."""
     uv = F.col("uv_bounds")
-    rest = F.array(F.log1p(F.greatest("area", F.lit(0.0))), abs_sum("normal"), F.col("mean_curvature"), uv[1] - uv[0], uv[3] - uv[2])
+    rest = F.array(F.log1p(F.greatest("area", F.lit(0.0))), abs_sum("normal"), F.col("mean_curvature"), F.get(uv, 1) - F.get(uv, 0), F.get(uv, 3) - F.get(uv, 2))
     return df.withColumn(column, F.concat(surface_one_hot_strict("surface_type"), rest))
 
 
@@ -71,9 +71,9 @@ def angle_deg(a, b) -> Column:
 
 
 def dot3(a, b) -> Column:
-    """Dot product in space, place by place: stays in generated code, unlike ``dot``."""
+    """Dot product in space, place by place (null if one is too short): stays in generated code, unlike ``dot``."""
     x, y = _c(a), _c(b)
-    return x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    return F.get(x, 0) * F.get(y, 0) + F.get(x, 1) * F.get(y, 1) + F.get(x, 2) * F.get(y, 2)
 
 
 def cosine3(a, b) -> Column:
@@ -86,6 +86,15 @@ def convexity(cos) -> Column:
     return F.when(c.isNull(), "unknown").when(c > 0.98, "smooth").when(c >= 0, "convex").otherwise("concave")
 
 
+def guarded(value: Column, kind: str) -> Column:
+    """A struct of ``v``, the value, or null if computing it raised an error (ANSI division, index, cast, overflow).
+
+    ``try_to_binary`` gives null for any error of its argument, so the value makes the way through text.
+    """
+    text = F.decode(F.try_to_binary(F.to_json(F.struct(value.alias("v"))), F.lit("utf-8")), "utf-8")
+    return F.from_json(text, f"v {kind}")
+
+
 def clamp01(score) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), _c(score)))
 

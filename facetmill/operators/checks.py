@@ -1,36 +1,39 @@
 """The rule checks as one plan.
 
-``measured`` reads every table of a catalog once: edges with all that is known of their uses, then
-faces with what their edges say, then parts with what their faces say. A check names the facts that
-make it fire and, if it has any, the scores that it gives edges and faces; so a further check is a
-registry entry and not another pass over the tables.
+A check names the facts of a part that make it fire and, if it has any, the scores that it gives edges and
+faces; ``measures`` computes the facts of all checks in one pass, so a further check is a registry entry
+and not another pass over the tables. A check that fails on a part skips it and leaves an Info row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import stored
-from ..functions.scalars import angle_deg, clamp01, ramp, with_bbox_dims
-from ..schemas import BOX, Tables
-from .scores import SEVERITIES, fused, heuristic_score, proxy_score
+from ..functions.scalars import ramp
+from ..schemas import Tables
+from . import measures
+from .measures import (  # noqa: F401
+    MANY_FACES, MANY_SHORT, SHARP_DEGREES, SHORT_EDGE, SMALL_AREA, SMALL_EDGE, SMALL_RADIUS, THIN_SOLID_RATIO, THIN_WALL, ZERO_LENGTH, Measured, face_means, split_valid,
+)
+from .measures import scale as _scale
+from .overlaps import interference, overlapping_boxes  # noqa: F401
+from .scores import SEVERITIES, fused
 from .topology import PART
 
-# Thresholds, as shares of the part's largest dimension unless named otherwise.
-SHORT_EDGE, THIN_WALL, SMALL_AREA, SMALL_EDGE, SMALL_RADIUS = 0.005, 0.03, 0.02, 0.2, 0.03
-ZERO_LENGTH, THIN_SOLID_RATIO, SHARP_DEGREES, MANY_SHORT, MANY_FACES = 1e-7, 100.0, 15.0, 8, 150
-
 
 @dataclass(frozen=True)
 class Check:
     """``fires``, severity, measure, threshold and detail are columns over the facts of a part;
     ``edge_score`` is one over an edge with its uses, ``face_score`` one over a face that knows the
-    facts of its part. A face's rule score is the highest that any check gives it or its edges."""
+    facts of its part. A face's rule score is the highest that any check gives it or its edges.
+
+    ``broken``: over the facts, how many values that the check needs could not be computed. With
+    ``guarded``, errors of the check's own columns (a division by zero, an index or a cast that fails)
+    count as such too; checks that use the ``try_`` functions throughout need no guard."""
 
     name: str
     fires: Column
@@ -41,10 +44,16 @@ class Check:
     suggestion: str
     edge_score: Column | None = None
     face_score: Column | None = None
+    broken: Column | None = None
+    guarded: bool = True
+
+    def result(self) -> Column:
+        values = {"fires": self.fires, "severity": self.severity, "measure": self.measure.cast("double"), "threshold": self.threshold.cast("double"), "detail": self.detail}
+        return F.struct(*[v.alias(n) for n, v in values.items()])
 
 
 _REGISTRY: dict[str, Callable[[], Check]] = {}
-#: Names of the findings that the registry can make.
+#: Names of the findings that the registry can make; CheckSkipped stands for any check that failed on a part.
 NAMES: dict[str, None] = {}
 
 
@@ -54,12 +63,14 @@ def register_check(key: str, make: Callable[[], Check], name: str | None = None)
     NAMES[name or key] = None
 
 
-def _check(name, fires, severity, measure, threshold, detail, suggestion, key=None, edge=None, face=None):
+def _check(name, fires, severity, measure, threshold, detail, suggestion, key=None, edge=None, face=None, broken=()):
     def make() -> Check:
         sev = F.lit(severity) if isinstance(severity, str) else severity()
         what = measure().cast("double")
         text = F.format_string(detail.replace("%s", "%.6g"), what) if isinstance(detail, str) else detail()
-        return Check(name, fires(), sev, what, (threshold() if threshold else F.lit(None)).cast("double"), text, suggestion, edge and edge(), face and face())
+        limit = (threshold() if threshold else F.lit(None)).cast("double")
+        lost = sum((F.col(b) for b in broken[1:]), F.col(broken[0])) if broken else None
+        return Check(name, fires(), sev, what, limit, text, suggestion, edge and edge(), face and face(), lost, guarded=False)
 
     register_check(key or name, make, name)
 
@@ -67,17 +78,13 @@ def _check(name, fires, severity, measure, threshold, detail, suggestion, key=No
 c = F.col
 
 
-def _scale(share: float, power: int = 1) -> Column:
-    return F.lit(share) * (c("max_dim") if power == 1 else c("max_dim") * c("max_dim"))
-
-
 def _between(column: str, most: Column, least: float = 0.0) -> Column:
     """A score for values above ``least`` and below ``most``; null for others."""
     return F.when((c(column) > least) & (c(column) < most), ramp(column, most))
 
 
 _check("DegenerateGeometry", lambda: (c("face_count") == 0) | (c("edge_count") == 0), "Major", lambda: c("face_count"), None, "%s faces: the part has no faces or no edges", "Export the part again.")
-_check("DegenerateEdges", lambda: c("zero_edges") > 0, "Major", lambda: c("zero_edges"), lambda: F.lit(ZERO_LENGTH), "%s edge uses of no length", "Remove or merge edges of no length.")
+_check("DegenerateEdges", lambda: c("zero_edges") > 0, "Major", lambda: c("zero_edges"), lambda: F.lit(ZERO_LENGTH), "%s edge uses of no length", "Remove or merge edges of no length.", broken=["bad_lengths"])
 _check(
     "NonManifoldEdges", lambda: c("crowded_edges") > 0, "Major", lambda: c("crowded_edges"), None, "%s edges are used more than twice", "Separate the bodies that share these edges.",
     edge=lambda: F.when(c("uses") > 2, 1.0),
@@ -100,7 +107,7 @@ _check(
 )
 _check(
     "ShortEdges", lambda: (c("short_threshold") > 0) & (c("short_edges") > 0), lambda: F.when(c("short_edges") >= MANY_SHORT, "Major").otherwise("Minor"), lambda: c("short_edges"), lambda: c("short_threshold"), "%s very short edge uses", "Merge tiny edges.",
-    edge=lambda: _between("length", _scale(SHORT_EDGE), ZERO_LENGTH),
+    edge=lambda: _between("length", _scale(SHORT_EDGE), ZERO_LENGTH), broken=["bad_lengths"],
 )
 _check(
     "ThinWalls", lambda: c("thin_ratio") < THIN_WALL, "Major", lambda: c("thin_ratio"), lambda: F.lit(THIN_WALL), "thickness ratio %s", "See whether the solver can mesh the thin region.",
@@ -109,149 +116,42 @@ _check(
 _check(
     "SmallFeatures", lambda: (c("max_dim") > 0) & (c("small_faces") + c("small_edges") > 0), "Minor", lambda: c("small_faces") + c("small_edges"), lambda: _scale(SMALL_AREA, 2),
     lambda: F.format_string("%d small faces and %d small edge uses", "small_faces", "small_edges"), "Remove details that would force a fine mesh.",
-    edge=lambda: _between("length", _scale(SMALL_EDGE), ZERO_LENGTH), face=lambda: _between("area", _scale(SMALL_AREA, 2)),
+    edge=lambda: _between("length", _scale(SMALL_EDGE), ZERO_LENGTH), face=lambda: _between("area", _scale(SMALL_AREA, 2)), broken=["bad_areas", "bad_lengths"],
 )
 _check(
     "SmallFilletsOrHoles", lambda: (c("max_dim") > 0) & (c("small_cylinders") > 0), "Minor", lambda: c("small_cylinders"), lambda: _scale(SMALL_RADIUS), "%s cylinders of small radius", "Remove or refine small fillets and holes.",
-    face=lambda: F.when((c("surface_type") == "cylinder") & (c("radius") <= _scale(SMALL_RADIUS)), ramp("radius", _scale(SMALL_RADIUS))),
+    face=lambda: F.when((c("surface_type") == "cylinder") & (c("radius") <= _scale(SMALL_RADIUS)), ramp("radius", _scale(SMALL_RADIUS))), broken=["bad_radii"],
 )
-_check("DuplicateBodyHeuristic", lambda: (c("solid_count") > 1) & (c("duplicate_solids") > 0), "Major", lambda: c("duplicate_solids"), None, "%s solids repeat the box of another", "Delete duplicate solids.")
+_check("DuplicateBodyHeuristic", lambda: (c("solid_count") > 1) & (c("duplicate_solids") > 0), "Major", lambda: c("duplicate_solids"), None, "%s solids repeat the box of another", "Delete duplicate solids.", broken=["bad_solids"])
 _check(
     "ThinSolid", lambda: c("thin_solids") > 0, "Major", lambda: c("worst_aspect"), lambda: F.lit(THIN_SOLID_RATIO),
-    lambda: F.format_string("%d solids of an aspect ratio up to %.6g", "thin_solids", "worst_aspect"), "Remove sliver solids.",
+    lambda: F.format_string("%d solids of an aspect ratio up to %.6g", "thin_solids", "worst_aspect"), "Remove sliver solids.", broken=["bad_solids"],
 )
 _check(
     "DuplicateFaceHeuristic", lambda: c("duplicate_faces") > 0, lambda: F.when(c("solid_count") == 0, "Major").otherwise("Minor"), lambda: c("duplicate_faces"), None, "%s faces repeat the box of another", "Delete duplicate faces.",
-    face=lambda: F.when(c("alike") > 1, 0.8),
+    face=lambda: F.when(c("alike") > 1, 0.8), broken=["bad_boxes"],
 )
 _check("OrientationNuance", lambda: (c("face_count") > 0) & (c("solid_count") == 0), "Minor", lambda: c("face_count"), None, "%s faces without a solid have no defined outside", "Check the normals.")
 _check(
     "SharpEdges", lambda: c("sharp_edges") > 0, "Minor", lambda: c("sharp_edges"), lambda: F.lit(SHARP_DEGREES), "%s edges between faces of almost equal normals", "See whether the transitions are meant.",
-    edge=lambda: F.when(c("angle") < SHARP_DEGREES, ramp("angle", F.lit(SHARP_DEGREES), 0.3)),
+    edge=lambda: F.when(c("angle") < SHARP_DEGREES, ramp("angle", F.lit(SHARP_DEGREES), 0.3)), broken=["bad_angles"],
 )
 _check("SelfIntersectionSkipped", lambda: (c("freeform_faces") > 0) | (c("face_count") > MANY_FACES), "Minor", lambda: F.when(c("freeform_faces") > 0, c("freeform_faces")).otherwise(c("face_count")), None, "self-intersection was not tested (%s faces)", "Test the part for self-intersection elsewhere.")
-_check("CheckSkipped", lambda: c("bad_faces") > 0, "Info", lambda: c("bad_faces"), None, "%s faces could not be measured", "Look at the faces without an area.")
+NAMES["CheckSkipped"] = None
 _check("MultiBodyDetected", lambda: c("solid_count") > 1, "Info", lambda: c("solid_count"), None, "%s bodies", "Look at the report of each body.")
 
 
-class Measured:
-    """``faces``: a row per face with the facts of its part, its rule score (null: none), its
-    heuristic score and its complexity proxy. ``parts``: a row per valid part with its facts, the
-    means of its scores and its findings as an array. Both are stored once, when first asked for."""
-
-    def __init__(self, t: Tables, keys=PART):
-        self.tables, self.keys = t, tuple(keys)
-
-    @cached_property
-    def faces(self) -> DataFrame:
-        return stored(_measured_faces(self.tables, self.keys), "measured-faces")
-
-    @cached_property
-    def parts(self) -> DataFrame:
-        return stored(_measured_parts(self.tables, self.faces, self.keys), "measured-parts")
-
-
-def _rounded_box() -> list[Column]:
-    return [F.bround(x, 5).alias(f"b{i}") for i, x in enumerate(BOX)]
-
-
-_B = [f"b{i}" for i in range(6)]
-
-
-def scaled_faces(t: Tables, keys=PART) -> DataFrame:
-    """Faces of valid parts with the part's scale."""
-    scale = with_bbox_dims(split_valid(t.parts, keys)[0]).select(*keys, "max_dim", "min_dim")
-    return t.faces.select(*keys, "face_index", "surface_type", "area", "normal", "radius", *_rounded_box()).join(scale, list(keys))
-
+def registered() -> list[tuple[str, Check]]:
+    return [(key, make()) for key, make in _REGISTRY.items()]
 
-def measured_edges(t: Tables, faces: DataFrame, keys=PART) -> DataFrame:
-    """A row per used edge: length, uses in coedge order with their faces, turn, angle of its two faces."""
-    uses = t.coedges.select(*keys, "coedge_index", "face_index", "edge_index", "orientation").join(faces.select(*keys, "face_index", "normal", "max_dim"), [*keys, "face_index"])
-    one = F.struct("coedge_index", "face_index", "normal")
-    edges = uses.groupBy(*keys, "edge_index").agg(F.count("*").alias("uses"), F.sum("orientation").alias("turn"), F.any_value("max_dim").alias("max_dim"), F.array_sort(F.collect_list(one)).alias("seen"))
-    edges = edges.join(t.edges.select(*keys, "edge_index", "length", "is_degenerated"), [*keys, "edge_index"], "left")
-    a = F.col("seen")[0]
-    b = F.try_element_at(F.filter("seen", lambda x: x["face_index"] != F.col("seen")[0]["face_index"]), F.lit(1))
-    edges = edges.withColumns({"fa": a["face_index"], "fb": b["face_index"], "na": a["normal"], "nb": b["normal"], "n_faces": F.size(F.array_distinct(F.transform("seen", lambda x: x["face_index"])))})
-    return edges.withColumn("angle", F.when(F.col("n_faces") == 2, angle_deg("na", "nb"))).drop("na", "nb")
 
-
-def _highest(scores: list[Column | None]) -> Column:
-    given = [s.cast("double") for s in scores if s is not None]
-    return F.array_max(F.array(*given)) if given else F.lit(None).cast("double")
-
-
-#: Facts of a part that add up over its edges.
-EDGE_COUNTS = ("edge_count", "unique_edges", "zero_edges", "crowded_edges", "open_edges", "degenerate_edges", "same_way_edges", "short_edges", "small_edges", "sharp_edges")
-FACE_COUNTS = ("face_count", "small_faces", "small_cylinders", "freeform_faces", "bad_faces", "duplicate_faces")
-
-
-def measured(t: Tables, keys=PART) -> Measured:
-    """Everything the checks and scores need. A part's faces meet in one task, its edges need not.
+def measured(t: Tables, keys=PART, giant: int = measures.GIANT_FACES) -> Measured:
+    """Everything the registered checks and the scores need; see ``measures``.
 
     Uses of faces that the table does not hold, and rows of parts that are not there or not valid,
     count nowhere.
     """
-    return Measured(t, keys)
-
-
-def _solid_facts(t: Tables, keys) -> DataFrame:
-    dims = [F.col(f"{a}max") - F.col(f"{a}min") for a in "xyz"]
-    least = F.least(*dims)
-    solids = t.solids.select(*keys, *_rounded_box(), F.when(least > 0, F.try_divide(F.greatest(*dims), least)).alias("aspect")).repartition(*keys)
-    solids = solids.groupBy(*keys, *_B).agg(F.count("*").alias("n"), F.count_if(F.col("aspect") >= THIN_SOLID_RATIO).alias("thin"), F.max("aspect").alias("aspect"))
-    return solids.groupBy(*keys).agg(F.sum("n").alias("solid_count"), (F.sum("n") - F.count("*")).alias("duplicate_solids"), F.sum("thin").alias("thin_solids"), F.max("aspect").alias("worst_aspect"))
-
-
-def _thin_ratio() -> Column:
-    return F.when((F.col("max_dim") > 0) & (F.col("min_dim") > 0), F.try_divide("min_dim", "max_dim"))
-
-
-def _measured_faces(t: Tables, keys) -> DataFrame:
-    checks = [make() for make in _REGISTRY.values()]
-    faces = scaled_faces(t, keys)
-    edges = measured_edges(t, faces, keys)
-    first, long_enough = F.col("nth") == 0, F.col("length") > ZERO_LENGTH
-    uses = edges.select("*", _highest([ck.edge_score for ck in checks]).alias("edge_score"), F.posexplode("seen").alias("nth", "use"))
-    own = F.col("use")["face_index"]
-    other = F.when(own == F.col("fa"), F.col("fb")).when(own == F.col("fb"), F.col("fa"))
-    counts = (
-        F.lit(True), first, F.abs("length") <= ZERO_LENGTH, first & (F.col("uses") > 2), first & (F.col("uses") == 1), first & F.col("is_degenerated"), first & (F.col("uses") == 2) & (F.abs("turn") == 2),
-        long_enough & (F.col("length") < _scale(SHORT_EDGE)), long_enough & (F.col("length") < _scale(SMALL_EDGE)), first & (F.col("angle") < SHARP_DEGREES),
-    )
-    by_face = uses.groupBy(*keys, own.alias("face_index")).agg(F.max("edge_score").alias("edge_score"), F.size(F.collect_set(other)).alias("degree"), *[F.count_if(v).alias(f"u_{k}") for k, v in zip(EDGE_COUNTS, counts)])
-    part, alike = Window.partitionBy(*keys), F.count("*").over(Window.partitionBy(*keys, *_B))
-    rows = faces.join(by_face, [*keys, "face_index"], "left").withColumn("alike", alike)
-    facts = {k: F.sum(F.coalesce(f"u_{k}", F.lit(0))) for k in EDGE_COUNTS} | {
-        "face_count": F.count("*"), "small_faces": F.count_if((F.col("area") > 0) & (F.col("area") < _scale(SMALL_AREA, 2))), "small_cylinders": F.count_if((F.col("surface_type") == "cylinder") & (F.col("radius") <= _scale(SMALL_RADIUS))),
-        "freeform_faces": F.count_if(F.col("surface_type").isin("bspline", "bezier")), "bad_faces": F.count_if(F.col("area").isNull() | F.isnan("area")),
-        "duplicates": F.sum(1 - 1 / F.col("alike")),  # n equal boxes sum up to n - 1
-        "most_area": F.max("area"),
-    }
-    solids = _solid_facts(t, keys).select(*keys, "solid_count")
-    rows = rows.withColumns({k: v.over(part) for k, v in facts.items()}).join(solids, list(keys), "left")
-    degree = F.coalesce("degree", F.lit(0))
-    known = {"duplicate_faces": F.round("duplicates").cast("long"), "solid_count": F.coalesce("solid_count", F.lit(0)), "thin_ratio": _thin_ratio(), "degree": degree}
-    rows = rows.withColumns(known)
-    rule = _highest([F.col("edge_score"), *[ck.face_score for ck in checks]])
-    return rows.select(
-        *keys, "face_index", "surface_type", "area", "max_dim", "min_dim", "degree", "alike", *EDGE_COUNTS, *FACE_COUNTS, "solid_count", "thin_ratio",
-        rule.alias("rule_score"), heuristic_score(F.col("degree")).alias("ml_score"), proxy_score(F.col("degree"), F.col("most_area")).alias("proxy"),
-    )
-
-
-def _measured_parts(t: Tables, faces: DataFrame, keys) -> DataFrame:
-    clamped = F.when(F.col("rule_score").isNotNull(), clamp01("rule_score"))
-    per = faces.groupBy(*keys).agg(*[F.any_value(n).alias(n) for n in EDGE_COUNTS + FACE_COUNTS], F.avg(clamped).alias("rule_face_mean"), F.count("rule_score").alias("rule_face_count"), *face_means(), F.sum("degree").alias("degrees"))
-    parts = with_bbox_dims(split_valid(t.parts, keys)[0]).join(per, list(keys), "left").join(_solid_facts(t, keys), list(keys), "left")
-    parts = parts.na.fill(0, [*EDGE_COUNTS, *FACE_COUNTS, "rule_face_count", "rule_face_mean", "degrees", "solid_count", "duplicate_solids", "thin_solids"])
-    parts = parts.withColumns({"thin_ratio": _thin_ratio(), "short_threshold": _scale(SHORT_EDGE)})
-    return parts.withColumn("findings", _findings([make() for make in _REGISTRY.values()]))
-
-
-def face_means() -> list[Column]:
-    """Aggregates over a part's faces: means of the ML and of the combined scores."""
-    return [F.avg("ml_score").alias("ml_mean"), F.avg(fused(F.col("rule_score"), F.col("ml_score"))).alias("combined_face_mean")]
+    return Measured(t, keys, registered(), giant)
 
 
 def scores_by_face(faces: DataFrame, keys=PART) -> DataFrame:
@@ -261,30 +161,9 @@ def scores_by_face(faces: DataFrame, keys=PART) -> DataFrame:
     return faces.groupBy(*keys).agg(*[F.array_sort(F.collect_list(one(v))).alias(k) for k, v in scores.items()])
 
 
-def split_valid(parts: DataFrame, keys=PART) -> tuple[DataFrame, DataFrame]:
-    """Parts that loaded and passed validation, and (keys, stem, check, detail) of the others.
-
-    ``load_check``, where the table has it, names what failed (FileNotFound, LoadError, NullShape,
-    BRepCheckFailure, AnalysisTimeout, AnalysisError); a part that is not valid and names nothing
-    failed the B-rep check.
-    """
-    failed = F.col("load_check") if "load_check" in parts.columns else F.lit(None).cast("string")
-    check = F.coalesce(failed, F.when(~F.coalesce("is_valid", F.lit(False)), "BRepCheckFailure"))
-    detail = F.coalesce(F.col("load_detail") if "load_detail" in parts.columns else F.lit(None).cast("string"), check)
-    return parts.filter(check.isNull()), parts.filter(check.isNotNull()).select(*keys, "stem", check.alias("check"), detail.alias("detail"))
-
-
-def _findings(checks: list[Check]) -> Column:
-    each = []
-    for k, ck in enumerate(checks):
-        row = F.struct(F.lit(k).alias("finding_seq"), F.lit(ck.name).alias("check"), ck.severity.alias("severity"), ck.measure.alias("measure"), ck.threshold.alias("threshold"), ck.detail.alias("detail"), F.lit(ck.suggestion).alias("suggestion"))
-        each.append(F.when(ck.fires, row))
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
-
-
 def part_facts(t: Tables, keys=PART) -> DataFrame:
     """One row per valid part with every fact that a check looks at, and its findings."""
-    return measured(t, keys).parts
+    return measured(t, keys).judged
 
 
 def findings(facts: DataFrame, keys=PART) -> DataFrame:
@@ -308,51 +187,9 @@ def merge_scores(scores: list[DataFrame], keys=PART) -> DataFrame:
 def run_checks(t: Tables, keys=PART) -> tuple[DataFrame, DataFrame]:
     """All findings and all rule scores."""
     m = measured(t, keys)
-    return findings(m.parts, keys), m.faces.filter("rule_score is not null").select(*keys, "face_index", F.col("rule_score").alias("score"))
+    return findings(m.judged, keys), m.faces.filter("rule_score is not null").select(*keys, "face_index", F.col("rule_score").alias("score"))
 
 
 def counts_of(found: Column) -> dict[str, Column]:
     """Numbers of findings by severity (a missing one is Info) from an array of findings."""
     return {s: F.size(F.filter(found, lambda f: F.coalesce(f["severity"], F.lit("Info")) == s)).cast("long") for s in SEVERITIES}
-
-
-def overlapping_boxes(rows: DataFrame, item: str, keys=PART, cells: int = 4) -> DataFrame:
-    """(keys, a, b): pairs of items of one key whose boxes overlap in all three directions, a < b.
-
-    Boxes meet through the cells of a grid of ``cells`` cells in each direction over the box around
-    the key's items, never all with all; a pair counts in the first cell that both touch. An item
-    touches at most cells ** 3 cells, however large the part.
-    """
-    keys, axes = list(keys), "xyz"
-    around = rows.groupBy(*keys).agg(*[F.min(f"{a}min").alias(f"lo_{a}") for a in axes], *[F.max(f"{a}max").alias(f"hi_{a}") for a in axes])
-    grid = rows.select(*keys, F.col(item).alias("item"), *BOX).join(around, keys)
-
-    def cell(value: str, a: str) -> Column:
-        at = F.try_divide((F.col(value) - F.col(f"lo_{a}")) * cells, F.col(f"hi_{a}") - F.col(f"lo_{a}"))
-        return F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.coalesce(at, F.lit(0.0))).cast("int")))
-
-    for a in axes:
-        grid = grid.withColumn(f"f{a}", cell(f"{a}min", a)).withColumn(f"c{a}", F.explode(F.sequence(F.col(f"f{a}"), cell(f"{a}max", a))))
-    grid = grid.drop(*[f"{s}_{a}" for a in axes for s in ("lo", "hi")])
-    own = ["item", *BOX, *[f"f{a}" for a in axes]]
-    left, right = (grid.withColumnsRenamed({x: f"{side}_{x}" for x in own}) for side in "lr")
-    pairs = left.join(right, [*keys, "cx", "cy", "cz"]).filter(F.col("l_item") < F.col("r_item"))
-    for a in axes:
-        pairs = pairs.filter((F.col(f"l_{a}min") < F.col(f"r_{a}max")) & (F.col(f"r_{a}min") < F.col(f"l_{a}max")) & (F.col(f"c{a}") == F.greatest(f"l_f{a}", f"r_f{a}")))
-    return pairs.select(*keys, F.col("l_item").alias("a"), F.col("r_item").alias("b"))
-
-
-def interference(t: Tables, item: str = "solid_id") -> DataFrame:
-    """(part_id, a, b): overlapping solids, or overlapping faces that share no edge (item face_index), of
-    valid parts that a test for self-intersection would take: no freeform faces and not too many faces."""
-    faces = t.faces.groupBy("part_id").agg(F.count_if(F.col("surface_type").isin("bspline", "bezier")).alias("free"), F.count("*").alias("n"))
-    fit = split_valid(t.parts)[0].select("part_id").join(faces.filter((F.col("free") > 0) | (F.col("n") > MANY_FACES)).select("part_id"), "part_id", "left_anti")
-    rows = t.solids if item == "solid_id" else t.faces
-    pairs = overlapping_boxes(rows.join(fit, "part_id", "left_semi"), item)
-    if item == "solid_id":
-        return pairs
-    from .topology import edge_faces
-
-    near = edge_faces(t.coedges).filter(F.size("faces") >= 2)
-    both = near.select("part_id", F.explode("faces").alias("a"), "faces").select("part_id", "a", F.explode("faces").alias("b")).filter("a < b").distinct()
-    return pairs.join(both, ["part_id", "a", "b"], "left_anti")

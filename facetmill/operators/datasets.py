@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import defect_class, defect_name, source_part
-from ..schemas import DEFECT_CLASSES, Tables
+from ..schemas import BOX, DEFECT_CLASSES, Tables
+from .boxes import box_solid
+from .topology import rollup_bbox
 
 
 def training_rows(faces: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,58 +148,95 @@ def class_counts(dataset: DataFrame) -> DataFrame:
 # --- defects, at the level of tables -----------------------------------------------------------
 
 _SHIFT = {"open_shell": 1, "sliver_face": 2, "self_intersection": 3, "zero_length_edge": 4}
+_NAMES = ("parts", "solids", "faces", "edges", "coedges")
+# Thickness and share of the diagonal of a sliver, shift of a copy, length of an edge of none.
+SLIVER, SLIVER_SHARE, COPY_SHIFT, NO_LENGTH = 1e-3, 0.1, 0.25, 1e-9
 
 
 def _renamed(t: Tables, defect: str, factor: int = 10) -> Tables:
     """The same tables under new part ids (part_id * 10 + number of the defect) and stems."""
     key = F.col("part_id") * factor + _SHIFT[defect]
-    new = {n: getattr(t, n).withColumn("part_id", key) for n in ("parts", "solids", "faces", "edges", "coedges")}
+    new = {n: getattr(t, n).withColumn("part_id", key) for n in _NAMES}
     new["parts"] = new["parts"].withColumn("stem", F.concat("stem", F.lit(f"__{defect}")))
     return Tables(**new)
 
 
-def _diagonal(parts: DataFrame) -> DataFrame:
+def _diagonal():
+    """Of a part's box; at least 1, and 1 without a box."""
     d = [(F.col(f"{a}max") - F.col(f"{a}min")) for a in "xyz"]
-    return parts.select("part_id", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("diag"))
+    return F.coalesce(F.greatest(F.lit(1.0), F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])), F.lit(1.0))
+
+
+def _around(parts: DataFrame, other: DataFrame) -> DataFrame:
+    """Parts with the box around theirs and another one (``n_`` columns); least and greatest pass over nulls."""
+    box = {c: (F.least if c.endswith("min") else F.greatest)(c, f"n_{c}") for c in BOX}
+    return parts.join(other, "part_id").withColumns(box).select(parts.columns)
+
+
+def _added(own: DataFrame, more: DataFrame, start: DataFrame, numbers: dict[str, str]) -> DataFrame:
+    """Rows with others whose numbers go on after the part's own."""
+    more = more.join(start, "part_id").withColumns({c: (F.col(c) + F.col(n)).cast("int") for c, n in numbers.items()})
+    return own.unionByName(more.select(own.columns))
 
 
 def inject_defect(t: Tables, defect: str) -> tuple[Tables, DataFrame]:
-    """The degraded tables and the manifest (source_stem, stem, defect_tags, status, reason)."""
+    """The degraded tables and the manifest (source_stem, stem, defect_tags, status, reason).
+
+    open_shell: all faces but the first, with the edges that they use, as no solid. sliver_face: a thin box
+    at the origin beside the part, with faces, edges and uses of its own. self_intersection: a copy of all,
+    moved in x. zero_length_edge: an edge at the origin that no face uses. Boxes of parts are those of what
+    they hold then. Parts that did not load, and open shells of fewer than 2 faces, are errors.
+    """
     if defect not in _SHIFT:
         raise ValueError(f"unknown defect {defect}")
-    faces = t.faces.groupBy("part_id").agg(F.count("*").alias("n_faces"), F.max("face_index").alias("last_face"))
-    edges = t.edges.groupBy("part_id").agg(F.max("edge_index").alias("last_edge"))
-    uses = t.coedges.groupBy("part_id").agg(F.max("coedge_index").alias("last_use"))
-    fit = t.parts.select("part_id", "stem").join(faces, "part_id", "left").join(edges, "part_id", "left").join(uses, "part_id", "left").join(_diagonal(t.parts), "part_id").na.fill(0, ["n_faces"])
-    least = 2 if defect == "open_shell" else 1
-    fit = fit.withColumn("ok", F.col("n_faces") >= least)
+    last = [("faces", "face_index", "nf"), ("edges", "edge_index", "ne"), ("coedges", "coedge_index", "nu"), ("solids", "solid_id", "ns")]
+    fit = t.parts.withColumn("diag", _diagonal())
+    fit = fit.withColumn("failed", F.col("load_check") if "load_check" in fit.columns else F.lit(None).cast("string"))
+    fit = fit.join(t.faces.groupBy("part_id").agg(F.count("*").alias("n_faces")), "part_id", "left").na.fill(0, ["n_faces"])
+    for name, number, start in last:
+        top = getattr(t, name).groupBy("part_id").agg((F.max(number) + 1).alias(start))
+        fit = fit.join(top, "part_id", "left")
+    fit = fit.na.fill(0, [start for *_, start in last])
+    short = (F.lit(defect) == "open_shell") & (F.col("n_faces") < 2)
+    reason = F.when(F.col("failed").isNotNull(), F.concat(F.lit("not read: "), "failed")).when(short, "needs 2 faces")
     manifest = fit.select(
         F.col("stem").alias("source_stem"), F.concat("stem", F.lit(f"__{defect}")).alias("stem"), F.array(F.lit(defect)).alias("defect_tags"),
-        F.when(F.col("ok"), "ok").otherwise("error").alias("status"), F.when(~F.col("ok"), f"needs {least} faces").alias("reason"),
+        F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"),
     )
-    good = fit.filter("ok").select("part_id", "last_face", "last_edge", "last_use", "diag")
-    t = Tables(*[getattr(t, n).join(good.select("part_id"), "part_id", "left_semi") for n in ("parts", "solids", "faces", "edges", "coedges")])
+    start = fit.filter(reason.isNull()).select("part_id", "nf", "ne", "nu", "ns", "diag")
+    t = Tables(*[getattr(t, n).join(start.select("part_id"), "part_id", "left_semi") for n in _NAMES])
     if defect == "open_shell":
-        t = t.with_(faces=t.faces.filter("face_index <> 0").withColumn("solid_id", F.lit(None).cast("int")), coedges=t.coedges.filter("face_index <> 0"), solids=t.solids.limit(0))
-    elif defect == "sliver_face":
-        last = t.solids.groupBy("part_id").agg(F.max("solid_id").alias("last_solid"))
-        sliver = good.join(last, "part_id", "left").join(t.parts.select("part_id", "xmin", "ymin", "zmin"), "part_id")
-        sliver = sliver.select("part_id", (F.coalesce("last_solid", F.lit(-1)) + 1).cast("int").alias("solid_id"), "xmin", "ymin", "zmin", (F.col("xmin") + 0.1 * F.col("diag")).alias("xmax"), (F.col("ymin") + 0.1 * F.col("diag")).alias("ymax"), (F.col("zmin") + 1e-3).alias("zmax"))
-        t = t.with_(solids=t.solids.unionByName(sliver))
-    elif defect == "self_intersection":
-        move = lambda df: df.join(good.select("part_id", F.col("diag").alias("d")), "part_id").withColumns({"xmin": F.col("xmin") + 0.25 * F.col("d"), "xmax": F.col("xmax") + 0.25 * F.col("d")}).drop("d")
-        last = t.solids.groupBy("part_id").agg((F.max("solid_id") + 1).alias("ls"))
-        number = good.select("part_id", (F.col("last_face") + 1).alias("lf"), (F.coalesce("last_edge", F.lit(-1)) + 1).alias("le"), (F.coalesce("last_use", F.lit(-1)) + 1).alias("lu"))
-        solids = move(t.solids).join(last, "part_id").withColumn("solid_id", (F.col("solid_id") + F.col("ls")).cast("int")).drop("ls")
-        copy = move(t.faces).join(number, "part_id").join(last, "part_id", "left").withColumns({"face_index": F.col("face_index") + F.col("lf"), "solid_id": (F.col("solid_id") + F.col("ls")).cast("int")}).drop("lf", "le", "lu", "ls")
-        es = t.edges.join(number, "part_id").withColumn("edge_index", F.col("edge_index") + F.col("le")).drop("lf", "le", "lu")
-        cs = t.coedges.join(number, "part_id").withColumns({"face_index": F.col("face_index") + F.col("lf"), "edge_index": F.col("edge_index") + F.col("le"), "coedge_index": F.col("coedge_index") + F.col("lu")}).drop("lf", "le", "lu")
-        t = t.with_(solids=t.solids.unionByName(solids), faces=t.faces.unionByName(copy.select(t.faces.columns)), edges=t.edges.unionByName(es), coedges=t.coedges.unionByName(cs))
+        faces, uses = t.faces.filter("face_index <> 0"), t.coedges.filter("face_index <> 0")
+        box = rollup_bbox(faces)
+        parts = t.parts.drop(*BOX).join(box, "part_id").select(t.parts.columns)
+        edges = t.edges.join(uses.select("part_id", "edge_index").distinct(), ["part_id", "edge_index"], "left_semi")
+        shell = faces.withColumn("solid_id", F.lit(None).cast("int"))
+        return _renamed(Tables(parts, t.solids.filter(F.lit(False)), shell, edges, uses), defect), manifest
+    if defect == "zero_length_edge":
+        edge = start.select("part_id", F.lit(0).alias("edge_index"), F.lit(NO_LENGTH).alias("length"), F.lit(False).alias("is_degenerated"))
+        point = start.select("part_id", *[F.lit(NO_LENGTH if c == "xmax" else 0.0).alias(f"n_{c}") for c in BOX])
+        t = t.with_(parts=_around(t.parts, point), edges=_added(t.edges, edge, start.select("part_id", "ne"), {"edge_index": "ne"}))
+        return _renamed(t, defect), manifest
+    if defect == "sliver_face":
+        wide = SLIVER_SHARE * F.col("diag")
+        box = start.select("part_id", *[F.lit(0.0).alias(f"{a}min") for a in "xyz"], wide.alias("xmax"), wide.alias("ymax"), F.lit(SLIVER).alias("zmax"))
+        more = box_solid(box)
+        around = box.withColumnsRenamed({c: f"n_{c}" for c in BOX})
     else:
-        extra = good.select("part_id", (F.coalesce("last_edge", F.lit(-1)) + 1).cast("int").alias("edge_index"), F.lit(1e-9).alias("length"), F.lit(False).alias("is_degenerated"))
-        use = extra.join(good.select("part_id", (F.coalesce("last_use", F.lit(-1)) + 1).cast("int").alias("coedge_index")), "part_id").select("part_id", "coedge_index", F.lit(0).alias("face_index"), "edge_index", F.lit(1).alias("orientation"), F.lit(0).alias("loop_position"))
-        t = t.with_(edges=t.edges.unionByName(extra), coedges=t.coedges.unionByName(use))
-    return _renamed(t, defect), manifest
+        shift = COPY_SHIFT * F.col("diag")
+
+        def moved(df: DataFrame) -> DataFrame:
+            rows = df.join(start.select("part_id", "diag"), "part_id")
+            return rows.withColumns({"xmin": F.col("xmin") + shift, "xmax": F.col("xmax") + shift}).drop("diag")
+
+        more = {"faces": moved(t.faces), "solids": moved(t.solids), "edges": t.edges, "coedges": t.coedges}
+        around = moved(t.parts.select("part_id", *BOX)).withColumnsRenamed({c: f"n_{c}" for c in BOX})
+    numbers = {
+        "faces": {"face_index": "nf", "solid_id": "ns"}, "solids": {"solid_id": "ns"}, "edges": {"edge_index": "ne"},
+        "coedges": {"coedge_index": "nu", "face_index": "nf", "edge_index": "ne"},
+    }
+    whole = {n: _added(getattr(t, n), more[n], start, k) for n, k in numbers.items()}
+    return _renamed(Tables(parts=_around(t.parts, around), **whole), defect), manifest
 
 
 def known_classes() -> list[str]:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common import stored
+from ..common import clustered
 from ..common import table as read
 from ..schemas import Tables
 
@@ -51,11 +51,11 @@ _STORED: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived catalog, written to the shared folder once an application: jobs read a catalog, they don't derive it."""
+    """The derived catalog, written to the shared folder in buckets of parts once an application: jobs read a catalog, they don't derive it."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _STORED:
         t = derived(spark, sf_dir)
-        _STORED[key] = Tables(*[stored(getattr(t, n), n) for n in ("parts", "solids", "faces", "edges", "coedges")])
+        _STORED[key] = Tables(*[clustered(getattr(t, n), n, ["part_id"]) for n in ("parts", "solids", "faces", "edges", "coedges")])
     return _STORED[key]
 
 
@@ -105,19 +105,20 @@ CHECKS = """
 good AS (SELECT * FROM parts WHERE is_valid AND load_check IS NULL),
 use_rows AS (SELECT c.part_id, c.face_index, c.edge_index, e.length, e.is_degenerated, u.uses, u.turn, p.max_dim FROM coedges c JOIN edges e USING (part_id, edge_index) JOIN edge_uses u USING (part_id, edge_index) JOIN good p USING (part_id)),
 face_rows AS (SELECT f.*, p.max_dim, count(*) OVER (PARTITION BY f.part_id, f.xmin, f.ymin, f.zmin, f.xmax, f.ymax, f.zmax) AS alike FROM faces f JOIN good p USING (part_id)),
+all_uses AS (SELECT part_id, edge_index, length, is_degenerated, max_dim FROM use_rows UNION ALL SELECT e.part_id, e.edge_index, e.length, e.is_degenerated, p.max_dim FROM edges e JOIN good p USING (part_id) ANTI JOIN edge_uses u ON u.part_id = e.part_id AND u.edge_index = e.edge_index),
 use_facts AS (SELECT part_id, count(*) AS edge_count, count(*) FILTER (abs(length) <= 1e-7) AS zero_edges, count(DISTINCT edge_index) FILTER (is_degenerated) AS degenerate_edges,
-  count(*) FILTER (length > 1e-7 AND length < max_dim * 0.005) AS short_edges, count(*) FILTER (length > 1e-7 AND length < max_dim * 0.2) AS small_edges FROM use_rows GROUP BY ALL),
+  count(*) FILTER (length > 1e-7 AND length < max_dim * 0.005) AS short_edges, count(*) FILTER (length > 1e-7 AND length < max_dim * 0.2) AS small_edges FROM all_uses GROUP BY ALL),
 edge_facts AS (SELECT part_id, count(*) FILTER (uses > 2) AS crowded_edges, count(*) FILTER (uses = 1) AS open_edges, count(*) FILTER (uses = 2 AND abs(turn) = 2) AS same_way_edges FROM edge_uses GROUP BY ALL),
 face_facts AS (SELECT part_id, count(*) AS face_count, count(*) FILTER (area > 0 AND area < max_dim * max_dim * 0.02) AS small_faces, count(*) FILTER (surface_type = 'cylinder' AND radius <= max_dim * 0.03) AS small_cylinders,
   count(*) FILTER (surface_type IN ('bspline', 'bezier')) AS freeform_faces FROM face_rows GROUP BY ALL),
 face_twins AS (SELECT part_id, sum(n - 1) AS duplicate_faces FROM (SELECT part_id, count(*) AS n FROM faces GROUP BY part_id, xmin, ymin, zmin, xmax, ymax, zmax) GROUP BY ALL),
-solid_facts AS (SELECT part_id, count(*) AS solid_count, count(*) - count(DISTINCT (xmax, ymax, round(zmax, 5))) AS duplicate_solids,
-  count(*) FILTER (least(xmax, ymax, zmax) > 0 AND greatest(xmax, ymax, zmax) / least(xmax, ymax, zmax) >= 100) AS thin_solids,
-  max(greatest(xmax, ymax, zmax) / least(xmax, ymax, zmax)) FILTER (least(xmax, ymax, zmax) > 0) AS worst_aspect FROM solids GROUP BY ALL),
+solid_dims AS (SELECT *, least(xmax - xmin, ymax - ymin, zmax - zmin) AS lo, greatest(xmax - xmin, ymax - ymin, zmax - zmin) AS hi FROM solids),
+solid_facts AS (SELECT part_id, count(*) AS solid_count, count(*) - count(DISTINCT (xmin, ymin, zmin, xmax, ymax, round(zmax, 5))) AS duplicate_solids,
+  count(*) FILTER (lo > 0 AND hi / lo >= 100) AS thin_solids, max(hi / lo) FILTER (lo > 0) AS worst_aspect FROM solid_dims GROUP BY ALL),
 sharp_rows AS (SELECT * FROM (SELECT i.part_id, i.edge_index, fs[1] AS fa, fs[2] AS fb, degrees(acos(least(1.0, greatest(-1.0, (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) / nullif(sqrt(a.nx * a.nx + a.ny * a.ny + a.nz * a.nz) * sqrt(b.nx * b.nx + b.ny * b.ny + b.nz * b.nz), 0))))) AS angle
   FROM incident i JOIN faces a ON a.part_id = i.part_id AND a.face_index = fs[1] JOIN faces b ON b.part_id = i.part_id AND b.face_index = fs[2] WHERE len(fs) = 2) WHERE angle < 15),
 sharp_facts AS (SELECT part_id, count(*) AS sharp_edges FROM sharp_rows GROUP BY ALL),
-facts AS (SELECT p.part_id, p.stem, p.max_dim, least(xmax, ymax, zmax) AS min_dim, coalesce(face_count, 0) AS face_count, coalesce(edge_count, 0) AS edge_count, coalesce(zero_edges, 0) AS zero_edges,
+facts AS (SELECT p.part_id, p.stem, p.max_dim, least(xmax - xmin, ymax - ymin, zmax - zmin) AS min_dim, coalesce(face_count, 0) AS face_count, coalesce(edge_count, 0) AS edge_count, coalesce(zero_edges, 0) AS zero_edges,
   coalesce(degenerate_edges, 0) AS degenerate_edges, coalesce(short_edges, 0) AS short_edges, coalesce(small_edges, 0) AS small_edges, coalesce(crowded_edges, 0) AS crowded_edges, coalesce(open_edges, 0) AS open_edges,
   coalesce(same_way_edges, 0) AS same_way_edges, coalesce(small_faces, 0) AS small_faces, coalesce(small_cylinders, 0) AS small_cylinders, coalesce(freeform_faces, 0) AS freeform_faces, coalesce(duplicate_faces, 0) AS duplicate_faces,
   coalesce(solid_count, 0) AS solid_count, coalesce(duplicate_solids, 0) AS duplicate_solids, coalesce(thin_solids, 0) AS thin_solids, worst_aspect, coalesce(sharp_edges, 0) AS sharp_edges
@@ -140,7 +141,7 @@ findings AS (
   UNION ALL SELECT part_id, 14, 'OrientationNuance', 'Minor', face_count FROM facts WHERE face_count > 0 AND solid_count = 0
   UNION ALL SELECT part_id, 15, 'SharpEdges', 'Minor', sharp_edges FROM facts WHERE sharp_edges > 0
   UNION ALL SELECT part_id, 16, 'SelfIntersectionSkipped', 'Minor', CASE WHEN freeform_faces > 0 THEN freeform_faces ELSE face_count END FROM facts WHERE freeform_faces > 0 OR face_count > 150
-  UNION ALL SELECT part_id, 18, 'MultiBodyDetected', 'Info', solid_count FROM facts WHERE solid_count > 1),
+  UNION ALL SELECT part_id, 17, 'MultiBodyDetected', 'Info', solid_count FROM facts WHERE solid_count > 1),
 rule_rows AS (
   SELECT part_id, face_index, 1.0 AS score FROM use_rows WHERE uses <> 2
   UNION ALL SELECT part_id, face_index, 0.9 FROM use_rows WHERE is_degenerated
@@ -176,6 +177,91 @@ edges AS (SELECT c.part_id, e.edge_index, e.length, e.is_degenerated FROM all_ed
 solids AS (SELECT s.* REPLACE (part_id * 1000 + solid_id + 1 AS part_id) FROM all_solids s JOIN many USING (part_id))
 """
 
+# Values that cannot be computed, as both engines read the conditions: (table, column, when).
+_LOST = (
+    ("faces", "area", "part_id % 17 = 2 AND face_index = 1"),
+    ("faces", "radius", "part_id % 19 = 3"),
+    ("faces", "xmax", "part_id % 31 = 6 AND face_index = 2"),
+    ("edges", "length", "part_id % 23 = 4 AND edge_index = 5"),
+    ("solids", "zmax", "part_id % 29 = 5 AND solid_id = 0"),
+)
+_SHORT_NORMAL = "part_id % 13 = 1 AND face_index = 0"
+_NULLED = {t: ", ".join(f"CASE WHEN {w} THEN NULL ELSE {x} END AS {x}" for y, x, w in (*_LOST, ("faces", "nz", _SHORT_NORMAL)) if y == t) for t in ("faces", "edges", "solids")}
+#: DuckDB: the tables with lost values, and (part_id, seq, n) of what the checks of the catalog lose by them.
+MALFORMED = f"""{_RAW},
+parts AS (SELECT * FROM all_parts), coedges AS (SELECT * FROM all_coedges),
+{", ".join(f"{t} AS (SELECT * REPLACE ({x}) FROM all_{t})" for t, x in _NULLED.items())}
+"""
+LOST = """
+lost_edges AS (SELECT part_id, count(*) AS n FROM edges WHERE length IS NULL GROUP BY ALL),
+lost_areas AS (SELECT part_id, count(*) AS n FROM faces WHERE area IS NULL GROUP BY ALL),
+lost_solids AS (SELECT part_id, count(*) AS n FROM solids WHERE zmax IS NULL GROUP BY ALL),
+lost_angles AS (SELECT i.part_id, count(*) AS n FROM incident i JOIN faces a ON a.part_id = i.part_id AND a.face_index = fs[1] JOIN faces b ON b.part_id = i.part_id AND b.face_index = fs[2]
+  WHERE len(fs) = 2 AND (a.nz IS NULL OR b.nz IS NULL) GROUP BY ALL),
+lost AS (SELECT part_id, seq, sum(n)::DOUBLE AS n FROM (
+  SELECT part_id, unnest([1, 7, 9]) AS seq, n FROM lost_edges UNION ALL SELECT part_id, 9, n FROM lost_areas UNION ALL SELECT part_id, unnest([11, 12]), n FROM lost_solids UNION ALL SELECT part_id, 15, n FROM lost_angles
+  UNION ALL SELECT part_id, 10, count(*) FROM faces WHERE surface_type = 'cylinder' AND radius IS NULL GROUP BY ALL UNION ALL SELECT part_id, 13, count(*) FROM faces WHERE xmax IS NULL GROUP BY ALL
+) JOIN good USING (part_id) GROUP BY ALL)
+"""
+
+
+def _degraded() -> dict[str, str]:
+    """DuckDB: the tables of each defect, under part ids of their own."""
+    from ..operators.boxes import USES
+
+    key = lambda k: f"part_id * 10 + {k} AS part_id"
+    box = ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")
+    src = f"""{_RAW},
+src AS (SELECT p.*, greatest(1.0, sqrt((xmax - xmin) ** 2 + (ymax - ymin) ** 2 + (zmax - zmin) ** 2)) AS diag, coalesce(f.n, 0) AS n_faces, coalesce(f.m + 1, 0) AS nf, coalesce(e.m + 1, 0) AS ne, coalesce(c.m + 1, 0) AS nu, coalesce(s.m + 1, 0) AS ns
+  FROM all_parts p LEFT JOIN (SELECT part_id, count(*) AS n, max(face_index) AS m FROM all_faces GROUP BY ALL) f USING (part_id) LEFT JOIN (SELECT part_id, max(edge_index) AS m FROM all_edges GROUP BY ALL) e USING (part_id)
+  LEFT JOIN (SELECT part_id, max(coedge_index) AS m FROM all_coedges GROUP BY ALL) c USING (part_id) LEFT JOIN (SELECT part_id, max(solid_id) AS m FROM all_solids GROUP BY ALL) s USING (part_id) WHERE load_check IS NULL)"""
+
+    def parts(k: int, name: str, boxes: dict[str, str], source: str = "src") -> str:
+        dims = ", ".join(f"{boxes[a + 'max']} - {boxes[a + 'min']}" for a in "xyz")
+        return f"parts AS (SELECT {key(k)}, stem || '__{name}' AS stem, is_valid, load_check, {', '.join(f'{e} AS {c}' for c, e in boxes.items())}, greatest({dims}) AS max_dim FROM {source})"
+
+    faces = "surface_type, area, nx, ny, nz, mean_curvature, radius, du, dv"
+    uses = "orientation, loop_position"
+    shell = ", ".join(f"{c[1:]}({c}) AS b_{c}" for c in box)
+    open_shell = f"""{src}, shell AS (SELECT f.* FROM all_faces f JOIN src USING (part_id) WHERE n_faces >= 2 AND face_index <> 0), around AS (SELECT src.*, b.* EXCLUDE (part_id) FROM src JOIN (SELECT part_id, {shell} FROM shell GROUP BY ALL) b USING (part_id)),
+{parts(1, "open_shell", {c: "b_" + c for c in box}, "around")}, faces AS (SELECT {key(1)}, face_index, {faces}, {', '.join(box)}, NULL::INT AS solid_id FROM shell),
+coedges AS (SELECT c.part_id * 10 + 1 AS part_id, coedge_index, face_index, edge_index, {uses} FROM all_coedges c JOIN src USING (part_id) WHERE n_faces >= 2 AND face_index <> 0),
+edges AS (SELECT {key(1)}, edge_index, length, is_degenerated FROM all_edges WHERE (part_id * 10 + 1, edge_index) IN (SELECT (part_id, edge_index) FROM coedges)), solids AS (SELECT * FROM all_solids WHERE false)"""
+    six = ", ".join(f"({2 * k + (s > 0)}, {k}, {s})" for k in range(3) for s in (-1, 1))
+    top = ("0.1 * diag", "0.1 * diag", "0.001")
+    area = ("0.1 * diag * 0.001", "0.1 * diag * 0.001", "0.1 * diag * (0.1 * diag)")
+    at = lambda k, end: f"CASE WHEN axis = {k} THEN CASE WHEN side > 0 THEN {top[k]} ELSE 0 END ELSE {top[k] if end == 'max' else 0} END"
+    sliver_face = f"""{src}, {parts(2, "sliver_face", {c: f"least({c}, 0.0)" if c.endswith("min") else f"greatest({c}, {t})" for c, t in zip(box, (0, 0, 0, *top))})},
+faces AS (SELECT f.part_id * 10 + 2 AS part_id, face_index, {faces}, {', '.join('f.' + c for c in box)}, solid_id FROM all_faces f JOIN src USING (part_id) UNION ALL SELECT {key(2)}, nf + i, 'plane', CASE axis WHEN 0 THEN {area[0]} WHEN 1 THEN {area[1]} ELSE {area[2]} END,
+  {', '.join(f"CASE WHEN axis = {k} THEN side ELSE 0 END" for k in range(3))}, 0, NULL, 0, 0, {', '.join(at(k, e) for e in ("min", "max") for k in range(3))}, ns FROM src, (VALUES {six}) AS v(i, axis, side)),
+edges AS (SELECT e.part_id * 10 + 2 AS part_id, edge_index, length, is_degenerated FROM all_edges e JOIN src USING (part_id) UNION ALL SELECT {key(2)}, ne + i, CASE WHEN i < 8 THEN 0.1 * diag ELSE 0.001 END, false FROM src, (SELECT unnest(range(12)) AS i)),
+coedges AS (SELECT c.part_id * 10 + 2 AS part_id, coedge_index, face_index, edge_index, {uses} FROM all_coedges c JOIN src USING (part_id) UNION ALL SELECT {key(2)}, nu + i, nf + f, ne + e, o, k FROM src, (VALUES {', '.join(str((i, *u)) for i, u in enumerate(USES))}) AS v(i, f, e, k, o)),
+solids AS (SELECT s.part_id * 10 + 2 AS part_id, solid_id, {', '.join('s.' + c for c in box)} FROM all_solids s JOIN src USING (part_id) UNION ALL SELECT {key(2)}, ns, 0, 0, 0, {', '.join(top)} FROM src)"""
+    moved = lambda t: ", ".join(f"{t}.{c} + 0.25 * diag" if c[0] == "x" else f"{t}.{c}" for c in box)
+    both = lambda t, own, copy: f"SELECT t.part_id * 10 + 3 AS part_id, {own} FROM all_{t} t JOIN src USING (part_id) UNION ALL SELECT t.part_id * 10 + 3, {copy} FROM all_{t} t JOIN src USING (part_id)"
+    plain = ", ".join("t." + c for c in box)
+    self_intersection = f"""{src}, {parts(3, "self_intersection", {c: f"greatest({c}, {c} + 0.25 * diag)" if c == "xmax" else c for c in box})},
+faces AS ({both("faces", f"face_index, {faces}, {plain}, solid_id", f"face_index + nf, {faces}, {moved('t')}, solid_id + ns")}), edges AS ({both("edges", "edge_index, length, is_degenerated", "edge_index + ne, length, is_degenerated")}),
+coedges AS ({both("coedges", f"coedge_index, face_index, edge_index, {uses}", f"coedge_index + nu, face_index + nf, edge_index + ne, {uses}")}), solids AS ({both("solids", f"solid_id, {plain}", f"solid_id + ns, {moved('t')}")})"""
+    own = lambda t, columns: f"{t} AS (SELECT t.part_id * 10 + 4 AS part_id, {columns} FROM all_{t} t JOIN src USING (part_id))"
+    zero_length_edge = f"""{src}, {parts(4, "zero_length_edge", {c: f"least({c}, 0.0)" if c.endswith("min") else f"greatest({c}, {1e-9 if c == 'xmax' else 0.0})" for c in box})},
+{own("faces", f"face_index, {faces}, {plain}, solid_id")}, {own("coedges", f"coedge_index, face_index, edge_index, {uses}")}, {own("solids", f"solid_id, {plain}")},
+edges AS (SELECT t.part_id * 10 + 4 AS part_id, edge_index, length, is_degenerated FROM all_edges t JOIN src USING (part_id) UNION ALL SELECT {key(4)}, ne, 1e-9, false FROM src)"""
+    return {"open_shell": open_shell, "sliver_face": sliver_face, "self_intersection": self_intersection, "zero_length_edge": zero_length_edge}
+
+
+#: DuckDB: the tables of each defect.
+DEGRADED = _degraded()
+
+
+def malformed(t: Tables) -> Tables:
+    """The tables with lost values: areas, radii, lengths and boxes that are null, normals of two numbers."""
+    faces = t.faces.withColumn("normal", F.when(F.expr(_SHORT_NORMAL), F.slice("normal", 1, 2)).otherwise(F.col("normal")))
+    new = {"faces": faces, "edges": t.edges, "solids": t.solids}
+    for name, column, when in _LOST:
+        new[name] = new[name].withColumn(column, F.when(~F.expr(when), F.col(column)))
+    return t.with_(**new)
+
 
 def sql(select: str, checks: bool = True, views: str = VIEWS) -> str:
     """A DuckDB query over the derived tables."""

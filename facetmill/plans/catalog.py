@@ -44,7 +44,7 @@ class Analysis:
 
     @property
     def findings(self) -> DataFrame:
-        return checks.findings(self.measured.parts, self.keys)
+        return checks.findings(self.measured.judged, self.keys)
 
     def _scored(self, score) -> DataFrame:
         return self.faces.select(*self.face, score.alias("score")).filter("score is not null")
@@ -117,7 +117,7 @@ def reports(t: Tables, result: Analysis, bodies: Analysis | None = None, ml_sour
         F.coalesce("findings", F.array().cast(rows.schema["findings"].dataType)).alias("findings"),
         when(_by_face("rule_faces")).alias("per_face_scores"), when(_by_face("combined_faces")).alias("combined_per_face_scores"),
         when(F.struct(F.lit(ml_source).alias("score_source"), F.lit(ml_source != "heuristic").alias("weights_loaded"), F.coalesce(F.when(F.col("face_count") > 0, F.col("ml_mean")), F.lit(0.5)).alias("aggregate_score"), _by_face("ml_faces").alias("per_face_scores"))).alias("ml"),
-        when(F.struct("face_count", F.col("unique_edges").alias("edge_count"), F.col("edge_count").alias("coedge_count"), F.floor(F.col("degrees") / 2).alias("adjacency_count"), F.col("bad_faces").alias("face_feature_errors"))).alias("graph"),
+        when(F.struct("face_count", F.col("unique_edges").alias("edge_count"), F.col("edge_count").alias("coedge_count"), F.floor(F.col("degrees") / 2).alias("adjacency_count"), F.col("bad_areas").alias("face_feature_errors"))).alias("graph"),
         "complexity",
     )
     one = F.struct("solid_id", F.col("label").alias("status"), F.struct("overall", "label", "rule_face_mean").alias("score"), F.struct("face_count", "edge_count").alias("geometry"), "findings", _by_face("rule_faces").alias("per_face_scores"), _by_face("combined_faces").alias("combined_per_face_scores"))

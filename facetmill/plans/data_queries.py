@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import checks, datasets, documents, graphnet, scores, specs, topology, traces
-from ..schemas import MESSAGES
+from ..schemas import BOX, MESSAGES
 from ..sources.readers import source_list
 from . import binding
 from .binding import read, sql
@@ -110,22 +110,30 @@ def discover_samples(spark, sf_dir) -> DataFrame:
     return datasets.discover_samples(manifest, p.filter("part_id % 7 <> 0"), p.filter("part_id % 3 <> 0")).select("stem")
 
 
-def _defect_counts(spark, sf_dir, defect):
+_BOXED = ", ".join(f"round(p.{c}, 6) AS {c}" for c in BOX)
+_COUNTED = f"SELECT p.part_id, p.stem, {_BOXED}, coalesce(f.n, 0) AS faces, coalesce(c.n, 0) AS coedges, coalesce(e.n, 0) AS edges, coalesce(s.n, 0) AS solids FROM parts p " + " ".join(
+    f"LEFT JOIN (SELECT part_id, count(*) AS n FROM {t} GROUP BY ALL) {t[0]} USING (part_id)" for t in ("faces", "coedges", "edges", "solids")
+)
+
+
+def _defect_rows(spark, sf_dir, defect) -> DataFrame:
+    """Boxes of the degraded parts and how many rows each of their tables has."""
     t, _ = datasets.inject_defect(binding.tables(spark, sf_dir), defect)
-    out = t.parts.select("part_id", "stem")
+    out = t.parts.select("part_id", "stem", *[_r(c) for c in BOX])
     for name in ("faces", "coedges", "edges", "solids"):
         out = out.join(getattr(t, name).groupBy("part_id").agg(F.count("*").alias(name)), "part_id", "left")
-    return out.na.fill(0)
+    return out.na.fill(0, ["faces", "coedges", "edges", "solids"])
+
+
+def _defect_findings(spark, sf_dir, defect) -> DataFrame:
+    """What the checks say of the degraded parts."""
+    t, _ = datasets.inject_defect(binding.tables(spark, sf_dir), defect)
+    return checks.findings(checks.part_facts(t)).select("part_id", "finding_seq", "check", "severity", _r("measure"))
 
 
-_COUNTS = "(SELECT p.part_id, p.stem, coalesce(f.n, 0) AS nf, coalesce(f.n0, 0) AS c0, coalesce(c.n, 0) AS nc, coalesce(e.n, 0) AS ne, n_solids AS ns FROM parts p LEFT JOIN (SELECT part_id, count(*) AS n, count(*) FILTER (face_index = 0) AS n0 FROM faces GROUP BY ALL) f USING (part_id) LEFT JOIN (SELECT part_id, count(*) AS n FROM coedges GROUP BY ALL) c USING (part_id) LEFT JOIN (SELECT part_id, count(*) AS n FROM edges GROUP BY ALL) e USING (part_id))"
-for _d, _k, _select in (
-    ("open_shell", 1, "nf - 1 AS faces, nc - 1 AS coedges, ne AS edges, 0 AS solids"),
-    ("sliver_face", 2, "nf AS faces, nc AS coedges, ne AS edges, ns + 1 AS solids"),
-    ("self_intersection", 3, "2 * nf AS faces, 2 * nc AS coedges, 2 * ne AS edges, 2 * ns AS solids"),
-    ("zero_length_edge", 4, "nf AS faces, nc + 1 AS coedges, ne + 1 AS edges, ns AS solids"),
-):
-    query(f"inject_{_d}", sql(f"SELECT part_id * 10 + {_k} AS part_id, stem || '__{_d}' AS stem, {_select} FROM {_COUNTS} WHERE nf >= {2 if _d == 'open_shell' else 1}", False))(lambda spark, sf_dir, d=_d: _defect_counts(spark, sf_dir, d))
+for _d, _views in binding.DEGRADED.items():
+    query(f"inject_{_d}", sql(_COUNTED, False, _views))(lambda spark, sf_dir, d=_d: _defect_rows(spark, sf_dir, d))
+    query(f"findings_{_d}", sql('SELECT part_id, finding_seq, "check", severity, round(measure, 6) AS measure FROM findings', views=_views))(lambda spark, sf_dir, d=_d: _defect_findings(spark, sf_dir, d))
 
 
 @query("class_counts", sql(f"SELECT {_CLASS} AS graph_label, count(*) AS count FROM parts GROUP BY ALL", False))
@@ -183,7 +191,7 @@ def sage_scores(spark, sf_dir) -> DataFrame:
 )
 def sage_defects(spark, sf_dir) -> DataFrame:
     t = binding.tables(spark, sf_dir)
-    x = graphnet.sage_forward(S.face_feature_vector(t.faces).select("part_id", "face_index", "features"), topology.face_adjacency(t.coedges), _P)
+    x = graphnet.part_means(S.face_feature_vector(t.faces).select("part_id", "face_index", "features"), topology.face_adjacency(t.coedges), _P)
     return graphnet.graph_head(x, _P).select("part_id", "defect", _r("confidence"))
 
 

@@ -67,6 +67,38 @@ def rule_scores(spark, sf_dir) -> DataFrame:
     return checks.rule_scores(binding.tables(spark, sf_dir)).select("part_id", "face_index", _r("score"))
 
 
+def _failing() -> list[tuple[str, checks.Check]]:
+    """Checks of which some parts make an error: a division by zero, a cast of text, an index beyond its array."""
+    left, none = F.col("face_count") % 5, F.lit(None).cast("double")
+    text = F.when(F.col("part_id") % 7 == 0, "n/a").otherwise(F.col("face_count").cast("string"))
+    place = F.when((F.col("part_id") % 37 == 3) & (F.col("face_index") < 2), 1).otherwise(0)
+    make = lambda name, fires, measure, **more: (name, checks.Check(name, fires, F.lit("Minor"), measure, none, F.lit("x"), "y", **more))
+    return [
+        make("Divides", F.lit(100) / left > 30, F.lit(100) / left), make("Casts", text.cast("int") > 20, text.cast("double")),
+        make("Indexes", F.col("face_count") > 30, F.col("face_count"), face_score=F.array("area")[place]),
+    ]
+
+
+@query(
+    "isolated_checks",
+    sql(
+        """, own AS (SELECT part_id, face_count, face_count % 5 AS m FROM facts), more AS (
+          SELECT part_id, 18 AS seq, 'Divides' AS name, m = 0 AS bad, 1.0 AS n, 100 / nullif(m, 0) AS measure, 100 / nullif(m, 0) > 30 AS fires FROM own
+          UNION ALL SELECT part_id, 19, 'Casts', part_id % 7 = 0, 1, face_count, face_count > 20 FROM own
+          UNION ALL SELECT part_id, 20, 'Indexes', part_id % 37 = 3 AND face_count > 0, least(face_count, 2), face_count, face_count > 30 FROM own),
+        rows AS (SELECT part_id, finding_seq, "check", severity, measure FROM findings WHERE (part_id, finding_seq) NOT IN (SELECT (part_id, seq) FROM lost) UNION ALL SELECT part_id, seq, 'CheckSkipped', 'Info', n FROM lost
+          UNION ALL SELECT part_id, seq, CASE WHEN bad THEN 'CheckSkipped' ELSE name END, CASE WHEN bad THEN 'Info' ELSE 'Minor' END, CASE WHEN bad THEN n ELSE measure END FROM more WHERE bad OR fires)
+        SELECT part_id, finding_seq, "check", severity, round(measure, 6) AS measure FROM rows""",
+        views=binding.MALFORMED,
+    ).replace("rule_rows AS (", f"{binding.LOST.strip()}, rule_rows AS (", 1),
+)
+def isolated_checks(spark, sf_dir) -> DataFrame:
+    """Findings of parts with values that cannot be computed, by the checks of the catalog and by some that fail."""
+    t = binding.malformed(binding.tables(spark, sf_dir))
+    m = checks.Measured(t, topology.PART, [*checks.registered(), *_failing()])
+    return checks.findings(m.judged).select("part_id", "finding_seq", "check", "severity", _r("measure"))
+
+
 @query("findings_summary", sql("SELECT d.*, coalesce(m.major_checks, []) AS major_checks FROM digest d LEFT JOIN (SELECT part_id, list(\"check\" ORDER BY finding_seq) AS major_checks FROM findings WHERE severity = 'Major' GROUP BY ALL) m USING (part_id)"))
 def findings_summary(spark, sf_dir) -> DataFrame:
     return scores.summarize_findings(checks.findings(checks.part_facts(binding.tables(spark, sf_dir))))
@@ -335,9 +367,11 @@ def box_overlaps(spark, sf_dir) -> DataFrame:
 @query(
     "face_overlaps",
     sql(
-        """SELECT s.part_id, s.face_index AS a, r.face_index AS b FROM faces s JOIN faces r ON s.part_id = r.part_id AND s.face_index < r.face_index AND s.xmin < r.xmax AND r.xmin < s.xmax AND s.ymin < r.ymax AND r.ymin < s.ymax AND s.zmin < r.zmax AND r.zmin < s.zmax
-        WHERE s.part_id IN (SELECT part_id FROM parts WHERE is_valid AND load_check IS NULL) AND s.part_id NOT IN (SELECT part_id FROM faces GROUP BY ALL HAVING count(*) > 150 OR count(*) FILTER (surface_type IN ('bspline', 'bezier')) > 0)
-        AND NOT EXISTS (SELECT 1 FROM coedges x JOIN coedges y ON x.part_id = y.part_id AND x.edge_index = y.edge_index WHERE x.part_id = s.part_id AND x.face_index = s.face_index AND y.face_index = r.face_index)""",
+        """, fit AS (SELECT part_id FROM parts WHERE is_valid AND load_check IS NULL AND part_id NOT IN (SELECT part_id FROM faces GROUP BY ALL HAVING count(*) > 150 OR count(*) FILTER (surface_type IN ('bspline', 'bezier')) > 0)),
+        fit_faces AS (SELECT part_id, face_index, xmin, ymin, zmin, xmax, ymax, zmax FROM faces JOIN fit USING (part_id)),
+        near AS (SELECT DISTINCT x.part_id, x.face_index AS a, y.face_index AS b FROM coedges x JOIN coedges y ON x.part_id = y.part_id AND x.edge_index = y.edge_index AND x.face_index < y.face_index)
+        SELECT s.part_id, s.face_index AS a, r.face_index AS b FROM fit_faces s JOIN fit_faces r ON s.part_id = r.part_id AND s.face_index < r.face_index AND s.xmin < r.xmax AND r.xmin < s.xmax AND s.ymin < r.ymax AND r.ymin < s.ymax AND s.zmin < r.zmax AND r.zmin < s.zmax
+        ANTI JOIN near ON near.part_id = s.part_id AND near.a = s.face_index AND near.b = r.face_index""",
         False,
     ),
 )

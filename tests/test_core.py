@@ -334,8 +334,115 @@ def test_boxes_overlap_in_parts_of_any_size(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_boxes_of_very_different_sizes(spark):
+    """Small boxes in a large one cost what they overlap; all pairs as by brute force."""
+    rng = np.random.default_rng(4)
+    n = 400
+    lo = rng.uniform(0, 100, (n, 3))
+    hi = lo + 10 ** rng.uniform(-3, 1.5, (n, 3)) * rng.choice([0, 1], (n, 1), p=[0.05, 0.95])
+    lo[0], hi[0] = 0, 140
+    kind = "part_id long, solid_id int, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double"
+    rows = [(k % 2, i, *lo[i].tolist(), *hi[i].tolist()) for i in range(n) for k in (0, 1)] + [(0, n, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    got = checks.overlapping_boxes(spark.createDataFrame(rows, kind), "solid_id").filter("part_id = 0").collect()
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if ((lo[a] < hi[b]) & (lo[b] < hi[a])).all()}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_many_small_boxes_grow_linearly(spark):
+    """Candidates a box do not grow with the part: boxes in a row, each overlapping the next, and one around all."""
+    def candidates(n):
+        x = F.col("id").cast("double")
+        small = spark.range(1, n).select(F.lit(1).cast("long").alias("part_id"), F.col("id").cast("int").alias("solid_id"), x.alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(0.0).alias("zmin"), (x + 1.5).alias("xmax"), F.lit(1.0).alias("ymax"), F.lit(1.0).alias("zmax"))
+        large = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, float(n + 2), 2.0 * n, 2.0 * n)], small.schema)
+        return checks.overlapping_boxes(small.unionByName(large), "solid_id").count()
+
+    assert candidates(100_000) == 99_999 + 99_998
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_clustered_catalog_is_not_shuffled(spark, sf_dir):
+    """On tables in buckets of parts, faces, parts and the network need no exchange, and no window runs over a part."""
+    from facetmill.common import co_located
+    from facetmill.operators import measures
+    from facetmill.plans import binding
+
+    t = binding.tables(spark, sf_dir)
+    m = checks.measured(t)
+    with co_located(spark):
+        rows = measures.measured_faces(t, ("part_id",), checks.registered())
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert _exchanges(rows) == 0
+        assert _exchanges(measures.part_rows(t, m.sides[0].rows, ("part_id",), checks.registered())) == 0
+    for line in plan.splitlines():
+        assert "Window [" not in line or "edge_index" in line
+    assert _exchanges(m.faces) == 0 and _exchanges(m.parts) == 0
+
+
+def test_giant_parts_spread_and_agree(spark, sf_dir):
+    """Parts beyond the limit go by face and by edge over many tasks, with the same rows in the end."""
+    from facetmill.plans import binding
+
+    t = binding.tables(spark, sf_dir)
+    whole, cut = checks.measured(t), checks.measured(t, giant=30)
+    assert len(cut.sides) == 2 and cut.sides[1].spread
+    assert "RepartitionByExpression [part_id" in (plan := cut.sides[1].tables.faces._jdf.queryExecution().optimizedPlan().toString()) and "face_index" in plan.split("\n")[0]
+    for name, columns in (("faces", ["part_id", "face_index", "degree", "rule_score", "ml_score", "proxy"]), ("parts", ["part_id", "total_faces", "findings", "mean"])):
+        a, b = (getattr(x, name) for x in (whole, cut))
+        if name == "parts":
+            a, b = (x.select("part_id", F.col("face_count").alias("total_faces"), "findings", F.round("rule_face_mean", 9).alias("mean")) for x in (a, b))
+        assert a.select(columns).exceptAll(b.select(columns)).count() == 0 and a.count() == b.count()
+    from facetmill.plans.data_queries import _P
+
+    features = S.face_feature_vector(t.faces).select("part_id", "face_index", "features")
+    near = topology.face_adjacency(t.coedges)
+    a = graphnet.sage_forward(features, near, _P, heads=True).withColumnRenamed("refinement_prob", "p")
+    b = graphnet.sage_forward(features, near, _P, heads=True, giant=30).withColumnRenamed("refinement_prob", "q")
+    row = a.join(b.select("part_id", "face_index", "q"), ["part_id", "face_index"]).agg(F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("q"))).alias("d")).first()
+    assert row.n == t.faces.count() and row.d < 1e-12
+    means = graphnet.graph_head(graphnet.part_means(features, near, _P, giant=30), _P)
+    assert means.select("part_id", F.round("confidence", 9)).exceptAll(graphnet.graph_head(a, _P).select("part_id", F.round("confidence", 9))).count() == 0
+
+
+def test_failing_checks_leave_the_others(spark, box):
+    """Values that cannot be computed skip a check on their part only; its scores go with it."""
+    t = box.with_(faces=box.faces.withColumn("normal", F.when((F.col("part_id") == 0) & (F.col("face_index") == 1), F.slice("normal", 1, 2)).otherwise(F.col("normal"))))
+    one = (F.col("part_id") == 1) & (F.col("face_index") == 2)
+    more = [
+        ("Edge", checks.Check("Edge", F.lit(True), F.lit("Minor"), F.lit(1.0), F.lit(None), F.lit("x"), "y", edge_score=F.lit(1) / F.when(F.col("part_id") == 2, 0).otherwise(4))),
+        ("Face", checks.Check("Face", F.lit(True), F.lit("Minor"), F.lit(1.0), F.lit(None), F.lit("x"), "y", face_score=F.when(one, "half").otherwise("0.5").cast("double"))),
+        ("Part", checks.Check("Part", F.array(F.lit(True))[F.when(F.col("part_id") == 1, 5).otherwise(0)], F.lit("Minor"), F.lit(1.0), F.lit(None), F.lit("x"), "y")),
+    ]
+    m = checks.Measured(t, topology.PART, [*checks.registered(), *more])
+    rows = checks.findings(m.judged).collect()
+    skipped = {(r.part_id, r.detail.split(" ")[0]) for r in rows if r.check == "CheckSkipped"}
+    assert skipped == {(0, "SharpEdges"), (2, "Edge"), (1, "Face"), (1, "Part")}
+    assert {(r.part_id, r.check) for r in rows if r.check in ("Edge", "Face", "Part")} == {(0, "Edge"), (1, "Edge"), (0, "Face"), (2, "Face"), (0, "Part"), (2, "Part")}
+    assert all(r.severity == "Info" for r in rows if r.check == "CheckSkipped")
+    scores_of = {(r.part_id, r.face_index): r.rule_score for r in m.faces.collect()}
+    assert [scores_of[p, 2] for p in range(3)] == [0.5, 0.25, 0.5]
+
+
+def test_crowded_and_loose_edges(spark, box):
+    """An edge of many faces and one of none, whatever their number of uses."""
+    n = 500
+    faces = box.faces.filter("part_id = 0 and face_index = 0").drop("face_index").crossJoin(spark.range(6, 6 + n).select(F.col("id").cast("int").alias("face_index")))
+    uses = spark.range(n).select(F.lit(0).cast("long").alias("part_id"), (F.col("id") + 100).cast("int").alias("coedge_index"), (F.col("id") + 6).cast("int").alias("face_index"), F.lit(3).alias("edge_index"), F.lit(1).alias("orientation"), F.lit(0).alias("loop_position"))
+    loose = spark.createDataFrame([(1, 77, 1e-9, False)], box.edges.select("part_id", "edge_index", "length", "is_degenerated").schema)
+    t = box.with_(faces=box.faces.unionByName(faces.select(box.faces.columns)), coedges=box.coedges.unionByName(uses.select(box.coedges.columns)), edges=box.edges.select(loose.columns).unionByName(loose))
+    m = checks.measured(t)
+    facts = {r.part_id: r for r in m.judged.collect()}
+    assert (facts[0].crowded_edges, facts[0].edge_count, facts[0].duplicate_faces) == (1, 24 + n, n)
+    assert (facts[1].zero_edges, facts[1].open_edges, facts[1].edge_count) == (1, 0, 25)
+    degree = {r.face_index: r.degree for r in m.faces.filter("part_id = 0").collect()}
+    want = {r.face_index: r.degree for r in topology.face_degree(topology.face_adjacency(t.coedges.filter("part_id = 0"))).collect()}
+    assert degree == {**dict.fromkeys(degree, 0), **want}
