@@ -18,7 +18,9 @@ of a table with too few texts reject nothing; words of over 1,000 characters are
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,13 +46,13 @@ SCRIPTS = (
     (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3100, "other"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"),
     (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "other"), (0x20000, "Han"), (0x32000, "other"),
 )
-STARTS = np.array([s for s, _ in SCRIPTS])
+STARTS = [s for s, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
-CODES = np.array([NAMES.index(n) for _, n in SCRIPTS])
+CODES = [NAMES.index(n) for _, n in SCRIPTS]
 
 
 class Vocabularies:
-    """The two public vocabularies, and what they make of a word; seen words are looked up."""
+    """The two public vocabularies, and what they make of words; words that were seen are looked up."""
 
     def __init__(self, pieces: str, ranks: str, pattern: str):
         import sentencepiece
@@ -60,29 +62,60 @@ class Vocabularies:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.width = np.zeros(max(table.values()) + 1, np.int64)  # bytes of a token
+        self.width[list(table.values())] = list(map(len, table))
         self.fallback = np.array([self.sp.is_byte(i) for i in range(self.sp.vocab_size())])
         self.size = self.sp.vocab_size()
-        self.seen: dict[bytes, tuple[list[int], int, int, int]] = {}
-
-    def measured(self, words: list[bytes]) -> list[tuple[list[int], int, int, int]]:
-        """(piece ids, tokens, characters, script of the first letter) of each of the distinct words."""
-        fresh = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(fresh) > MEMORY:
-            self.seen = {w: self.seen[w] for w in words if w in self.seen}
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        short = [t for t in texts if len(t) <= LONG_WORD]
-        ids = iter(self.sp.encode(short) if short else [])
-        for w, t in zip(fresh, texts):
-            if len(t) <= LONG_WORD:
-                pieces, tokens = next(ids), len(self.bpe.encode_ordinary(" " + t))
-            else:
-                cut = [t[i : i + LONG_WORD] for i in range(0, len(t), LONG_WORD)]
-                pieces = [i for one in self.sp.encode(cut) for i in one]
-                tokens = sum(len(self.bpe.encode_ordinary(c)) for c in cut)
-            letter = next((c for c in t if c.isalpha()), None)
-            script = CODES[np.searchsorted(STARTS, ord(letter), "right") - 1] if letter else NAMES.index("other")
-            self.seen[w] = (pieces, tokens, len(t), int(script))
-        return [self.seen[w] for w in words]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = defaultdict(lambda: len(self.index))
+        #: Of each word: pieces and where they begin, tokens, characters, script of the first letter.
+        self.pieces, self.first, self.tokens, self.chars, self.script = (np.zeros(0, np.int64) for _ in range(5))
+        self.flat = np.zeros(0, np.int32)
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A number for each word of the texts; what is known of the words is in the arrays under it."""
+        if len(self.index) > MEMORY:
+            self.forget()
+        known, at = len(self.index), self.index.__getitem__
+        ids = np.fromiter((i for words in texts for i in map(at, words)), np.int64, sum(map(len, texts)))
+        self._learn(list(itertools.islice(self.index, known, None)))
+        return ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        texts = [w.decode("utf-8", "replace") for w in words]
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        cut = texts
+        if chars.max() > LONG_WORD:
+            cut = [t[i : i + LONG_WORD] for t in texts for i in range(0, len(t), LONG_WORD)]
+        parts = -(-chars // LONG_WORD)  # of each word
+        last = np.cumsum(parts) - 1
+        ids = self.sp.encode(cut)
+        n = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last]
+        pieces = np.diff(n, prepend=0)
+        self.first = np.append(self.first, len(self.flat) + n - pieces)
+        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n[-1])))
+        self.pieces, self.chars = np.append(self.pieces, pieces), np.append(self.chars, chars)
+        self.tokens = np.append(self.tokens, np.diff(np.cumsum(self._token_counts(cut))[last], prepend=0))
+        self.script = np.append(self.script, np.fromiter(map(_script, texts), np.int64, len(texts)))
+
+    def _token_counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word with a space before it. Tokens do not cross spaces, so all are encoded at once."""
+        joined = " " + " ".join(words)
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        reached = np.cumsum(self.width[self.bpe.encode_to_numpy(joined, disallowed_special=())])
+        at = np.searchsorted(reached, ends)
+        if len(reached) and (reached[np.minimum(at, len(reached) - 1)] == ends).all():
+            return np.diff(at + 1, prepend=0)
+        return np.array([len(self.bpe.encode_ordinary(" " + w)) for w in words], np.int64)  # a token crosses all the same
+
+
+def _script(word: str) -> int:
+    letter = word[0] if word[0].isalpha() else next((c for c in word if c.isalpha()), None)
+    return CODES[bisect.bisect_right(STARTS, ord(letter)) - 1] if letter else NAMES.index("other")
 
 
 @functools.lru_cache(maxsize=1)
@@ -122,34 +155,28 @@ def repeated_lines(raw: bytes) -> int:
 def text_rows(texts: list[bytes], v: Vocabularies) -> dict[str, np.ndarray]:
     """Base counts and measures of UTF-8 texts."""
     split = [t.split() for t in texts]  # bytes split at ASCII white space
-    number: dict[bytes, int] = defaultdict(lambda: len(number))
-    ids = np.array([number[w] for words in split for w in words], np.int64)
+    ids = v.numbers(split)
     n_words = np.array([len(words) for words in split], np.int64)
     n, text = len(texts), np.repeat(np.arange(len(texts)), n_words)
-    known = v.measured(list(number))
-    n_pieces = np.array([len(k[0]) for k in known], np.int64)
-    tokens, chars, script = (np.array([k[i] for k in known], np.int64) for i in (1, 2, 3))
     per = lambda values: np.bincount(text, values, n) if len(ids) else np.zeros(n)
-    flat = np.array([i for k in known for i in k[0]], np.int64)
-    first = np.cumsum(n_pieces) - n_pieces
-    count = n_pieces[ids]
+    count = v.pieces[ids]
     end = np.cumsum(count)
-    every = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - count, count) + np.repeat(first[ids], count)
-    owner, piece = np.repeat(text, count), flat[every]
+    every = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - count, count) + np.repeat(v.first[ids], count)
+    owner, piece = np.repeat(text, count), v.flat[every]
     pieces = np.bincount(owner, minlength=n).astype(np.float64)
     cells, times = np.unique(owner * v.size + piece, return_counts=True)
     share = times / pieces[cells // v.size]
     entropy = np.bincount(cells // v.size, -share * np.log2(share), n) / np.log2(np.maximum(pieces, 2))
     fallback = np.bincount(owner, v.fallback[piece], n)
-    scripts = np.bincount(text * len(NAMES) + script[ids], minlength=n * len(NAMES)).reshape(n, len(NAMES))
-    word_chars, none = per(chars[ids]), np.maximum(pieces, 1)
+    scripts = np.bincount(text * len(NAMES) + v.script[ids], minlength=n * len(NAMES)).reshape(n, len(NAMES))
+    word_chars, none = per(v.chars[ids]), np.maximum(pieces, 1)
     return {
         "n_words": n_words, "word_chars": word_chars.astype(np.int64),
         "n_symbols": np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64),
         "n_dup_lines": np.array([repeated_lines(t) for t in texts], np.int64),
         "n_repeat_words": per(repeated_in_windows(ids, text).astype(np.float64)).astype(np.int64),
         "script": np.array(NAMES)[scripts.argmax(1)] if n else np.zeros(0, "U1"),
-        "chars_per_piece": word_chars / none, "chars_per_token": word_chars / np.maximum(per(tokens[ids]), 1),
+        "chars_per_piece": word_chars / none, "chars_per_token": word_chars / np.maximum(per(v.tokens[ids]), 1),
         "fallback_share": fallback / none, "entropy": entropy,
     }
 
