@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -76,22 +77,51 @@ def hash_embedding(text: str, dim: int):
     return F.concat(F.array_repeat(F.lit(0.0), at), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dim - 1 - at))
 
 
-def embedder(embed: Callable[[list[str]], np.ndarray]):
-    """A user's batch function (texts to rows of numbers) as a column function."""
+@dataclass(frozen=True)
+class Embedder:
+    """A model for texts: ``load`` makes the function from a list of texts to rows of ``dim`` numbers.
+
+    It is called once in a worker process, whatever the number of batches and tasks that come there;
+    ``name`` tells models apart and is noted in the index.
+    """
+
+    load: Callable[[], Callable[[list[str]], np.ndarray]]
+    dim: int
+    name: str
+
+
+_LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def loaded(model: Embedder) -> Callable[[list[str]], np.ndarray]:
+    """The model's function in this process."""
+    if model.name not in _LOADED:
+        _LOADED[model.name] = model.load()
+    return _LOADED[model.name]
+
+
+def embedder(model: Embedder):
+    """A column function from texts to their embeddings; missing texts count as empty."""
 
     @F.pandas_udf("array<double>")
-    def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(embed(texts.fillna("").tolist()), np.float64)))
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = loaded(model)
+        for texts in batches:
+            rows = np.asarray(embed(texts.fillna("").tolist()), np.float64).reshape(len(texts), -1)
+            if len(rows) and rows.shape[1] != model.dim:
+                raise ValueError(f"{model.name} says {model.dim} dimensions and gave {rows.shape[1]}")
+            yield pd.Series(list(rows))
 
     return column
 
 
-def build_index(chunks: DataFrame, embed: Callable | None = None, dim: int = 8, model: str = "hash") -> tuple[DataFrame, DataFrame]:
+def build_index(chunks: DataFrame, embed: Embedder | None = None, dim: int = 8, model: str = "hash") -> tuple[DataFrame, DataFrame]:
     """Chunks with unit embeddings, and one row of facts about the index."""
     rows = drop_blank(chunks)
     vector = embedder(embed)(F.col("text")) if embed else hash_embedding("text", dim)
     rows = rows.withColumn("embedding", l2_normalize(vector))
-    return rows, rows.agg(F.lit(model).alias("model"), F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n_chunks"))
+    name, dim = (embed.name, embed.dim) if embed else (model, dim)
+    return rows, rows.agg(F.lit(name).alias("model"), F.lit(dim).alias("dim"), F.count("*").alias("n_chunks"))
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 3, at_once: int = 4096) -> DataFrame:

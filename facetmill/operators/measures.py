@@ -23,6 +23,7 @@ from ..functions.scalars import angle_deg, clamp01, guarded, with_bbox_dims
 from ..schemas import BOX, Tables
 from .scores import fused, heuristic_score, proxy_score
 from .topology import PART
+from .validity import split_valid
 
 # Thresholds, as shares of the part's largest dimension unless named otherwise.
 SHORT_EDGE, THIN_WALL, SMALL_AREA, SMALL_EDGE, SMALL_RADIUS = 0.005, 0.03, 0.02, 0.2, 0.03
@@ -75,19 +76,6 @@ def _thin_ratio() -> Column:
     return F.when((c("max_dim") > 0) & (c("min_dim") > 0), F.try_divide("min_dim", "max_dim"))
 
 
-def split_valid(parts: DataFrame, keys=PART) -> tuple[DataFrame, DataFrame]:
-    """Parts that loaded and passed validation, and (keys, stem, check, detail) of the others.
-
-    ``load_check``, where the table has it, names what failed (FileNotFound, LoadError, NullShape,
-    BRepCheckFailure, AnalysisTimeout, AnalysisError); a part that is not valid and names nothing
-    failed the B-rep check.
-    """
-    failed = c("load_check") if "load_check" in parts.columns else F.lit(None).cast("string")
-    check = F.coalesce(failed, F.when(~F.coalesce("is_valid", F.lit(False)), "BRepCheckFailure"))
-    detail = F.coalesce(c("load_detail") if "load_detail" in parts.columns else F.lit(None).cast("string"), check)
-    return parts.filter(check.isNull()), parts.filter(check.isNotNull()).select(*keys, "stem", check.alias("check"), detail.alias("detail"))
-
-
 # --- faces ----------------------------------------------------------------------------------------------------------
 
 

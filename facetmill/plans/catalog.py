@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import severity_string
 from ..operators import checks, scores
 from ..operators.topology import PART
+from ..operators.validity import with_validity
 from ..schemas import BOX, Tables
 
 BODY = ("part_id", "solid_id")
@@ -103,16 +104,16 @@ def reports(t: Tables, result: Analysis, bodies: Analysis | None = None, ml_sour
     ``bodies``: the analysis of ``as_bodies``; without it every part has an empty list. Parts that
     are not valid have the status InvalidInput, their error, and neither geometry nor scores.
     """
-    rows = all_parts(result).join(checks.scores_by_face(result.faces), "part_id", "left")
+    said = with_validity(t.parts).withColumn("elapsed", F.col("elapsed_seconds") if "elapsed_seconds" in t.parts.columns else F.lit(None).cast("double"))
+    rows = all_parts(result).join(checks.scores_by_face(result.faces), "part_id", "left").join(said.select("part_id", "validation", "heal", "elapsed"), "part_id")
     counts = {s: F.col(f"n_{s.lower()}") for s in scores.SEVERITIES}
     ok = F.col("failed_check").isNull()
     when = lambda x: F.when(ok, x)
-    error = F.struct(F.col("failed_check").alias("check"), F.lit("Critical").alias("severity"), F.col("failed_detail").alias("detail"))
     summary = F.struct("total", F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), v)]).alias("by_severity"), severity_string(counts).alias("text"))
     score = F.struct("overall", "label", "rule_face_mean", "rule_face_count", "combined_face_mean", (F.col("ml_penalty") > 0).alias("ml_penalty_applied"), F.col("ml_penalty").alias("ml_penalty_points"))
     out = rows.select(
         "part_id", F.col("stem").alias("input_file"), F.col("label").alias("status"),
-        F.struct(ok.alias("is_valid"), F.filter(F.array(error), lambda x: x["check"].isNotNull()).alias("errors")).alias("validation"),
+        "validation", "heal", F.col("elapsed").alias("elapsed_seconds"),
         when(score).alias("score"), when(F.struct("face_count", "edge_count", "solid_count", F.struct(*BOX).alias("bounding_box"))).alias("geometry"), summary.alias("summary"),
         F.coalesce("findings", F.array().cast(rows.schema["findings"].dataType)).alias("findings"),
         when(_by_face("rule_faces")).alias("per_face_scores"), when(_by_face("combined_faces")).alias("combined_per_face_scores"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import checks, datasets, documents, graphnet, scores, specs, topology, traces
+from ..operators import checks, datasets, documents, graphnet, labelling, specs, topology, traces, validity
 from ..schemas import BOX, MESSAGES
 from ..sources.readers import source_list
 from . import binding
@@ -136,6 +136,45 @@ for _d, _views in binding.DEGRADED.items():
     query(f"findings_{_d}", sql('SELECT part_id, finding_seq, "check", severity, round(measure, 6) AS measure FROM findings', views=_views))(lambda spark, sf_dir, d=_d: _defect_findings(spark, sf_dir, d))
 
 
+_MANIFEST = f"""SELECT stem AS input_file, status, CASE status WHEN 'ok' THEN NULL WHEN 'error' THEN load_check ELSE CASE WHEN valid THEN 'empty_graph' ELSE 'validation_failed' END END AS reason,
+CASE WHEN status = 'ok' THEN stem END AS stem, CASE WHEN status = 'ok' THEN n END AS face_count, CASE WHEN status = 'ok' THEN k END AS positive_refinement, CASE WHEN status = 'ok' THEN g END AS graph_label, CASE WHEN status = 'ok' THEN split_part(stem, '__', 2) END AS graph_label_name
+FROM (SELECT stem, load_check, is_valid AND load_check IS NULL AS valid, n, k, {_CLASS} AS g, CASE WHEN load_check IN ('AnalysisError', 'AnalysisTimeout') THEN 'error' WHEN load_check IS NOT NULL OR NOT is_valid OR n IS NULL THEN 'skipped' ELSE 'ok' END AS status
+FROM parts LEFT JOIN (SELECT f.part_id, count(*) AS n, count(*) FILTER (score > 0.5) AS k FROM faces f LEFT JOIN rule_scores USING (part_id, face_index) GROUP BY ALL) USING (part_id))"""
+
+
+@query("label_manifest", sql(_MANIFEST))
+def label_manifest(spark, sf_dir) -> DataFrame:
+    """Every part labelled, skipped or an error."""
+    t = binding.tables(spark, sf_dir)
+    tags = t.parts.select("stem", F.array(F.split_part("stem", F.lit("__"), F.lit(2))).alias("defect_tags"))
+    return labelling.label_parts(checks.measured(t), tags).select(*labelling.MANIFEST)
+
+
+_HEALED = "(SELECT part_id, load_check, part_id % 5 <> 0 AS b, part_id % 3 <> 0 AS a, load_check IS NULL AS loaded FROM parts)"
+
+
+@query(
+    "validity",
+    sql(
+        f"""SELECT part_id, loaded AND (a OR b) AS judged, loaded AND a AS is_valid, CASE WHEN NOT loaded THEN load_check WHEN NOT a THEN 'BRepCheckFailure' END AS error,
+        CASE WHEN loaded AND a AND NOT b THEN 'BRepCheckFailure' END AS initial_error, CASE WHEN loaded AND a AND NOT b THEN true END AS healed, loaded AS attempted, CASE WHEN loaded THEN b END AS valid_before,
+        CASE WHEN loaded THEN a END AS valid_after FROM {_HEALED}""",
+        False,
+    ),
+)
+def validity_states(spark, sf_dir) -> DataFrame:
+    """All four states of validity before and after healing, and parts that did not load."""
+    p = binding.parts(spark, sf_dir).withColumns({"valid_before": F.expr("part_id % 5 <> 0"), "valid_after": F.expr("part_id % 3 <> 0")})
+    judged = validity.split_valid(p)[0].select("part_id", F.lit(True).alias("judged"))
+    rows = validity.with_validity(p).join(judged, "part_id", "left")
+    v, h = F.col("validation"), F.col("heal")
+    first = lambda x: F.try_element_at(x, F.lit(1))["check"]
+    return rows.select(
+        "part_id", F.coalesce("judged", F.lit(False)).alias("judged"), v["is_valid"].alias("is_valid"), first(v["errors"]).alias("error"), first(v["initial_errors"]).alias("initial_error"),
+        v["healed_after_validation_failure"].alias("healed"), h["attempted"].alias("attempted"), h["valid_before"].alias("valid_before"), h["valid_after"].alias("valid_after"),
+    )
+
+
 @query("class_counts", sql(f"SELECT {_CLASS} AS graph_label, count(*) AS count FROM parts GROUP BY ALL", False))
 def class_counts(spark, sf_dir) -> DataFrame:
     rows = graph_labels(spark, sf_dir).select("stem", "graph_label")

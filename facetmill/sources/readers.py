@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..common import stored
 from ..functions.scalars import url_file_name
+from ..operators.labelling import MANIFEST as LABEL_MANIFEST
 from ..schemas import GOLD, GRAPH_FILE, LABEL_FILE, MANIFEST, PROMPTS, TAG_FILE, TRACES
 
 CORRUPT = "_corrupt"
@@ -49,12 +51,16 @@ def read_tags(spark: SparkSession, path: str, stems: DataFrame) -> DataFrame:
     return stems.select("stem").join(tags, "stem", "left").select("stem", F.coalesce("defect_tags", F.array().cast("array<string>")).alias("defect_tags"))
 
 
-def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines, and (skipped): how many lines were no JSON objects. Blank lines do not count."""
-    rows = spark.read.schema(f"{TRACES}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    skipped = lines.agg(F.count_if(F.try_parse_json("value").isNull() | ~F.startswith(F.trim("value"), F.lit("{"))).alias("skipped"))
-    return rows.filter(f"{CORRUPT} is null").drop(CORRUPT), skipped
+def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows of JSON lines, the lines that are no JSON objects (file, line), and how many of each there are.
+
+    The files are read once, into a table of the shared folder that holds both; blank lines count as neither.
+    """
+    lines = spark.read.schema(f"{TRACES}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    bad, seen = F.col(CORRUPT).isNotNull(), Observation()
+    lines = lines.withColumn("file", F.input_file_name()).observe(seen, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("rejected"))
+    both = stored(lines, "traces")
+    return both.filter(~bad).drop(CORRUPT, "file"), both.filter(bad).select("file", F.col(CORRUPT).alias("line")), seen.get
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +137,27 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.select(*T.StructType.fromDDL(MANIFEST).names).write.mode("overwrite").json(path)
 
 
+def write_labels(df: DataFrame, path: str) -> None:
+    """Labelled parts of ``label_parts``, manifest and labels in one table that appears as one."""
+    df.write.mode("overwrite").partitionBy("status").json(path)
+
+
+def read_label_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest columns of what ``write_labels`` wrote, failures included."""
+    kinds = dict.fromkeys(LABEL_MANIFEST, "string") | {"face_count": "long", "positive_refinement": "long", "graph_label": "int"}
+    return spark.read.schema(", ".join(f"{n} {k}" for n, k in kinds.items())).json(path).select(*LABEL_MANIFEST)
+
+
+def read_part_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Face labels and graph labels, as ``read_labels`` has them, of the parts that were labelled."""
+    kinds = "status string, stem string, graph_label int, refinement map<string,boolean>, complexity_proxy map<string,double>, rule_per_face map<string,double>"
+    rows = spark.read.schema(kinds).json(path).filter("status = 'ok'")
+    entries = F.explode(F.map_keys("refinement")).alias("k")
+    at = lambda c: F.try_element_at(F.col(c), F.col("k"))
+    faces = rows.select("*", entries).select("stem", F.col("k").cast("int").alias("face_index"), at("refinement").alias("refinement"), at("complexity_proxy").alias("complexity_proxy"), at("rule_per_face").alias("rule_score"))
+    return faces, rows.select("stem", "graph_label")
+
+
 def read_source_list(spark: SparkSession, path: str) -> DataFrame:
     """(url, file_name) of a list with # comments and blank lines."""
     return source_list(spark.read.text(path), "value")

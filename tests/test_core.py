@@ -287,8 +287,9 @@ def test_readers(spark, tmp_path, box):
     R.write_manifest(manifest, str(tmp_path / "m"))
     assert R.read_manifest(spark, str(tmp_path / "m")).first() == manifest.first()
     (tmp_path / "t.jsonl").write_text('{"id": "a"}\n\nnot json\n[1]\n')
-    rows, skipped = R.read_traces(spark, str(tmp_path / "t.jsonl"))
-    assert rows.filter("id is not null").count() == 1 and skipped.first().skipped == 2
+    rows, rejected, counts = R.read_traces(spark, str(tmp_path / "t.jsonl"))
+    assert [r.id for r in rows.collect()] == ["a"] and counts == {"rows": 1, "rejected": 2}
+    assert sorted(r.line for r in rejected.collect()) == ["[1]", "not json"] and rejected.first().file.endswith("t.jsonl")
     reports = catalog.reports(box, catalog.analyse(box))
     R.write_reports(reports, str(tmp_path / "r"))
     schema = "part_id long, per_face_scores map<string,double>, combined_per_face_scores map<string,double>, ml struct<per_face_scores:map<string,double>>, bodies array<struct<per_face_scores:map<string,double>>>"
@@ -315,7 +316,7 @@ def test_small_functions(spark):
         assert {r.query_id: r.status for r in documents.search_status(q, chunks).collect()} == {1: status, 2: "empty_query", 3: "empty_query"}
     one = spark.createDataFrame([("ab",)], "text string").select(documents.hash_embedding("text", 8).alias("e")).first().e
     assert one == [float(i == (97 + 98) % 8) for i in range(8)]
-    chunks, meta = documents.build_index(spark.createDataFrame([("ab",), (" ",), (None,)], "text string"), lambda texts: np.array([[3.0, 4.0]] * len(texts)), model="mine")
+    chunks, meta = documents.build_index(spark.createDataFrame([("ab",), (" ",), (None,)], "text string"), documents.Embedder(lambda: lambda texts: np.array([[3.0, 4.0]] * len(texts)), 2, "mine"))
     assert [r.embedding for r in chunks.collect()] == [[0.6, 0.8]] and (meta.first().model, meta.first().dim, meta.first().n_chunks) == ("mine", 2, 1)
     probs = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.75, 0.25])], "y int, p array<double>")
     assert math.isclose(datasets.cross_entropy(probs, "y", "p").first().cross_entropy, (math.log(2) + math.log(4)) / 2)
@@ -359,6 +360,94 @@ def test_many_small_boxes_grow_linearly(spark):
     assert candidates(100_000) == 99_999 + 99_998
 
 
+def test_models_load_once_a_worker(spark, tmp_path):
+    """Many batches and tasks, one load in each worker process; a model that gives other dimensions is an error."""
+    notes = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(notes, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: np.array([[len(t), 1.0] for t in texts]).reshape(-1, 2)
+
+    rows = spark.range(4000).repartition(16).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        chunks, meta = documents.build_index(rows, documents.Embedder(load, 2, str(tmp_path)))
+        assert chunks.select(F.sum(F.col("embedding")[0])).first()[0] > 3900 and meta.first().dim == 2
+    finally:
+        spark.conf.set(key, before)
+    pids = open(notes).read().split()
+    assert len(pids) == len(set(pids)) <= 8
+    wrong = documents.build_index(rows, documents.Embedder(lambda: lambda texts: np.ones((len(texts), 3)), 2, f"{tmp_path}x"))[0]
+    with pytest.raises(Exception, match="says 2 dimensions and gave 3"):
+        wrong.collect()
+
+
+def test_healed_parts(box):
+    """A part that was not valid is judged if healing made it so, and its report says both."""
+    states = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in ((False, True), (True, False), (False, False))])[F.col("part_id").cast("int")]
+    t = box.with_(parts=box.parts.drop("is_valid").withColumns({"valid_before": states["b"], "valid_after": states["a"], "elapsed_seconds": F.lit(1.5)}))
+    rows = {r.part_id: r for r in catalog.reports(t, catalog.analyse(t)).collect()}
+    assert [rows[k].status == "InvalidInput" for k in range(3)] == [False, False, True]
+    healed = rows[0].validation
+    assert healed.is_valid and healed.errors == [] and healed.initial_errors[0].check == "BRepCheckFailure" and healed.healed_after_validation_failure
+    assert rows[1].validation.errors[0].check == "BRepCheckFailure" and rows[1].validation.initial_errors is None and rows[1].score is not None
+    assert (rows[0].heal.valid_before, rows[0].heal.valid_after, rows[0].heal.notes) == (False, True, ["Validity improved after healing."])
+    assert rows[2].score is None and rows[2].heal.attempted and rows[2].elapsed_seconds == 1.5
+
+
+def test_labelling_manifest_round_trip(spark, tmp_path, box):
+    """Labels and manifest are one table; what was labelled is what a data set finds."""
+    from facetmill.operators import labelling
+    from facetmill.sources import readers as R
+
+    parts = box.parts.unionByName(box.parts.withColumns({"part_id": F.col("part_id") + 3, "stem": F.concat(F.lit("empty_"), "stem")}))
+    fault = F.when(F.col("part_id") == 1, "LoadError").when(F.col("part_id") == 2, "AnalysisTimeout")
+    t = box.with_(parts=parts.withColumn("load_check", fault))
+    tags = spark.createDataFrame([("clean_0000", ["sliver_face"])], "stem string, defect_tags array<string>")
+    R.write_labels(labelling.label_parts(checks.measured(t), tags), str(tmp_path / "l"))
+    manifest = R.read_label_manifest(spark, str(tmp_path / "l"))
+    got = {r.input_file: (r.status, r.reason, r.face_count, r.graph_label) for r in manifest.collect()}
+    assert got == {
+        "clean_0000": ("ok", None, 6, 2), "clean_0001": ("skipped", "validation_failed", None, None), "clean_0002": ("error", "AnalysisTimeout", None, None),
+        **{f"empty_clean_000{k}": ("skipped", "empty_graph", None, None) for k in range(3)},
+    }
+    faces, graphs = R.read_part_labels(spark, str(tmp_path / "l"))
+    assert sorted(r.face_index for r in faces.collect()) == list(range(6)) and graphs.first().graph_label == 2
+    assert [r.stem for r in datasets.discover_samples(manifest, graphs, graphs).collect()] == ["clean_0000"]
+
+
+def test_small_sources(spark, tmp_path):
+    """Tags that are missing or malformed, splits, gold rows, prompts, a source list and an imported index."""
+    import json
+
+    from facetmill.sources import readers as R
+
+    (tmp_path / "tags").mkdir()
+    (tmp_path / "tags" / "a.tags.json").write_text(json.dumps({"stem": "a", "defect_tags": ["x"]}))
+    (tmp_path / "tags" / "b.tags.json").write_text("{broken")
+    stems = spark.createDataFrame([("a",), ("b",), ("c",)], "stem string")
+    assert {r.stem: r.defect_tags for r in R.read_tags(spark, str(tmp_path / "tags"), stems).collect()} == {"a": ["x"], "b": [], "c": []}
+    R.write_split(spark.createDataFrame([("1", "train"), ("2", "val"), ("3", "train")], "id string, split string"), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s" / "split=train")).count() == 2
+    (tmp_path / "gold.jsonl").write_text(json.dumps({"id": "g", "step_path": None, "question": "q", "category": "c", "expected_tool_calls": ["analyze"], "expected_answer_themes": ["thin"]}) + "\n")
+    assert R.read_gold(spark, str(tmp_path / "gold.jsonl")).first().expected_tool_calls == ["analyze"]
+    (tmp_path / "p.jsonl").write_text('{"id": "p", "prompt": "x", "expect": {"faces": [6, 8]}}\n')
+    assert R.read_prompts(spark, str(tmp_path / "p.jsonl")).first().expect.faces == [6, 8]
+    (tmp_path / "sources.txt").write_text("# list\nhttp://x.org/a.pdf # one\n\nhttp://x.org/\n")
+    assert [r.file_name for r in R.read_source_list(spark, str(tmp_path / "sources.txt")).collect()] == ["a.pdf", "download.pdf"]
+    index = {"entries": [{"source": "s", "page": 1, "chunk_id": 0, "text": "t"}], "embeddings": [[1.0, 0.0]]}
+    (tmp_path / "i.json").write_text(json.dumps(index))
+    assert R.import_index(spark, str(tmp_path / "i.json")).first().embedding == [1.0, 0.0]
+    (tmp_path / "i.json").write_text(json.dumps(index | {"embeddings": []}))
+    with pytest.raises(Exception, match="differ in length"):
+        R.import_index(spark, str(tmp_path / "i.json")).collect()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
