@@ -5,9 +5,11 @@ the graph of one shard. Every vector then queries every shard of its label, a bl
 one graph at a time: it descends to the nearest part of the graph with a beam, and from there walks
 on through everything near the threshold, so a vector with thousands of links finds them all. Each
 block audits some of its queries against brute force over the shard and widens the beam until they
-agree. Cosines are verified in double precision; components come from spanning links.
+agree in full; a block whose audit still fails at the widest beam is compared with the shard exactly.
+Cosines are verified in double precision; components come from spanning links.
 
-Exactly equal vectors are one node with a count, so copies cost nothing and no link is lost.
+Exactly equal vectors are one node with a count, and vectors of one direction (to six places) share a
+place in the graph, so copies and scaled copies neither crowd its links nor lose any.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a
 null label and rows with a null id link with nothing; vectors of other lengths are never compared;
@@ -28,6 +30,8 @@ from .components import components
 
 #: Distinct vectors in a graph, and in a block of queries, at most (about: shards are dealt by a hash).
 SHARD, BLOCK = 8192, 1024
+#: Beams at which an audit may still fail before the block is compared exactly.
+WIDEST = 1024
 #: Tasks of one stage, at most; beyond that a task takes several graphs one after another.
 MOST_TASKS = 20_000
 
@@ -156,57 +160,84 @@ def _matrix(column) -> np.ndarray:
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
 
 
+def directions(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): the first vector of each direction, and which direction each vector has; to six places."""
+    unit = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that no norm over- or underflows
+    unit = np.round(unit / np.linalg.norm(unit, axis=1, keepdims=True), 6) + 0.0
+    _, first, place = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # directions in the order in which they come
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return first[order], rank[place.ravel()]
+
+
 def build_graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One row: the shard's ids, counts, vectors and links as bytes."""
+    """One row: the shard's ids, counts, vectors, their directions and links between these, as bytes."""
     rows = rows.sort_values("node")
     raw = _matrix(rows["embedding"])
-    graph = Graph(_unit(raw))
-    return pd.DataFrame(
-        {"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "blocks": [rows["blocks"].iloc[0]], "nodes": [rows["node"].to_numpy(np.int64).tobytes()], "counts": [rows["n"].to_numpy(np.int64).tobytes()]}
-        | {"vectors": [raw.tobytes()], "links": [b"".join(k.tobytes() for k in graph.links)], "levels": [len(graph.links)], "entry": [graph.entry]}
-    )
+    first, place = directions(raw)
+    graph = Graph(_unit(raw[first]))
+    row = {
+        "label": key[0], "dim": key[1], "shard": key[2], "blocks": rows["blocks"].iloc[0], "nodes": rows["node"].to_numpy(np.int64).tobytes(),
+        "counts": rows["n"].to_numpy(np.int64).tobytes(), "vectors": raw.tobytes(), "firsts": first.astype(np.int64).tobytes(), "places": place.astype(np.int64).tobytes(),
+        "links": b"".join(k.tobytes() for k in graph.links), "levels": len(graph.links), "entry": graph.entry,
+    }
+    return pd.DataFrame({k: [v] for k, v in row.items()})
 
 
-GRAPH = "label long, dim long, shard long, blocks long, nodes binary, counts binary, vectors binary, links binary, levels long, entry long"
+GRAPH = (
+    "label long, dim long, shard long, blocks long, nodes binary, counts binary, vectors binary, firsts binary, places binary, "
+    "links binary, levels long, entry long"
+)
 
 
-def _opened(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    nodes, counts = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["counts"], np.int64)
+def _opened(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    nodes, counts, first, place = (np.frombuffer(row[c], np.int64) for c in ("nodes", "counts", "firsts", "places"))
     raw = np.frombuffer(row["vectors"], np.float64).reshape(len(nodes), -1)
     flat, m, links, at = np.frombuffer(row["links"], np.int32), 12, [], 0
     for k in range(int(row["levels"])):
         width = 2 * m if k == 0 else m
-        links.append(flat[at : at + len(nodes) * width].reshape(len(nodes), width))
-        at += len(nodes) * width
-    return Graph(_unit(raw), m, links=links, entry=int(row["entry"])), nodes, counts, raw
+        links.append(flat[at : at + len(first) * width].reshape(len(first), width))
+        at += len(first) * width
+    return Graph(_unit(raw[first]), m, links=links, entry=int(row["entry"])), nodes, counts, raw, place
+
 
+def found_by(graph: Graph, q: np.ndarray, near: np.float32, audits: int, beam: int, widest: int):
+    """For each query the places of similarity ``near`` or more: through the graph with the first beam whose
+    audit finds all that brute force finds, and by brute force if none does."""
+    sample = np.random.default_rng(5).permutation(len(q))[:audits]
+    truth = [np.flatnonzero(graph.x @ q[i] >= near) for i in sample]
+    while not all(len(np.intersect1d(graph.within(q[i], near, beam), t)) == len(t) for i, t in zip(sample, truth)):
+        if beam >= min(graph.n, widest):
+            return (np.flatnonzero(graph.x @ v >= near) for v in q)
+        beam *= 2
+    return (graph.within(v, near, beam) for v in q)
 
-def search_block(least: float, audits: int = 128, recall: float = 0.995, beam: int = 32):
+
+def search_block(least: float, audits: int = 128, beam: int = 32, widest: int = WIDEST):
     """Queries of a block against one graph: (node, links counted, local root) and spanning links."""
 
     def run(key: tuple, queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(queries) or not len(graphs):
             return none
-        graph, nodes, counts, raw = _opened(graphs.iloc[0])
+        graph, nodes, counts, raw, place = _opened(graphs.iloc[0])
         queries = queries.sort_values("node")
         mine, own = queries["node"].to_numpy(np.int64), _matrix(queries["embedding"])
-        q, near, wide = _unit(own), np.float32(least - 1e-4), beam
-        sample = np.random.default_rng(5).permutation(len(q))[:audits]
-        truth = [np.flatnonzero(graph.x @ q[i] >= near) for i in sample]
-        while wide < graph.n:
-            got = sum(len(np.intersect1d(graph.within(q[i], near, wide), t)) for i, t in zip(sample, truth))
-            if got >= recall * sum(map(len, truth)):
-                break
-            wide *= 2
-        norms, own_norms = np.linalg.norm(raw, axis=1), np.linalg.norm(own, axis=1)
+        members = np.argsort(place, kind="stable")  # of each direction, one after the other
+        size = np.bincount(place, minlength=graph.n)
+        begin = np.cumsum(size) - size
+        unit, own_unit = (x / np.abs(x).max(axis=1, keepdims=True) for x in (raw, own))
+        norms, own_norms = np.linalg.norm(unit, axis=1), np.linalg.norm(own_unit, axis=1)
         left, right = [], []
-        for i in range(len(q)):
-            hit = graph.within(q[i], near, wide)
-            hit = hit[(raw[hit] @ own[i]) / (norms[hit] * own_norms[i]) >= least]
+        for i, hit in enumerate(found_by(graph, _unit(own), np.float32(least - 1e-4), audits, beam, widest)):
+            n = size[hit]
+            hit = members[np.repeat(begin[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            hit = hit[(unit[hit] @ own_unit[i]) / (norms[hit] * own_norms[i]) >= least]
             hit = hit[nodes[hit] != mine[i]]
             left.append(np.full(len(hit), i))
             right.append(hit)
