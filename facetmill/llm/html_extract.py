@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
+from .decontaminate import slices
 
 # HTML element classes.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -52,6 +53,8 @@ W_PLAIN, W_PLAIN_WORD, W_HEADER, W_HEADING_IN_HEADER, W_HIDDEN = 9000, 6000, 700
 W_ARTICLE, W_CONTENT_WORD, W_BASE, W_PROSE_TAG, W_HEADING, W_LIST = -2500, -1000, -600, -900, -500, 300
 W_LINKS, W_PER_WORD, W_MOST_WORDS, W_SIGN = 3500, -60, -1800, 2500
 W_SMOOTH_NEXT, W_SMOOTH_PARENT = 500, 900
+#: Words of a block of running text.
+PROSE_WORDS = 12
 
 
 class Element:
@@ -197,6 +200,27 @@ def plain_weight(at: Element) -> int:
     return max((e.plain for e in marked if not wraps(e)), default=0)
 
 
+def is_prose(text: str, at: Element, links: float) -> bool:
+    """A block that reads as running text where nothing marks it as boilerplate."""
+    return links < 0.5 and text.count(" ") + 1 >= PROSE_WORDS and not at.header and not at.hidden and not plain_weight(at)
+
+
+def unmark_wrappers(blocks: list[tuple[str, Element, float]]) -> None:
+    """Where keywords mark all running text of a page, the outermost marked element that holds most of it wraps
+    the article ("post comments-open"), so its keyword says nothing; until some text is unmarked."""
+    while blocks and not any(is_prose(*b) for b in blocks):
+        root, most = blocks[0][1].root, None
+        for _, at, _ in blocks:
+            own = at.marked
+            while own:
+                if own.plain and own.loose and 2 * own.prose > root.prose and (most is None or own.depth < most.depth):
+                    most = own
+                own = own.parent.marked if own.parent else None
+        if most is None:
+            return
+        most.plain = 0
+
+
 def block_cost(text: str, at: Element, links: float) -> int:
     """Log odds of boilerplate, in thousandths."""
     heading, plain = at.tag in HEADINGS, plain_weight(at)
@@ -288,6 +312,7 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html)
     blocks = parser.close()
+    unmark_wrappers(blocks)
     edges, latest = [], {}
     for i, (_, at, _) in enumerate(blocks):
         if i:
@@ -303,12 +328,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html", 4_000_000)):
             text = pa.array([main_text(h) for h in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    out = rows.mapInArrow(run, "page_id long, url string, text string")
+    out = rows.mapInArrow(lean(run), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
