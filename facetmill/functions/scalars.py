@@ -164,9 +164,13 @@ def token_estimate(messages) -> Column:
     return F.floor(chars / 4).cast("long")
 
 
+#: Fixed value: what stands for the rest of a text that was cut.
+CUT = "...[truncated]"
+
+
 def preview(text, n: int = 200) -> Column:
     t = _c(text)
-    return F.when(F.char_length(t) > n, F.concat(F.substring(t, 1, n), F.lit("... [cut]"))).otherwise(t)
+    return F.when(F.char_length(t) > n, F.concat(F.substring(t, 1, n), F.lit(CUT))).otherwise(t)
 
 
 def l2_normalize(vector) -> Column:

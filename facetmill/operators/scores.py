@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_sum, clamp01, complexity_tier, ml_color, score_color, score_label, severity_rank
 from ..schemas import SURFACE_TYPES
-from .topology import face_degree
+from .topology import PART, face_degree
 
 # Weights of the heuristic and of the penalties.
 BASE, TINY_AREA, AREA_SHARE, ODD_SURFACE, DEGREE_STEP, DEGREE_MOST, NORMAL_STEP, NORMAL_MOST = 0.32, 1e-6, 0.18, 0.08, 0.03, 0.22, 0.02, 0.1
@@ -76,35 +76,36 @@ def face_overlay(combined: DataFrame, ml: DataFrame) -> DataFrame:
     return rows.select("part_id", "face_index", "score", "ml_score", score_color("score").alias("color"), ml_color("ml_score").alias("ml_color"))
 
 
-def mean_face_score(parts: DataFrame, scores: DataFrame, name: str = "mean") -> DataFrame:
-    """(part_id, mean, count) of clamped scores; 0 without any."""
-    m = scores.groupBy("part_id").agg(F.avg(clamp01("score")).alias(name), F.count("*").alias(f"{name}_count"))
-    return parts.select("part_id").join(m, "part_id", "left").na.fill(0)
+def mean_face_score(parts: DataFrame, scores: DataFrame, name: str = "mean", keys=PART) -> DataFrame:
+    """(keys, mean, count) of clamped scores; 0 without any."""
+    m = scores.groupBy(*keys).agg(F.avg(clamp01("score")).alias(name), F.count("*").alias(f"{name}_count"))
+    return parts.select(*keys).join(m, list(keys), "left").na.fill(0)
 
 
-def summarize_findings(found: DataFrame) -> DataFrame:
-    """(part_id, total, n_critical .. n_info, major_checks in order)."""
+def summarize_findings(found: DataFrame, keys=PART) -> DataFrame:
+    """(keys, total, n_critical .. n_info, major_checks in order)."""
     sev = F.coalesce("severity", F.lit("Info"))
     counts = [F.count_if(sev == s).alias(f"n_{s.lower()}") for s in SEVERITIES]
     major = F.array_sort(F.collect_list(F.when(sev == "Major", F.struct("finding_seq", "check"))))
-    return found.groupBy("part_id").agg(F.count("*").alias("total"), *counts, F.transform(major, lambda x: x["check"]).alias("major_checks"))
+    return found.groupBy(*keys).agg(F.count("*").alias("total"), *counts, F.transform(major, lambda x: x["check"]).alias("major_checks"))
 
 
-def finding_status(parts: DataFrame, found: DataFrame) -> DataFrame:
-    """(part_id, finding_status) by severity alone."""
-    s = summarize_findings(found).select("part_id", "total", "n_critical", "n_major")
-    rows = parts.select("part_id").join(s, "part_id", "left").na.fill(0)
+def finding_status(parts: DataFrame, found: DataFrame, keys=PART) -> DataFrame:
+    """(keys, finding_status) by severity alone."""
+    s = summarize_findings(found, keys).select(*keys, "total", "n_critical", "n_major")
+    rows = parts.select(*keys).join(s, list(keys), "left").na.fill(0)
     status = F.when(F.col("n_critical") > 0, "InvalidInput").when(F.col("n_major") > 0, "NeedsAttention").when(F.col("total") > 0, "ReviewRecommended").otherwise("SimulationReady")
-    return rows.select("part_id", status.alias("finding_status"))
+    return rows.select(*keys, status.alias("finding_status"))
 
 
-def score_parts(parts: DataFrame, found: DataFrame, rule: DataFrame, ml: DataFrame, ml_available: bool = False) -> DataFrame:
-    """One row a part: counts, overall score 0 to 100, label, penalty, mean rule score."""
-    counts = summarize_findings(found).drop("major_checks")
-    means = mean_face_score(parts, rule, "rule_face_mean")
-    rows = parts.select("part_id").join(counts, "part_id", "left").join(means, "part_id")
+def score_parts(parts: DataFrame, found: DataFrame, rule: DataFrame, ml: DataFrame, ml_available: bool = False, keys=PART) -> DataFrame:
+    """One row a part (or whatever the keys name): counts, overall score 0 to 100, label, penalty, mean rule score."""
+    keys = list(keys)
+    counts = summarize_findings(found, keys).drop("major_checks")
+    means = mean_face_score(parts, rule, "rule_face_mean", keys)
+    rows = parts.select(*keys).join(counts, keys, "left").join(means, keys)
     if ml_available:
-        rows = rows.join(mean_face_score(parts, ml, "ml_mean").select("part_id", "ml_mean"), "part_id")
+        rows = rows.join(mean_face_score(parts, ml, "ml_mean", keys).select(*keys, "ml_mean"), keys)
     else:
         rows = rows.withColumn("ml_mean", F.lit(0.0))
     return with_scores(rows.na.fill(0))
@@ -122,13 +123,13 @@ def with_complexity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("complexity", complexity_tier("face_count"))
 
 
-def _ranked(found: DataFrame, *order) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("part_id").orderBy(*order)))
+def _ranked(found: DataFrame, *order, keys=PART) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def top_findings(found: DataFrame, n: int = 12) -> DataFrame:
+def top_findings(found: DataFrame, n: int = 12, keys=PART) -> DataFrame:
     """The n most severe findings of each part (0: all), in stable order, with the part's total."""
-    rows = _ranked(found.withColumn("total", F.count("*").over(Window.partitionBy("part_id"))), severity_rank("severity"), "finding_seq")
+    rows = _ranked(found.withColumn("total", F.count("*").over(Window.partitionBy(*keys))), severity_rank("severity"), "finding_seq", keys=keys)
     return rows.filter(F.col("rank") <= n) if n else rows
 
 
@@ -136,12 +137,12 @@ def head_findings(found: DataFrame, n: int = 8) -> DataFrame:
     return _ranked(found, "finding_seq").filter(F.col("rank") <= n)
 
 
-def suggest_fixes(found: DataFrame, n: int = 5) -> DataFrame:
+def suggest_fixes(found: DataFrame, n: int = 5, keys=PART) -> DataFrame:
     """The worst finding of each check, the n worst of these a part, with totals."""
-    rows = found.withColumn("total_findings", F.count("*").over(Window.partitionBy("part_id")))
-    first = F.row_number().over(Window.partitionBy("part_id", "check").orderBy(severity_rank("severity"), "finding_seq"))
-    rows = rows.withColumn("nth", first).filter("nth = 1").drop("nth")
-    return _ranked(rows, severity_rank("severity"), "finding_seq").filter(F.col("rank") <= n).withColumn("returned", F.count("*").over(Window.partitionBy("part_id")))
+    rows = found.withColumn("total_findings", F.count("*").over(Window.partitionBy(*keys)))
+    first = F.row_number().over(Window.partitionBy(*keys, "check").orderBy(severity_rank("severity"), "finding_seq"))
+    rows = _ranked(rows.withColumn("nth", first).filter("nth = 1").drop("nth"), severity_rank("severity"), "finding_seq", keys=keys)
+    return rows.filter(F.col("rank") <= n).withColumn("returned", F.count("*").over(Window.partitionBy(*keys)))
 
 
 def catalog_rollup(scored: DataFrame) -> DataFrame:

@@ -352,6 +352,42 @@ def trim_reports(spark, sf_dir) -> DataFrame:
     return rows.select("part_id", F.col("summary.total").alias("total"), F.size("omitted").alias("n_omitted"))
 
 
+@query(
+    "trim_long_reports",
+    sql("SELECT part_id, CASE WHEN 3 * total > 20 THEN 21 ELSE 3 * total END AS n_findings, least(part_id % 9, 5) AS n_bodies, 3 + (3 * total > 20)::INT + (part_id % 9 > 5)::INT AS n_omitted, CASE WHEN 3 * total > 20 THEN (3 * total - 20) || ' more findings omitted.' END AS note FROM everything"),
+)
+def trim_long_reports(spark, sf_dir) -> DataFrame:
+    """Reports of many findings and bodies, cut to a budget that none meets: every cut is made."""
+    t, r = _analysed(spark, sf_dir)
+    rows = catalog.reports(t, r)
+    bodies = F.transform(F.slice(F.sequence(F.lit(1), F.lit(9)), F.lit(1), (F.col("part_id") % 9).cast("int")), lambda k: F.struct(k.alias("solid_id")))
+    rows = rows.withColumns({"findings": F.flatten(F.array_repeat("findings", 3)), "bodies": bodies})
+    rows = catalog.trim_report(rows, 100)
+    last = F.element_at("findings", -1)
+    note = F.when((F.size("findings") > 0) & (last["check"] == "TRUNCATED"), last["detail"])
+    return rows.select("part_id", F.size("findings").cast("long").alias("n_findings"), F.size("bodies").cast("long").alias("n_bodies"), F.size("omitted").alias("n_omitted"), note.alias("note"))
+
+
+@query(
+    "report_bodies",
+    sql(
+        """SELECT (part_id - 1) // 1000 AS part_id, (part_id - 1) % 1000 AS solid_id, label AS status, round(overall, 9) AS overall, face_count, total AS n_findings, coalesce(n, 0) AS n_scored, round(coalesce(s, 0), 6) AS rule_sum
+        FROM labelled LEFT JOIN (SELECT part_id, count(*) AS n, sum(score) AS s FROM rule_scores GROUP BY ALL) USING (part_id)""",
+        views=binding.BODIES,
+    ),
+)
+def report_bodies(spark, sf_dir) -> DataFrame:
+    """What the reports of parts say of each of their bodies."""
+    t, r = _analysed(spark, sf_dir)
+    rows = catalog.reports(t, r, catalog.analyse(catalog.as_bodies(t), keys=catalog.BODY)).select("part_id", F.explode("bodies").alias("b"))
+    scores_of = F.map_values("b.per_face_scores")
+    total = F.aggregate(scores_of, F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "part_id", "b.solid_id", "b.status", F.round("b.score.overall", 9).alias("overall"), "b.geometry.face_count", F.size("b.findings").cast("long").alias("n_findings"),
+        F.size(scores_of).cast("long").alias("n_scored"), F.round(total, 6).alias("rule_sum"),
+    )
+
+
 @query(
     "box_overlaps",
     sql(

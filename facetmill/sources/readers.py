@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..common import stored
-from ..functions.scalars import url_file_name
+from ..functions.scalars import url_file_name, with_surface_type
 from ..operators.labelling import MANIFEST as LABEL_MANIFEST
-from ..schemas import GOLD, GRAPH_FILE, LABEL_FILE, MANIFEST, PROMPTS, TAG_FILE, TRACES
+from ..operators.topology import edge_features, face_adjacency
+from ..schemas import GOLD, GRAPH_FILE, LABEL_FILE, MANIFEST, PROMPTS, TAG_FILE, TRACES, Tables
 
 CORRUPT = "_corrupt"
 
@@ -27,17 +28,42 @@ def _with_stem(df: DataFrame, suffix: str) -> DataFrame:
     return df.withColumn("stem", F.coalesce("stem", name))
 
 
-def read_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """faces, edges, coedges and adjacency, each with the stem of its file."""
-    g = _with_stem(spark.read.schema(GRAPH_FILE).option("multiLine", True).option("pathGlobFilter", "*.graph.json").json(path), r"\.graph\.json$")
+def _payloads(spark: SparkSession, path: str, schema: str, suffix: str, lines: bool) -> DataFrame:
+    """JSON documents, one a file of that suffix, or one a line of any files."""
+    reader = spark.read.schema(schema)
+    return (reader if lines else reader.option("multiLine", True).option("pathGlobFilter", f"*{suffix}")).json(path)
+
+
+def write_graphs(t: Tables, path: str) -> None:
+    """Graph payloads of all parts, one a line: what ``read_graphs`` takes."""
+    stems = t.parts.select("part_id", "stem")
+
+    def listed(df: DataFrame, name: str, one: Column) -> DataFrame:
+        return df.groupBy("part_id").agg(F.array_sort(F.collect_list(one)).alias(name))
+
+    faces = with_surface_type(t.faces)
+    names = ["face_index", "surface_type", "one_hot", "area", "normal", "mean_curvature", "uv_bounds"]
+    hot = F.transform("one_hot", lambda x: x.cast("int")).alias("one_hot")
+    rows = stems.join(listed(faces, "faces", F.struct(*[hot if n == "one_hot" else F.col(n) for n in names])), "part_id", "left")
+    edges = edge_features(t.edges, t.faces, t.coedges)
+    known = F.struct("edge_index", "length", F.col("faces").alias("connected_faces"), "convexity", "dihedral_angle", "dihedral_signal")
+    rows = rows.join(listed(edges, "edges", known), "part_id", "left")
+    rows = rows.join(listed(t.coedges, "coedges", F.struct("coedge_index", "face_index", "edge_index", "orientation", "loop_position")), "part_id", "left")
+    rows = rows.join(listed(face_adjacency(t.coedges), "adjacency", F.array("face_a", "face_b")), "part_id", "left")
+    rows.drop("part_id").write.mode("overwrite").json(path)
+
+
+def read_graphs(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """faces, edges, coedges and adjacency, each with the stem of its file or of its line."""
+    g = _with_stem(_payloads(spark, path, GRAPH_FILE, ".graph.json", lines), r"\.graph\.json$")
     one = lambda c: g.select("stem", F.explode(c).alias("x")).select("stem", "x.*")
     pairs = g.select("stem", F.explode("adjacency").alias("x")).select("stem", F.col("x")[0].alias("face_a"), F.col("x")[1].alias("face_b"))
     return {"faces": one("faces"), "edges": one("edges"), "coedges": one("coedges"), "adjacency": pairs}
 
 
-def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_labels(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Face labels (stem, face_index, refinement, complexity_proxy, rule_score) and graph labels (stem, graph_label)."""
-    rows = _with_stem(spark.read.schema(LABEL_FILE).option("multiLine", True).option("pathGlobFilter", "*.labels.json").json(path), r"\.labels\.json$")
+    rows = _with_stem(_payloads(spark, path, LABEL_FILE, ".labels.json", lines), r"\.labels\.json$")
     keys = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("refinement", "complexity_proxy", "rule_per_face")])))
     each = rows.withColumn("k", F.explode(keys))
     at = lambda c, missing: F.coalesce(F.try_element_at(F.col(c), F.col("k")), F.lit(missing))
@@ -45,9 +71,9 @@ def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return faces, rows.select("stem", F.coalesce("graph_label", F.lit(0)).alias("graph_label"))
 
 
-def read_tags(spark: SparkSession, path: str, stems: DataFrame) -> DataFrame:
+def read_tags(spark: SparkSession, path: str, stems: DataFrame, lines: bool = False) -> DataFrame:
     """(stem, defect_tags) of the given stems; absent or malformed sidecars mean no tags."""
-    tags = _with_stem(spark.read.schema(TAG_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path), r"\.tags\.json$|\.json$").select("stem", "defect_tags")
+    tags = _with_stem(_payloads(spark, path, TAG_FILE, ".json", lines).filter("defect_tags is not null"), r"\.tags\.json$|\.json$").select("stem", "defect_tags")
     return stems.select("stem").join(tags, "stem", "left").select("stem", F.coalesce("defect_tags", F.array().cast("array<string>")).alias("defect_tags"))
 
 

@@ -128,33 +128,35 @@ def folded(spark: SparkSession, target: str) -> DataFrame:
 # --- runs, with state: each one goes out when it has ended ------------------------------------------------------------
 
 RUNS = "run_id string, iterations long, tool_calls array<string>, stop_reason string, tokens_in long, tokens_out long, model string"
-_EVENT = "type string, name string, tokens_in long, tokens_out long, model string"
+_EVENT = "seq long, type string, name string, tokens_in long, tokens_out long, model string"
 _END = {"max_iterations": "max_iterations", "final_text": "stop"}
 
 
 class _Run(StatefulProcessor):
-    """State of a run: its events by number, so that repeated ones count once. A timer ends it."""
+    """State of a run: its events with their numbers, by which repeated ones count once. A timer ends it."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "seq long", _EVENT)
+        self.events = handle.getListState("events", _EVENT)
         self.due = handle.getValueState("due", "at long, ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         due, ended = self.due.get() if self.due.exists() else (0, False)
         before = due
         for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            for seq, at, *event in part[["seq", "at", "type", "name", "tokens_in", "tokens_out", "model"]].itertuples(index=False):
-                self.events.updateValue((int(seq),), tuple(int(v) if k in (2, 3) and v is not None else v for k, v in enumerate(event)))
-                when = int(pd.Timestamp(at).timestamp() * 1000)
-                if event[0] in _END:  # events that are not later than the end may still come until the watermark is there
-                    due, ended = (max(due, when) if ended else when), True
+            part = part[["seq", "type", "name", "tokens_in", "tokens_out", "model", "ms"]].astype(object).where(part.notna(), None)
+            new = []
+            for seq, kind, name, tokens_in, tokens_out, model, when in part.itertuples(index=False):
+                whole = (None if v is None else int(v) for v in (tokens_in, tokens_out))
+                new.append((int(seq), kind, name, *whole, model))
+                if kind in _END:  # events that are not later than the end may still come until the watermark is there
+                    due, ended = (max(due, int(when)) if ended else int(when)), True
                 elif not ended:
-                    due = max(due, when + self.idle_ms)
+                    due = max(due, int(when) + self.idle_ms)
+            self.events.appendList(new)
         if due != before:
             if before:
                 self.handle.deleteTimer(before)
@@ -163,7 +165,7 @@ class _Run(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = sorted((seq[0], tuple(e)) for seq, e in self.events.iterator())
+        events = sorted({seq: event for seq, *event in map(tuple, self.events.get())}.items())
         kinds = [e[0] for _, e in events]
         total = lambda k: sum(e[k] for _, e in events if e[k] is not None) if any(e[k] is not None for _, e in events) else None
         row = {
@@ -200,6 +202,7 @@ def emit_runs(stream: DataFrame, target: str, checkpoint: str, late: str = "10 m
     out, with no stop reason, when nothing came for ``idle_ms`` of event time. Only open runs have state.
     """
     spark = stream.sparkSession
-    runs = stream.withWatermark("at", late).groupBy("run_id").transformWithStateInPandas(_Run(idle_ms), RUNS, "Append", "EventTime")
+    events = stream.withColumn("ms", F.unix_millis("at")).withWatermark("at", late)
+    runs = events.groupBy("run_id").transformWithStateInPandas(_Run(idle_ms), RUNS, "Append", "EventTime")
     with _rocksdb(spark):
         return runs.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

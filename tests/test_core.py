@@ -306,7 +306,7 @@ def test_readers(spark, tmp_path, box):
 def test_small_functions(spark):
     rows = spark.createDataFrame([("what?", "a.step"), ("see a.step", "a.step"), ("what?", None)], "q string, p string")
     assert [r.x for r in rows.select(traces.build_question("q", "p").alias("x")).collect()] == ["what?\n\nFile: a.step", "see a.step", "what?"]
-    assert spark.range(1).select(S.preview(F.lit("x" * 201)).alias("x")).first().x == "x" * 200 + "... [cut]"
+    assert spark.range(1).select(S.preview(F.lit("x" * 201)).alias("x")).first().x == "x" * 200 + "...[truncated]"
     text = lambda **n: spark.range(1).select(S.severity_string({k: F.lit(v) for k, v in n.items()}).alias("x")).first().x
     assert (text(Critical=1, Major=0, Minor=4, Info=0), text(Critical=0, Major=0)) == ("C1 M4", "-")
     parts = spark.createDataFrame([(1, 9), (2, None), (3, 4), (4, 4)], "part_id long, face_count int")
