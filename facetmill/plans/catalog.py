@@ -132,8 +132,8 @@ def reports(t: Tables, result: Analysis, bodies: Analysis | None = None, ml_sour
 def trim_report(reports: DataFrame, max_chars: int = 8000) -> DataFrame:
     """Reports of at most about so many characters of JSON, with ``omitted``: what was left out.
 
-    In this order, each only while a report is too long: scores by face, findings beyond 20 (a
-    TRUNCATED entry tells how many), bodies beyond 5.
+    In this order, each only while a report is too long and has it: scores by face, findings beyond 20
+    (a TRUNCATED entry tells how many), bodies beyond 5.
     """
     names = reports.columns
     rows = reports.withColumn("omitted", F.array().cast("array<string>"))
@@ -143,7 +143,9 @@ def trim_report(reports: DataFrame, max_chars: int = 8000) -> DataFrame:
     def cut(column: str, value, note) -> None:
         nonlocal rows
         if column in names:
-            rows = rows.withColumns({column: F.when(F.col("long"), value).otherwise(F.col(column)), "omitted": F.when(F.col("long"), F.concat("omitted", F.array(note))).otherwise(F.col("omitted"))})
+            here = F.col("long") & F.col(column).isNotNull()
+            cut = F.concat("omitted", F.array(note))
+            rows = rows.withColumns({column: F.when(here, value).otherwise(F.col(column)), "omitted": F.when(here, cut).otherwise(F.col("omitted"))})
 
     for c in ("per_face_scores", "combined_per_face_scores"):
         cut(c, F.lit(None), F.lit(c))

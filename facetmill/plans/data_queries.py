@@ -422,12 +422,22 @@ def _chunks(spark, sf_dir):
     return documents.chunk_documents(pages, paragraph=r"\n")
 
 
-@query("chunk_documents")
+# Texts between chr(1) are chunks so far, between chr(2) sentences; no text holds either.
+_LAST = "length(list_last(string_split(acc, chr(1))))"
+_CHUNKS = f"""lines AS (SELECT source, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS ps FROM documents),
+grouped AS (SELECT source, page, string_split(list_reduce(ps, lambda acc, p: CASE WHEN {_LAST} < 200 THEN acc || chr(10) || chr(10) || p ELSE acc || chr(1) || p END), chr(1)) AS gs FROM lines WHERE len(ps) > 0),
+each AS (SELECT source, page, unnest(gs) AS g, unnest(range(len(gs))) AS k FROM grouped),
+cut AS (SELECT source, page, k, g, list_transform(string_split(regexp_replace(g, '([.!?])\\s+([A-Z(])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: array_to_string(list_transform(range((length(s) + 1499) // 1500), lambda i: substr(s, i * 1500 + 1, 1500)), chr(1))) AS ss FROM each),
+packed AS (SELECT source, page, k, CASE WHEN length(g) <= 1500 THEN [g] ELSE string_split(list_reduce(ss, lambda acc, s: CASE WHEN {_LAST} + 1 + length(s) <= 1500 THEN acc || ' ' || s ELSE acc || chr(1) || s END), chr(1)) END AS cs FROM cut),
+chunks AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page, k, j) - 1 AS chunk_id, text FROM (SELECT source, page, k, unnest(cs) AS text, unnest(range(len(cs))) AS j FROM packed))"""
+
+
+@query("chunk_documents", f"WITH {_CHUNKS} SELECT * FROM chunks")
 def chunk_documents(spark, sf_dir) -> DataFrame:
     return _chunks(spark, sf_dir)
 
 
-@query("build_index")
+@query("build_index", f"WITH {_CHUNKS} SELECT *, list_transform(range(16), lambda i: CASE WHEN i = list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 16 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS embedding FROM chunks")
 def build_index(spark, sf_dir) -> DataFrame:
     return documents.build_index(_chunks(spark, sf_dir), dim=16)[0]
 
