@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import scratch
 from ..functions.scalars import l2_normalize
 
 # Where sentences end, and the sizes of chunks.
@@ -124,40 +125,67 @@ def build_index(chunks: DataFrame, embed: Embedder | None = None, dim: int = 8,
     return rows, rows.agg(F.lit(name).alias("model"), F.lit(dim).alias("dim"), F.count("*").alias("n_chunks"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 3, at_once: int = 4096) -> DataFrame:
+#: Bytes of query vectors that are sent out at once, and queries that are scored at once.
+SENT_BYTES, SCORED = 64 << 20, 1024
+
+
+def _nearest(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, equal ones by key."""
+    if len(score) > 4 * k:
+        near = np.flatnonzero(score >= np.partition(score, -k)[-k])
+        return near[np.lexsort((keys[near], -score[near]))[:k]]
+    return np.lexsort((keys, -score))[:k]
+
+
+def _best_of(ids: list, queries: np.ndarray, k: int):
+    """A task's k best chunks of each query, over all its batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            vectors, keys = np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]), batch["key"].to_numpy(np.int64)
+            for first in range(0, len(ids), SCORED):
+                for i, row in enumerate(queries[first : first + SCORED] @ vectors.T, first):
+                    top = _nearest(row, keys, k)
+                    scores, named = np.append(best[i][0], row[top]), np.append(best[i][1], keys[top])
+                    keep = np.lexsort((named, -scores))[:k]
+                    best[i] = (scores[keep], named[keep])
+        n = [len(s) for s, _ in best]
+        if sum(n):
+            scores, named = (np.concatenate([x[j] for x in best]) for j in range(2))
+            yield pd.DataFrame({"query_id": np.repeat(np.asarray(ids), n), "key": named, "score": scores})
+
+    return run
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int = 3, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(query_id, rank, key, score): the k most similar chunks (key, embedding) of each query (query_id, embedding).
 
-    Queries go out in blocks to where the chunks are; a task keeps k candidates a query and block
-    of chunks, and one shuffle by query ranks them. Unit vectors; equal scores rank by key.
+    The stated queries go out in blocks of so many bytes to where the chunks are; a task keeps k candidates a
+    query, and one shuffle by query ranks them. One block is one plan; of more, each is a job of its own that
+    adds its candidates to a table of the shared folder. Unit vectors; equal scores rank by key.
     """
-    spark = queries.sparkSession
-    blocks = queries.count() // at_once + 1
-    found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    spark, k = queries.sparkSession, max(1, k)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * (size["dim"] or 1) * 8 // sent_bytes))
+    slim, kind = chunks.select(F.col("key").cast("long").alias("key"), "embedding"), "query_id long, key long, score double"
+
+    def candidates(part: DataFrame) -> DataFrame:
         rows = part.select("query_id", "embedding").collect()  # a block of the stated queries
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                score = q @ np.stack([np.asarray(v, np.float64) for v in batch["embedding"]]).T
-                keys, found = batch["key"].to_numpy(), []
-                for i, row in enumerate(score):
-                    top = np.lexsort((keys, -row))[:k] if len(row) <= 4 * k else None
-                    if top is None:
-                        edge = np.partition(row, -k)[-k]
-                        near = np.flatnonzero(row >= edge)
-                        top = near[np.lexsort((keys[near], -row[near]))[:k]]
-                    found.append((np.full(len(top), ids[i]), keys[top], row[top]))
-                yield pd.DataFrame(dict(zip(("query_id", "key", "score"), map(np.concatenate, zip(*found)))))
-
-        one = chunks.select(F.col("key").cast("long").alias("key"), "embedding").mapInPandas(run, "query_id long, key long, score double")
-        found = one if found is None else found.unionByName(one)
+        return slim.mapInPandas(_best_of([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), k), kind)
+
+    if blocks == 1:
+        found = candidates(queries)
+    else:
+        path = scratch(spark, "candidates")
+        for b in range(blocks):
+            part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            candidates(part).write.mode("append").parquet(path)
+        found = spark.read.schema(kind).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= max(1, k))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def search_status(queries: DataFrame, chunks: DataFrame) -> DataFrame:
