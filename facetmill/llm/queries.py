@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import convo_sql
 from .convo_repair import op11_convo_repair
 from .decontaminate import op9_decontaminate
 from .fertility_rules import op13_fertility_rules
@@ -40,4 +41,4 @@ reach AS (SELECT r, r AS o FROM u UNION SELECT reach.r, b FROM reach JOIN pairs
 least AS (SELECT reach.r AS r, min(v.vec_id) AS component FROM reach JOIN v ON v.r = reach.o GROUP BY ALL),
 degrees AS (SELECT a AS r, count(*) AS n_links FROM pairs GROUP BY ALL)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component, vec_id) AS kept FROM v LEFT JOIN degrees USING (r) LEFT JOIN least USING (r)"""
-ORACLES: dict[str, str] = {"op5_hnsw_dedup": _VECTORS}
+ORACLES: dict[str, str] = {"op5_hnsw_dedup": _VECTORS, "op11_convo_repair": convo_sql.SQL}
