@@ -45,13 +45,17 @@ def record_id(page_id: int | None, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{payload_digest}')}>"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has the head of the response only."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit has the head of the response only.
+
+    A response's id follows from its page and payload, so that revisits can name it; a revisit's, or that of a page without id, follows from
+    its ``place`` in the archives too, as a row may come again.
+    """
     mark = digest(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = {
         "WARC-Type": kind,
-        "WARC-Record-ID": record_id(page_id, mark),
+        "WARC-Record-ID": record_id(page_id, f"{mark}:{place}" if kind == "revisit" or page_id is None else mark),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": "".join((url or "about:blank").split()),
         "Content-Type": "application/http; msgtype=response",
@@ -181,7 +185,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 256
             for page_id, url, html, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
                 writer = writer or ArchiveWriter(f"{name}-{len(done):05d}.warc.zst", dictionary)
                 to = refers.as_py()
-                writer.add(record_bytes(page_id.as_py(), url.as_py(), html.as_py().encode(), "response" if to is None else "revisit", to))
+                writer.add(record_bytes(page_id.as_py(), url.as_py(), html.as_py().encode(), "response" if to is None else "revisit", to, f"{writer.path}:{writer.records}"))
                 if writer.bytes >= file_bytes:
                     done.append(writer.close())
                     writer = None

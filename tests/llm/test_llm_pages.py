@@ -2,7 +2,7 @@
 
 import pytest
 
-from facetmill.llm import html_extract
+from facetmill.llm import html_extract, warc
 
 ARTICLE = ["A title of it", ("Some words of an article that goes on and on, so that it reads well. " * 4).strip(), ("A second paragraph with more words than the first one has. " * 6).strip()]
 COMMENTS = "<div class='comments'><p>" + "I think that this is a comment by a reader who liked it very much indeed. " * 3 + "</p></div>"
@@ -29,3 +29,13 @@ def test_very_long_pages_in_parts(spark):
     rows = [(k, "u", page * n) for k, n in enumerate((1, 9000, 2, 9000))]
     got = {r.page_id: r.n_chars for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
     assert got == {k: 199 * n + 2 * (n - 1) for k, n in enumerate((1, 9000, 2, 9000))}
+
+
+def test_record_ids_are_unique(spark):
+    """Rows that come again are records of their own; revisits name the response."""
+    pages = spark.createDataFrame([(1, "u", "x")] * 5 + [(2, "u", "x"), (3, "v", "y"), (None, None, None), (None, None, None)], "page_id long, url string, html string")
+    paths = [r.path for r in warc.write_archives(pages).collect()]
+    heads = [warc.parsed(record)[0] for path in paths for record in warc.read_archive(path)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids)) == 9
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
