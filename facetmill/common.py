@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A small side is broadcast only after its rows were counted and found to be no more than this.
 BROADCAST_ROWS = 100_000
+#: Spark's own default number of shuffle partitions.
+SPARKS_PARTITIONS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths of this driver's intermediate tables, by application, and how often they were cleared.
+_MADE: dict[str, list[str]] = {}
+_CLEARED: dict[str, int] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; returns how many.
+
+    For when all results were written: tables that were returned and not yet read may rest on them.
+    """
+    key = spark.sparkContext.applicationId
+    paths, _CLEARED[key] = _MADE.pop(key, []), _CLEARED.get(key, 0) + 1
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
+def era(spark: SparkSession) -> tuple[str, int]:
+    """What tells apart the times between which intermediate tables were cleared: part of a key of what is kept."""
+    key = spark.sparkContext.applicationId
+    return key, _CLEARED.get(key, 0)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +70,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """As many as shuffle partitions; where these were left at Spark's default, twice the cores if that is less."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(n, max(2, 2 * spark.sparkContext.defaultParallelism)) if n == SPARKS_PARTITIONS else n
+
+
 def clustered(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Write a table to the shared folder in buckets of ``keys``, as many as shuffle partitions, and read it back.
+    """Write a table to the shared folder in buckets of ``keys`` (by default ``bucket_count``) and read it back.
 
     Groups and joins by these keys, and inside ``co_located`` by more columns than these, then need no
     shuffle. All rows of a key are read by one task, so keys must be of bounded size.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or bucket_count(spark)
     table = "facetmill_" + re.sub(r"\W", "_", path.rpartition("/")[2])
     df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).format("parquet").saveAsTable(table)
     return spark.table(table)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common import clustered
+from ..common import clustered, era
 from ..common import table as read
 from ..schemas import Tables
 
@@ -47,12 +47,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*[f"{e.replace('VARCHAR(20)', 'STRING')} AS {c}" for c, e in _PART.items()])
 
 
-_STORED: dict[tuple[str, str], Tables] = {}
+_STORED: dict[tuple, Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The derived catalog, written to the shared folder in buckets of parts once an application: jobs read a catalog, they don't derive it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = era(spark), sf_dir
     if key not in _STORED:
         t = derived(spark, sf_dir)
         _STORED[key] = Tables(*[clustered(getattr(t, n), n, ["part_id"]) for n in ("parts", "solids", "faces", "edges", "coedges")])

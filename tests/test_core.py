@@ -462,6 +462,22 @@ def test_small_sources(spark, tmp_path):
         R.import_index(spark, str(tmp_path / "i.json")).collect()
 
 
+def test_intermediate_tables_are_deleted(spark, sf_dir):
+    """After clearing, no intermediate table is left, and queries make theirs anew."""
+    import os
+
+    from facetmill import common
+    from facetmill.plans import binding
+
+    t = binding.tables(spark, sf_dir)
+    n = t.parts.count()
+    common.stored(spark.range(3), "three")
+    paths = list(common._MADE[spark.sparkContext.applicationId])
+    assert any(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert common.clear_scratch(spark) == len(paths) and not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert binding.tables(spark, sf_dir).parts.count() == n
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
