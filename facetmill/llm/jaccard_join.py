@@ -164,10 +164,11 @@ def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("parts", "other")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal keys in sorted batches; a run may go on in the next batch."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], heavy: str | None = None) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal keys in sorted batches; a run may go on in the next batch. Batches are taken in
+    parts by the bytes of their ``heavy`` column."""
     rest: pd.DataFrame | None = None
-    for batch in batches:
+    for batch in (part for whole in batches for part in (slices(whole, heavy, 4_000_000) if heavy else [whole])):
         rows = batch.to_pandas()
         if rest is not None:
             rows = pd.concat([rest, rows], ignore_index=True)
@@ -224,7 +225,7 @@ def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pandas(pd.concat(rows), kind, preserve_index=False)
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
+def common_counts(sets: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets."""
     n = len(sets)
     flat = np.concatenate(sets)
@@ -250,7 +251,7 @@ def compared(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
-        for group in groups(batches, ["key", "x", "y"]):
+        for group in groups(batches, ["key", "x", "y"], "shingles"):
             group = group.drop_duplicates("cid")  # a repeated row brings its class twice
             if len(group) < 2:
                 continue
