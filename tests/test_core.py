@@ -565,3 +565,21 @@ def test_crowded_and_loose_edges(spark, box):
     degree = {r.face_index: r.degree for r in m.faces.filter("part_id = 0").collect()}
     want = {r.face_index: r.degree for r in topology.face_degree(topology.face_adjacency(t.coedges.filter("part_id = 0"))).collect()}
     assert degree == {**dict.fromkeys(degree, 0), **want}
+
+
+def test_buckets_grow_with_the_catalog(spark, sf_dir, monkeypatch):
+    """A larger catalog has more buckets, not larger ones; its line items are shuffled once, and what is measured stays where they lie."""
+    from facetmill import common
+    from facetmill.plans import binding
+
+    few = checks.measured(binding.tables(spark, sf_dir))
+    monkeypatch.setattr(common, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(binding, "_STORED", {})
+    t = binding.tables(spark, sf_dir)
+    assert t.buckets == 12 and common.bucket_count(spark, 10**9 * 500) == common.MOST_BUCKETS
+    assert _exchanges(common.clustered(binding.uses(spark, sf_dir, 12), "uses", ["part_id"], 12)) == 0
+    many = checks.measured(t)
+    assert _exchanges(many.parts) == 0 and "12 out of 12" in many.parts._jdf.queryExecution().executedPlan().toString()
+    columns = ["part_id", "face_count", "findings", "total"]
+    a, b = (m.parts.withColumn("total", F.round("rule_face_mean", 9)).select(columns) for m in (few, many))
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
