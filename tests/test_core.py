@@ -583,3 +583,20 @@ def test_buckets_grow_with_the_catalog(spark, sf_dir, monkeypatch):
     columns = ["part_id", "face_count", "findings", "total"]
     a, b = (m.parts.withColumn("total", F.round("rule_face_mean", 9)).select(columns) for m in (few, many))
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_defects_of_a_clustered_catalog_keep_its_buckets(spark, sf_dir):
+    """Degraded tables are written once in buckets; what is measured on them is neither shuffled nor sent whole through the driver."""
+    from facetmill.common import co_located
+    from facetmill.operators import measures
+    from facetmill.plans import binding
+
+    t = binding.tables(spark, sf_dir)
+    made = datasets.inject_defect(t, "sliver_face")[0]
+    kept = datasets.settled(made)
+    assert kept.buckets == t.buckets
+    for name in ("parts", "solids", "faces", "edges", "coedges"):
+        assert getattr(kept, name).exceptAll(getattr(made, name)).count() == 0 and getattr(kept, name).count() == getattr(made, name).count()
+    with co_located(spark):
+        rows = measures.measured_faces(kept, ("part_id",), checks.registered())
+        assert _exchanges(rows) == 0 and "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
