@@ -600,3 +600,16 @@ def test_defects_of_a_clustered_catalog_keep_its_buckets(spark, sf_dir):
     with co_located(spark):
         rows = measures.measured_faces(kept, ("part_id",), checks.registered())
         assert _exchanges(rows) == 0 and "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_by_face_and_edge_stay_in_buckets(spark, sf_dir):
+    """Joins by face or edge of a clustered catalog shuffle nothing, neither while they are computed nor when their rows are read."""
+    from facetmill.common import co_located
+    from facetmill.plans import binding, queries
+
+    t = binding.tables(spark, sf_dir)
+    with co_located(spark):
+        for rows in (topology.edge_features(t.edges, t.faces, t.coedges), queries._heuristic(t), checks.interference(t)):
+            assert _exchanges(rows) == 0
+    for name in ("edge_features", "heuristic_scores", "fallback_embedding", "box_overlaps"):
+        assert _exchanges(queries.QUERIES[name](spark, sf_dir)) == 0
