@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import stored
+from ..common import co_located, stored
 from ..functions.scalars import url_file_name, with_surface_type
 from ..operators.labelling import MANIFEST as LABEL_MANIFEST
 from ..operators.topology import edge_features, face_adjacency
@@ -35,7 +35,7 @@ def _payloads(spark: SparkSession, path: str, schema: str, suffix: str, lines: b
 
 
 def write_graphs(t: Tables, path: str) -> None:
-    """Graph payloads of all parts, one a line: what ``read_graphs`` takes."""
+    """Graph payloads of all parts, one a line of compressed files: what ``read_graphs`` takes."""
     stems = t.parts.select("part_id", "stem")
 
     def listed(df: DataFrame, name: str, one: Column) -> DataFrame:
@@ -50,7 +50,8 @@ def write_graphs(t: Tables, path: str) -> None:
     rows = rows.join(listed(edges, "edges", known), "part_id", "left")
     rows = rows.join(listed(t.coedges, "coedges", F.struct("coedge_index", "face_index", "edge_index", "orientation", "loop_position")), "part_id", "left")
     rows = rows.join(listed(face_adjacency(t.coedges), "adjacency", F.array("face_a", "face_b")), "part_id", "left")
-    rows.drop("part_id").write.mode("overwrite").json(path)
+    with co_located(rows.sparkSession):
+        rows.drop("part_id").write.mode("overwrite").json(path, compression="gzip")
 
 
 def read_graphs(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
@@ -103,7 +104,7 @@ def write_split(df: DataFrame, out: str) -> None:
 
 
 def write_reports(df: DataFrame, path: str, fmt: str = "json") -> None:
-    df.write.mode("overwrite").partitionBy("status").format(fmt).save(path)
+    df.write.mode("overwrite").partitionBy("status").option("compression", "gzip").format(fmt).save(path)
 
 
 def _whole_keys(column) -> Column:

@@ -613,3 +613,14 @@ def test_joins_by_face_and_edge_stay_in_buckets(spark, sf_dir):
             assert _exchanges(rows) == 0
     for name in ("edge_features", "heuristic_scores", "fallback_embedding", "box_overlaps"):
         assert _exchanges(queries.QUERIES[name](spark, sf_dir)) == 0
+
+
+def test_reports_are_written_compressed(spark, tmp_path):
+    import os
+
+    from facetmill.sources import readers as R
+
+    R.write_reports(spark.createDataFrame([(1, "ok"), (2, "bad")], "part_id long, status string"), str(tmp_path / "r"))
+    files = [f for _, _, names in os.walk(tmp_path / "r") for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert R.read_reports(spark, str(tmp_path / "r"), "part_id long, status string").count() == 2
