@@ -330,6 +330,12 @@ def test_small_functions(spark):
         assert {r.query_id: r.status for r in documents.search_status(q, chunks).collect()} == {1: status, 2: "empty_query", 3: "empty_query"}
     one = spark.createDataFrame([("ab",)], "text string").select(documents.hash_embedding("text", 8).alias("e")).first().e
     assert one == [float(i == (97 + 98) % 8) for i in range(8)]
+    texts = ["", "a", "\U0001f600\u00e9", "z" * 3000, None]
+    hot = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", documents.hash_embedding("text", 3).alias("e")).collect()
+    assert {r.i: r.e for r in hot} == {i: None if t is None else [float(k == sum(map(ord, t)) % 3) for k in range(3)] for i, t in enumerate(texts)}
+    # a text's code points are read once, however often its vector is
+    plan = documents.build_index(spark.createDataFrame([("ab",)], "text string"))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
     chunks, meta = documents.build_index(spark.createDataFrame([("ab",), (" ",), (None,)], "text string"), documents.Embedder(lambda: lambda texts: np.array([[3.0, 4.0]] * len(texts)), 2, "mine"))
     assert [r.embedding for r in chunks.collect()] == [[0.6, 0.8]] and (meta.first().model, meta.first().dim, meta.first().n_chunks) == ("mine", 2, 1)
     probs = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.75, 0.25])], "y int, p array<double>")
