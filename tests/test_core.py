@@ -513,6 +513,24 @@ def test_clustered_catalog_is_not_shuffled(spark, sf_dir):
     assert _exchanges(m.faces) == 0 and _exchanges(m.parts) == 0
 
 
+def test_reports_of_a_clustered_catalog_shuffle_bodies_only(spark, sf_dir):
+    """What a report gathers lies in the buckets of parts; what is said of bodies is gathered there once, whatever the number of shuffle partitions."""
+    from facetmill.common import co_located
+    from facetmill.plans import binding
+
+    t = binding.tables(spark, sf_dir)
+    r, bodies = catalog.analyse(t), catalog.analyse(catalog.as_bodies(t), keys=catalog.BODY)
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    bodies["parts"]  # its tables are stored
+    with co_located(spark):
+        spark.conf.set(key, "64")
+        try:
+            assert _exchanges(catalog.reports(t, r)) == 0
+            assert _exchanges(catalog.reports(t, r, bodies)) == 1
+        finally:
+            spark.conf.set(key, before)
+
+
 def test_giant_parts_spread_and_agree(spark, sf_dir):
     """Parts beyond the limit go by face and by edge over many tasks, with the same rows in the end."""
     from facetmill.plans import binding
